@@ -2,12 +2,43 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbora.io import table
 from arbora.keys import key
-from arbora.llm import neardup
+from arbora.llm import neardup, quantiles
+from arbora.llm.sql import SQL
+from arbora.staging import stage
+
+
+#: Percentiles asked for, and the fields measured.
+QS, FIELDS = [0.05, 0.5, 0.9, 0.99], ["eval_time", "overhead_time"]
+
+
+def _partials(spark: SparkSession, folder: str) -> DataFrame:
+    """Daily partials of methods; a row delivered twice is one measurement."""
+    t = table(spark, folder, "methods").select("id", "host_id", "eval_time", "overhead_time", "recorded_at").dropDuplicates()
+    return quantiles.day_partials(t, "host_id", FIELDS, "recorded_at")
+
+
+def p1_percentiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Percentiles per host for each day, each week (from Monday) and all days."""
+    partials = stage(_partials(spark, folder), "partials")
+    first, last = partials.agg(F.min("day"), F.max("day")).first()
+    days = [first + timedelta(i) for i in range((last - first).days + 1)] if first else []
+    weeks = sorted({d - timedelta(d.weekday()) for d in days})
+    spans = [("day", d, d) for d in days] + [("week", d, d + timedelta(6)) for d in weeks] + ([("all", first, last)] if first else [])
+    p = quantiles.percentiles(partials, spans, QS)
+    return p.select(F.col("grp").alias("host_id"), "field", "span", F.col("since").cast("string").alias("since"), "q", "n", quantiles.bucket_value(F.col("bucket")).alias("value"))
+
+
+def p1_day_partials(spark: SparkSession, folder: str) -> DataFrame:
+    """What is kept per host and day to combine later: number of values and of buckets, least and greatest bucket."""
+    p = _partials(spark, folder)
+    return p.select(F.col("grp").alias("host_id"), "field", F.col("day").cast("string").alias("day"), F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"), F.size("b").alias("n_buckets"), F.element_at("b", 1).alias("first_bucket"), F.element_at("b", -1).alias("last_bucket"))
 
 
 def _trees(spark: SparkSession, folder: str) -> DataFrame:
@@ -27,5 +58,5 @@ def p3_classes(spark: SparkSession, folder: str) -> DataFrame:
     return c.select("tbl", F.col("id").alias("hash"), F.col("cls").alias("class_id"), "n_copies", "n_links")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_classes)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p1_percentiles, p1_day_partials, p3_found, p3_classes)}
+__all__ = ["QUERIES", "SQL"]
