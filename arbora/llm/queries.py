@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from arbora.io import table
 from arbora.keys import key
-from arbora.llm import neardup, quantiles
+from arbora.llm import leakage, neardup, quantiles, tokenizer
 from arbora.llm.sql import SQL
 from arbora.staging import stage
 
@@ -58,5 +58,29 @@ def p3_classes(spark: SparkSession, folder: str) -> DataFrame:
     return c.select("tbl", F.col("id").alias("hash"), F.col("cls").alias("class_id"), "n_copies", "n_links")
 
 
-QUERIES = {f.__name__: f for f in (p1_percentiles, p1_day_partials, p3_found, p3_classes)}
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return tokenizer.encoded(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "ids")
+
+
+def p6_source_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts and tokens per source."""
+    return tokenizer.token_counts(table(spark, folder, "documents"), "source")
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.leaked_spans(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id").distinct()
+
+
+def p7_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """Where in each document the passages stand."""
+    return leakage.leaked_spans(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+def p7_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Per suite and item: documents it leaked into."""
+    found = p7_found(spark, folder).groupBy("item_id").agg(F.count("*").alias("n_docs"))
+    return table(spark, folder, "eval_items").select("item_id", "suite").distinct().join(found, "item_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_percentiles, p1_day_partials, p3_found, p3_classes, p6_ids, p6_source_tokens, p7_found, p7_spans, p7_items)}
 __all__ = ["QUERIES", "SQL"]
