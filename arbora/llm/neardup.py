@@ -135,7 +135,7 @@ def near_duplicates(records: DataFrame, tbl: str = "tbl", id: str = "id", text:
     total = classes.count()
     members = stage(made.select("tbl", "id", F.xxhash64("sig").alias("cls")).distinct(), "members")
 
-    counted = classes.select(F.explode("elems").alias("e")).groupBy(F.col("e").bitwiseAND(BUCKETS - 1).cast("int").alias("b")).agg(F.count("*").alias("n")).toPandas()
+    counted = classes.select(F.explode("elems").alias("e")).groupBy(F.col("e").bitwiseAND(BUCKETS - 1).cast("int").alias("b")).agg(F.count("*").alias("n")).toArrow()
     seen = np.zeros(BUCKETS, np.uint32)
     seen[counted["b"].to_numpy()] = np.minimum(counted["n"].to_numpy(), 0xFFFFFFFF)
     counts = spark.sparkContext.broadcast(seen)

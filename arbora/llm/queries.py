@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from arbora.io import table
 from arbora.keys import key
-from arbora.llm import leakage, neardup, quantiles, tokenizer
+from arbora.llm import leakage, neardup, quantiles, tokenizer, truncation
 from arbora.llm.sql import SQL
 from arbora.staging import stage
 
@@ -82,5 +82,19 @@ def p7_items(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "eval_items").select("item_id", "suite").distinct().join(found, "item_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_percentiles, p1_day_partials, p3_found, p3_classes, p6_ids, p6_source_tokens, p7_found, p7_spans, p7_items)}
+def _cut(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.truncated(table(spark, folder, "documents").select("doc_id", "lang", "source", "text"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _cut(spark, folder).where("cut").select("doc_id")
+
+
+def p8_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """Per source: texts, texts cut off, and their share."""
+    g = _cut(spark, folder).groupBy("source").agg(F.count("*").alias("n_texts"), F.count_if("cut").alias("n_cut"))
+    return g.withColumn("share", F.col("n_cut") / F.col("n_texts"))
+
+
+QUERIES = {f.__name__: f for f in (p1_percentiles, p1_day_partials, p3_found, p3_classes, p6_ids, p6_source_tokens, p7_found, p7_spans, p7_items, p8_found, p8_sources)}
 __all__ = ["QUERIES", "SQL"]
