@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from arbora.queries import general
+from arbora.queries import general, vectors
 
-_MODULES = [general]
+_MODULES = [general, vectors]
 
 
 def queries() -> dict:
