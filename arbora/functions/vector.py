@@ -181,13 +181,13 @@ each("WindowFlatTop", _cosine_sum([1.0, 1.93, 1.29, 0.388, 0.028]))
 
 
 def _kaiser(x, a=3.0, lag=True):
-    n = len(x)
+    n = x.shape[1]
     t = 2 * np.arange(n) / max(n - 1, 1) - 1
     return x * np.i0(math.pi * a * np.sqrt(np.clip(1 - t * t, 0, None))) / np.i0(math.pi * a)
 
 
 def _planck(x, eps=0.1):
-    n = len(x)
+    n = x.shape[1]
     w, i = np.ones(n), np.arange(n)
     edge = eps * (n - 1)
     with np.errstate(all="ignore"):

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from arbora.queries import general, vectors
+from arbora.queries import general, kernels, vectors
 
-_MODULES = [general, vectors]
+_MODULES = [general, vectors, kernels]
 
 
 def queries() -> dict:
