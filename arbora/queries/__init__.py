@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from arbora.queries import general, kernels, vectors
+from arbora.queries import evaluation, general, kernels, vectors
 
-_MODULES = [general, vectors, kernels]
+_MODULES = [general, vectors, kernels, evaluation]
 
 
 def queries() -> dict:
