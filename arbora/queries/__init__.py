@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from arbora.queries import evaluation, general, kernels, vectors
+from arbora.queries import evaluation, general, kernels, store, vectors
 
-_MODULES = [general, vectors, kernels, evaluation]
+_MODULES = [general, vectors, kernels, evaluation, store]
 
 
 def queries() -> dict:
