@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from arbora.queries import evaluation, general, kernels, store, vectors
+from arbora.queries import evaluation, general, kernels, store, texts, vectors
 
-_MODULES = [general, vectors, kernels, evaluation, store]
+_MODULES = [general, vectors, kernels, evaluation, store, texts]
 
 
 def queries() -> dict:
