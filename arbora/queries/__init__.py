@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from arbora.queries import evaluation, general, kernels, store, texts, vectors
+from arbora.queries import evaluation, general, kernels, programs, store, texts, vectors
 
-_MODULES = [general, vectors, kernels, evaluation, store, texts]
+_MODULES = [general, vectors, kernels, evaluation, store, texts, programs]
 
 
 def queries() -> dict:
