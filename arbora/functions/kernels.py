@@ -240,14 +240,17 @@ def gaussian_em(x):
     mean = np.quantile(x, [0.25, 0.75], axis=1).T
     dev = np.repeat(x.std(axis=1, keepdims=True) + 1e-9, 2, axis=1)
     weight = np.full_like(mean, 0.5)
+    open_ = np.arange(len(x))  # rows that still move; each row stops by itself
     for _ in range(200):
-        d = weight[:, None] * np.exp(-0.5 * ((x[..., None] - mean[:, None]) / dev[:, None]) ** 2) / dev[:, None] + 1e-300
+        v, m, s, w = x[open_], mean[open_], dev[open_], weight[open_]
+        d = w[:, None] * np.exp(-0.5 * ((v[..., None] - m[:, None]) / s[:, None]) ** 2) / s[:, None] + 1e-300
         r = d / d.sum(axis=2, keepdims=True)
         n = r.sum(axis=1) + 1e-12
-        new = (r * x[..., None]).sum(axis=1) / n
-        dev = np.sqrt((r * (x[..., None] - new[:, None]) ** 2).sum(axis=1) / n) + 1e-9
-        weight, moved, mean = n / x.shape[1], np.abs(new - mean).max(), new
-        if moved < 1e-4:
+        new = (r * v[..., None]).sum(axis=1) / n
+        dev[open_] = np.sqrt((r * (v[..., None] - new[:, None]) ** 2).sum(axis=1) / n) + 1e-9
+        weight[open_], mean[open_] = n / x.shape[1], new
+        open_ = open_[np.abs(new - m).max(axis=1) >= 1e-4]
+        if not len(open_):
             break
     return np.concatenate([weight, mean, dev], axis=1)
 

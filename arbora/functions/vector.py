@@ -143,14 +143,16 @@ for _t, _v in (("Int", 2), ("Float", 2.5)):
     each(f"DataMultiply{_t}", "v * {value}", value=_v)
     each(f"DataNumpyMultiply{_t}", "v * {value}", value=_v)
     each(f"DataDivide{_t}", _DIV.replace("{d}", "{value}"), value=_v, doc="x / k; 0/0 is 0, a/0 the greatest double with the sign of a")
-each("DataIntegerDivide", _DIV.replace("v / {d}", "floor(v / {value})").replace("{d}", "{value}"), value=0.3, doc="floor division")
+#: The quotient whose remainder has the sign of the divisor; a plain floor of v / d is off where the division rounds.
+_FLOOR = "rint((v - CASE WHEN (v % {d}) <> 0 AND ((v % {d}) < 0) <> ({d} < 0) THEN (v % {d}) + {d} ELSE v % {d} END) / {d})"
+each("DataIntegerDivide", _DIV.replace("v / {d}", _FLOOR).replace("{d}", "{value}"), value=0.3, doc="floor division")
 each("Fraction", "v * (1D / nullif({value}, 0D))", value=2)
 each("DataAddPair", "v + w", inputs=2)
 each("DataSubtractPair", "v - w", inputs=2)
 each("DataMultiplyPair", "v * w", inputs=2)
 each("DataNumpyMultiplyPair", "v * w", inputs=2)
 each("DataDividePair", _DIV.replace("{d}", "w"), inputs=2)
-each("DataIntegerDividePair", _DIV.replace("v / {d}", "floor(v / w)").replace("{d}", "w"), inputs=2)
+each("DataIntegerDividePair", _DIV.replace("v / {d}", _FLOOR).replace("{d}", "w"), inputs=2)
 each("DataAddPairTriple", "v + w + z", inputs=3)
 each("FractionDouble", "(v + w) / nullif({value}, 0D)", inputs=2, value=2)
 each("FractionTriple", "(v + w + z) / nullif({value}, 0D)", inputs=3, value=2)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from arbora.queries import evaluation, general, kernels, programs, store, texts, vectors
+from arbora.queries import evaluation, general, kernels, programs, store, streams, texts, vectors
 
-_MODULES = [general, vectors, kernels, evaluation, store, texts, programs]
+_MODULES = [general, vectors, kernels, evaluation, store, texts, programs, streams]
 
 
 def queries() -> dict:
