@@ -301,3 +301,26 @@ whole("ThresholdNLargestBinary", "element_at(transform(array(element_at(sort_arr
 whole("MySnapshot", "transform({x}, (v, i) -> CASE WHEN i DIV 8 >= CAST({y}[0] AS INT) - {p} AND i DIV 8 < CAST({y}[0] AS INT) + {p} AND i % 8 >= CAST({y}[1] AS INT) - {p} AND i % 8 < CAST({y}[1] AS INT) + {p} THEN v ELSE 0D END)", "list_transform({x}, lambda v, i: CASE WHEN (i - 1) // 8 >= CAST(trunc({y}[1]) AS INT) - {p} AND (i - 1) // 8 < CAST(trunc({y}[1]) AS INT) + {p} AND (i - 1) % 8 >= CAST(trunc({y}[2]) AS INT) - {p} AND (i - 1) % 8 < CAST(trunc({y}[2]) AS INT) + {p} THEN v ELSE 0 END)", "keep a square around a place, zero the rest", inputs=2, p=2)
 whole("MultiplyTransposed", "transform(sequence(0, 63), k -> aggregate(sequence(0, 7), 0D, (a, j) -> a + {x}[j * 8 + k DIV 8] * {x}[j * 8 + k % 8]))", "list_transform(range(0, 64), lambda k: list_sum(list_transform(range(0, 8), lambda j: {x}[j * 8 + k // 8 + 1] * {x}[j * 8 + k % 8 + 1])))", "transpose times matrix, 8 by 8")
 whole("ConvertBW", "transform(sequence(0, size({x}) DIV 3 - 1), p -> rint(0.114D * {x}[3 * p] + 0.587D * {x}[3 * p + 1] + 0.299D * {x}[3 * p + 2]))", "list_transform(range(0, len({x}) // 3), lambda p: round_even(CAST(0.114 AS DOUBLE) * {x}[3 * p + 1] + CAST(0.587 AS DOUBLE) * {x}[3 * p + 2] + CAST(0.299 AS DOUBLE) * {x}[3 * p + 3], 0))", "blue, green, red triples to grey")
+
+# Random rows, reproducible: drawn from a hash of value, place and seed rather than from a generator's state
+_U = "(pmod(xxhash64(r, i), 2147483648L) + 0.5D) / 2147483648D"
+_U2 = "(pmod(xxhash64(i, r), 2147483648L) + 0.5D) / 2147483648D"
+
+
+#: The row is hashed once; equal rows draw equal numbers.
+_R = "element_at(transform(array(xxhash64({x}, {seed})), r -> transform({x}, (v, i) -> "
+
+
+def _drawn(name: str, text: str, doc: str, **params) -> None:
+    def native(xs: list[str], p: dict) -> str:
+        t = text
+        for k, v in p.items():
+            t = t.replace("{" + k + "}", str(int(v)) if k == "seed" else _num(v))
+        return t.replace("{x}", xs[0])
+
+    register(Op(name, 1, params, native, doc=doc))
+
+
+_drawn("RandomUniform", _R + "{low} + ({high} - {low}) * " + _U + ")), 1)", "uniform numbers in place of the row", low=0, high=255, seed=7)
+_drawn("RandomNormal", _R + "{mean} + {std} * sqrt(-2D * ln(" + _U + ")) * cos(2D * pi() * " + _U2 + "))), 1)", "normal numbers in place of the row", mean=128, std=1, seed=7)
+_drawn("RandomShuffle", "transform(array_sort(transform({x}, (v, i) -> named_struct('h', xxhash64(v, i, {seed}), 'v', v))), s -> s.v)", "the row's values in another order", seed=7)

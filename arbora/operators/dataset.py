@@ -116,3 +116,10 @@ def map_labels(instances: DataFrame, labels: DataFrame) -> DataFrame:
     start = sizes.join(before, "blk").select("row_id", "n", (F.col("base") + F.coalesce(F.sum("n").over(w), F.lit(0))).alias("s")).where("n > 0")
     cells = start.select("row_id", F.posexplode(F.sequence("s", F.col("s") + F.col("n") - 1)).alias("at", "pos"))
     return cells.join(labels, "pos").groupBy("row_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "label"))), lambda x: x["label"]).alias("target"))
+
+
+def filter_centroids(df: DataFrame) -> DataFrame:
+    """Detections (``labels``) whose predicted ``target`` is not zero, as the new target; none gives one (-1, -1)."""
+    kept = F.transform(F.filter(F.arrays_zip("target", "labels"), lambda z: F.coalesce(z["target"], F.lit(0.0)) != 0), lambda z: z["labels"])
+    none = F.array(F.array(F.lit(-1.0), F.lit(-1.0)))
+    return df.withColumn("target", F.when(F.size(kept) > 0, kept).otherwise(none))

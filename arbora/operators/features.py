@@ -5,19 +5,22 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def anova_f(df: DataFrame, columns: list[str], label: str) -> DataFrame:
-    """(column, f): one-way F of each column over the classes, from sums per class."""
+    """(column, f): one-way F of each column over the classes, from sums per class. NULL where nothing varies within
+    classes, as for a constant column."""
     long = df.select(F.col(label).alias("l"), F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("l", "x.column", "x.v").where("v is not null")
     g = long.groupBy("column", "l").agg(F.count("*").alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
     t = g.groupBy("column").agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b"))
     between = F.col("b") - F.col("s") * F.col("s") / F.col("n")
     within = F.col("q") - F.col("b")
-    return t.select("column", ((between / (F.col("k") - 1)) / (within / (F.col("n") - F.col("k")))).alias("f"))
+    ratio = F.try_divide(F.try_divide(between, F.col("k") - 1), F.try_divide(within, F.col("n") - F.col("k")))
+    return t.select("column", ratio.alias("f"))
 
 
 def chi2(df: DataFrame, columns: list[str], label: str) -> DataFrame:
@@ -25,15 +28,15 @@ def chi2(df: DataFrame, columns: list[str], label: str) -> DataFrame:
     long = df.select(F.col(label).alias("l"), F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("l", "x.column", "x.v")
     g = long.groupBy("column", "l").agg(F.count("*").alias("n"), F.sum("v").alias("o"))
     t = g.groupBy("column").agg(F.sum("n").alias("tn"), F.sum("o").alias("to"))
-    e = F.col("to") * F.col("n") / F.col("tn")
-    return g.join(t, "column").groupBy("column").agg(F.sum((F.col("o") - e) ** 2 / e).alias("chi2"))
+    e = F.try_divide(F.col("to") * F.col("n"), F.col("tn"))
+    return g.join(t, "column").groupBy("column").agg(F.sum(F.try_divide((F.col("o") - e) ** 2, e)).alias("chi2"))
 
 
 def regression_f(df: DataFrame, columns: list[str], target: str) -> DataFrame:
     """(column, f): F of the correlation with a numeric target."""
     r = df.agg(F.count("*").alias("n"), *[F.corr(c, target).alias(f"r{i}") for i, c in enumerate(columns)])
     long = r.select("n", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"r{i}").alias("r")) for i, c in enumerate(columns)])).alias("x")).select("n", "x.*")
-    return long.select("column", (F.col("r") ** 2 / (1 - F.col("r") ** 2) * (F.col("n") - 2)).alias("f"))
+    return long.select("column", (F.try_divide(F.col("r") ** 2, 1 - F.col("r") ** 2) * (F.col("n") - 2)).alias("f"))
 
 
 def variances(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -165,3 +168,64 @@ def one_hot(df: DataFrame, column: str, output: str = "one_hot", most: int = 10_
 def vector_columns(df: DataFrame, vector: str, size: int, prefix: str = "f") -> DataFrame:
     a = vector_to_array(vector) if dict(df.dtypes)[vector] == "vector" else F.col(vector)
     return df.select("*", *[a[i].cast("double").alias(f"{prefix}{i}") for i in range(size)])
+
+
+#: Landmarks of the spectral embedding: a sample of train rows, bounded by this number whatever the size of the data.
+LANDMARKS = 300
+
+
+def spectral_embedding(df: DataFrame, columns: list[str], k: int, train: str = "true", gamma: float = 1.0) -> DataFrame:
+    """Leading eigenvectors of a similarity graph over a bounded sample of rows, carried to every row by its similarity
+    to that sample (Nystroem). Rows are embedded one by one in Arrow batches."""
+    at = np.array(df.where(train).orderBy(F.xxhash64(*columns)).select(*columns).limit(LANDMARKS).collect(), float)
+    scale = at.std(axis=0) + 1e-9
+    c = at / scale
+    a = np.exp(-gamma / len(columns) * ((c[:, None] - c[None]) ** 2).sum(axis=2))
+    d = a.sum(axis=1)
+    value, vector = np.linalg.eigh(a / np.sqrt(d[:, None] * d[None]))
+    pick = np.argsort(value)[::-1][1 : k + 1]
+    basis = vector[:, pick] / value[pick] / np.sqrt(d)[:, None]
+    shared = df.sparkSession.sparkContext.broadcast((c, scale, basis))
+
+    @F.pandas_udf("array<double>")
+    def embed(rows: pd.Series) -> pd.Series:
+        c, scale, basis = shared.value
+        if not len(rows):
+            return pd.Series([], dtype=object)
+        x = np.stack(rows.map(lambda v: np.asarray(v, float)).to_list()) / scale
+        w = np.exp(-gamma / x.shape[1] * np.maximum((x**2).sum(1)[:, None] + (c**2).sum(1)[None] - 2 * x @ c.T, 0))
+        return pd.Series(list(w / np.sqrt(np.maximum(w.sum(axis=1, keepdims=True), 1e-12)) @ basis))
+
+    return df.withColumn("__e", embed(F.array(*[F.col(c).cast("double") for c in columns]))).select("*", *[F.col("__e")[j].alias(f"se{j}") for j in range(k)]).drop("__e")
+
+
+_SELECT = {"mySelKBest": "k_best", "mySelPercentile": "percentile", "mySelFpr": "fpr", "mySelFdr": "fdr", "mySelFwe": "fwe"}
+_PROJECT = {"myPCA": pca, "mySparsePCA": sparse_pca, "myICA": ica}
+FIT_NAMES = [*_SELECT, "mySelGenUni", "myVarThresh", *_PROJECT, "mySpectralEmbedding"]
+
+
+def fit_transform(df: DataFrame, name: str, *args) -> DataFrame:
+    """An operator that is fitted on the train rows and changes the features of all rows (row_id, split, features,
+    target). All rows must have as many features; a column kept or made is one feature of the result."""
+    width = df.select(F.size("features").alias("n")).first()
+    if width is None or width["n"] < 1:
+        return df
+    cols = [f"__f{i}" for i in range(width["n"])]
+    wide = df.select("*", *[F.col("features")[i].alias(c) for i, c in enumerate(cols)])
+    train = wide.where((F.col("split") == "train") & F.col("target").isNotNull())
+    if name == "mySelGenUni":
+        name, args = {v: k for k, v in _SELECT.items()}[MODES[int(args[0]) % len(MODES)]], args[1:]
+    if name in _SELECT:
+        kept = select(train, cols, "target", _SELECT[name], float(args[-1]) if args else 2)
+        return wide.withColumn("features", F.array(*[F.col(c) for c in kept])).drop(*cols)
+    if name == "myVarThresh":
+        least = float(args[0]) if args else 0.0
+        kept = sorted((r["column"] for r in variances(train, cols).collect() if r["variance"] is not None and r["variance"] > least), key=cols.index)
+        return wide.withColumn("features", F.array(*[F.col(c) for c in kept])).drop(*cols)
+    k = max(1, min(int(args[0]) if args else 2, len(cols)))
+    if name == "mySpectralEmbedding":
+        out = spectral_embedding(wide, cols, k, "split = 'train'")
+    else:
+        out = _PROJECT[name](wide, cols, k)
+    new = [c for c in out.columns if c not in wide.columns]
+    return out.withColumn("features", F.array(*[F.col(c) for c in new])).drop(*cols, *new)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from arbora.functions.registry import find
 from arbora.operators import dataset as D
+from arbora.operators.features import FIT_NAMES, fit_transform
 from arbora.operators.learners import learn
 
 _TOKEN = re.compile(r"""\s*(?:(?P<name>[A-Za-z_][\w.<>&\-]*)|(?P<num>-?\d+(?:\.\d*)?(?:[eE][+-]?\d+)?)|(?P<str>'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(?P<map>\{[^{}]*\})|(?P<mark>[(),]))""")
@@ -120,6 +121,10 @@ def run(program: str | Node, data: DataFrame, modules: dict[str, str] | None = N
             return D.if_then_else(*[build(a) for a in inputs[:3]], int(numbers[0]) if numbers else 0, mode)
         if n.value == "CopyStreamToTarget":
             return D.copy_stream_to_target(build(inputs[0]))
+        if n.value == "FilterCentroids":
+            return D.filter_centroids(build(inputs[0]))
+        if n.value in FIT_NAMES:
+            return fit_transform(build(inputs[0]), n.value, *numbers)
         op = find(str(n.value))
         return D.apply(op.name, [build(a) for a in inputs[: op.inputs]], mode, *numbers)
 

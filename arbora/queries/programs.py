@@ -125,3 +125,18 @@ def layers_parameters(spark, folder):
         return trees.map(one).astype("Int64")
 
     return t.select("rec_id", count("current_tree").alias("n_params"))
+
+
+def _fitted(call):
+    def run(spark, folder):
+        d = instances(spark, folder).withColumn("split", F.when(F.pmod(F.xxhash64("row_id"), F.lit(5)) == 0, "test").otherwise("train"))
+        out = G.run(call, d)
+        return out.select("row_id", F.transform("features", lambda v: F.round(v, 5)).alias("features"))
+
+    return run
+
+
+QUERIES |= {
+    f"fit_{n}": _fitted(f"{n}(ARG0, {a})")
+    for n, a in {"mySelKBest": 2, "mySelPercentile": 50, "mySelFpr": 0.05, "mySelFdr": 0.05, "mySelFwe": 0.05, "mySelGenUni": "1, 2", "myVarThresh": 1.5, "myPCA": 2, "mySparsePCA": 2, "myICA": 2, "mySpectralEmbedding": 2}.items()
+}

@@ -42,7 +42,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     finally:
         spark.conf.set(_CLEANUP, before)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def drop_stage(df: DataFrame) -> None:
+    """Delete the table behind ``df``, which :func:`stage` returned and nothing lazy needs any more."""
+    path = df._staged
+    _written[:] = [w for w in _written if w[1] != path]
+    _delete(df.sparkSession, path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:

@@ -133,3 +133,23 @@ def test_streaming_equals_batch(spark, tmp_path):
     seen = []
     E.evaluation_queue(spark, str(tmp_path / "prog"), str(tmp_path / "ck"), lambda df, i: seen.extend(r["program"] for r in df.collect())).awaitTermination(60)
     assert sorted(seen) == ["F(ARG0)", "G(ARG0)"]
+
+
+def test_fitted_operators_and_random_rows(spark):
+    import random
+
+    r = random.Random(1)
+    rows = [(i, [float(i % 2) * 3 + r.random(), r.random(), 5.0, r.gauss(0, 2)], float(i % 2), "train" if i % 5 else "test") for i in range(100)]
+    d = spark.createDataFrame(rows, "row_id long, features array<double>, target double, split string")
+    assert G.run("mySelKBest(ARG0, 1)", d).first()["features"] == rows[0][1][:1]
+    assert len(G.run("myVarThresh(ARG0, 0.01)", d).first()["features"]) == 3
+    for n in ("myPCA", "myICA", "mySparsePCA", "mySpectralEmbedding"):
+        out = G.run(f"{n}(ARG0, 2)", d)
+        assert out.count() == 100 and {len(x["features"]) for x in out.collect()} == {2}
+    a, b = (sorted((x["row_id"], tuple(x["features"])) for x in G.run("RandomNormal(ARG0, 0.0, 1.0)", d).collect()) for _ in range(2))
+    assert a == b and abs(sum(v for _, f in a for v in f) / 400) < 0.3
+    assert sorted(G.run("RandomShuffle(ARG0)", d).where("row_id = 3").first()["features"]) == sorted(rows[3][1])
+    c = spark.createDataFrame([([1.0, 0.0], [[1.0, 2.0], [3.0, 4.0]]), ([0.0], [[5.0, 6.0]])], "target array<double>, labels array<array<double>>")
+    from arbora.operators.dataset import filter_centroids
+
+    assert [x["target"] for x in filter_centroids(c).collect()] == [[[1.0, 2.0]], [[-1.0, -1.0]]]
