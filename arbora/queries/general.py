@@ -104,3 +104,12 @@ SQL = {
     "p4_report": f"SELECT tbl, period, count(*) AS n_orphans FROM {_ONE} GROUP BY tbl, period",
     "p4_current": _CURRENT,
 }
+
+# The first value of parents: what is quoted, or runs up to a separator. A value in parentheses is no hash, wherever cut.
+_FIRST = r"""regexp_extract(regexp_replace(parents, '^\s*\[(.*)\]\s*$', '\1', 's'), '^[\s,;|/]*(?:"([^"]*)"|''([^'']*)''|([^\s,;|/"'']+))', ['a', 'b', 'c'])"""
+SQL["p2_found"] = f"""WITH RECURSIVE f AS (SELECT {_K.format(c="hash")} AS node, {_FIRST} AS v FROM nnlearnerstatistics),
+  n AS (SELECT node, min({_K.format(c="v.a || v.b || v.c")}) AS parent FROM f WHERE node IS NOT NULL GROUP BY node),
+  u AS (SELECT a.node, b.node AS parent FROM n a LEFT JOIN n b ON b.node = a.parent),
+  w(node, cur, d) AS (SELECT node, node, 0 FROM u UNION ALL SELECT w.node, u.parent, w.d + 1 FROM w JOIN u ON u.node = w.cur WHERE u.parent IS NOT NULL AND w.d <= (SELECT count(*) FROM u))
+  SELECT u.node AS hash, coalesce(r.cur, '') AS root_hash, CAST(coalesce(r.d, -1) AS INT) AS node_depth
+  FROM u LEFT JOIN (SELECT w.node, w.cur, w.d FROM w JOIN u ON u.node = w.cur WHERE u.parent IS NULL) r ON r.node = u.node"""
