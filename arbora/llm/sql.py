@@ -29,3 +29,17 @@ SQL = {
     "p1_day_partials": f"""SELECT host_id, field, CAST(day AS VARCHAR) AS day, count(*) AS n, count(DISTINCT b) AS n_buckets, min(b) AS first_bucket, max(b) AS last_bucket
       FROM ({_MEASURED}) GROUP BY host_id, field, day""",
 }
+
+_ROWS = " UNION ALL ".join(f"SELECT '{t}' AS tbl, lower(trim(hash, ' \t\n\r' || chr(160))) AS h, list_sort(regexp_extract_all(lower({c}), '[a-z0-9_.]+')) AS t FROM {t} WHERE hash IS NOT NULL AND {c} IS NOT NULL" for t, c in (("individuals", "tree"), ("nnlearnerstatistics", "current_tree")))
+SQL["p3_found"] = f"""WITH d AS (SELECT *, row_number() OVER () AS i, len(t) AS n FROM (SELECT DISTINCT tbl, h, t FROM ({_ROWS}) WHERE len(t) > 0)),
+  c AS (SELECT tbl, h, i, n, w, count(*) AS k FROM (SELECT tbl, h, i, n, unnest(t) AS w FROM d) GROUP BY ALL),
+  p AS (SELECT a.tbl, a.h AS x, b.h AS y, a.i, b.i AS j, a.n + b.n AS n, sum(least(a.k, b.k)) AS s FROM c a JOIN c b ON a.tbl = b.tbl AND a.w = b.w AND a.h < b.h WHERE a.n * 10 >= b.n * 7 AND b.n * 10 >= a.n * 7 GROUP BY ALL)
+  SELECT DISTINCT tbl, x AS hash_a, y AS hash_b FROM p WHERE s * 10 >= (n - s) * 7"""
+
+
+def _grams(name: str, key: str) -> str:
+    return rf"""SELECT {key}, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT {key}, w, unnest(range(1, len(w) - 10)) AS i FROM (SELECT {key}, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM {name} WHERE text IS NOT NULL))"""
+
+
+SQL["p7_found"] = f"SELECT DISTINCT doc_id, item_id FROM ({_grams('documents', 'doc_id')}) d JOIN ({_grams('eval_items', 'item_id')}) e ON d.g = e.g"
+SQL["p7_items"] = f"SELECT i.item_id, i.suite, count(*) AS n_docs FROM (SELECT DISTINCT item_id, suite FROM eval_items) i JOIN ({SQL['p7_found']}) f ON f.item_id = i.item_id GROUP BY i.item_id, i.suite"
