@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbora.staging import stage
+from arbora.staging import drop_stage, stage
 
 #: Buckets of the element counts that give the global order; bounds what is broadcast (4 bytes each).
 BUCKETS = 1 << 20
@@ -129,11 +129,12 @@ def near_duplicates(records: DataFrame, tbl: str = "tbl", id: str = "id", text:
     """
     spark = records.sparkSession
     rows = records.select(F.col(tbl).cast("string").alias("tbl"), F.col(id).cast("string").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
-    made = rows.mapInArrow(_classes, "tbl string, id string, sig binary, elems array<long>").where(F.size("elems") > 0)
+    made = stage(rows.mapInArrow(_classes, "tbl string, id string, sig binary, elems array<long>").where(F.size("elems") > 0), "multisets")
     # Class ids are 64 bits of the signature: among 10^9 classes the chance that any two share one is below 3 %.
     classes = stage(made.groupBy("tbl", "sig").agg(F.first("elems").alias("elems")).select(F.xxhash64("sig").alias("c"), "tbl", "elems"), "classes")
     total = classes.count()
     members = stage(made.select("tbl", "id", F.xxhash64("sig").alias("cls")).distinct(), "members")
+    drop_stage(made)
 
     counted = classes.select(F.explode("elems").alias("e")).groupBy(F.col("e").bitwiseAND(BUCKETS - 1).cast("int").alias("b")).agg(F.count("*").alias("n")).toArrow()
     seen = np.zeros(BUCKETS, np.uint32)
