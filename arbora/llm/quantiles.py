@@ -151,9 +151,9 @@ def percentiles(partials: DataFrame, spans: list[tuple[str, date, date]], qs: li
         )
         state = stage(state.where(F.col("found").isNotNull() | (F.col("open") <= GATHER)).unionByName(step), "state")
     few = state.where(F.col("found").isNull())
-    covers = (F.col("s.since") <= F.col("day")) & (F.col("s.till") >= F.col("day"))
+    mine = F.filter("sels", lambda s: (s["since"] <= F.col("day")) & (s["till"] >= F.col("day")))
     inside = F.filter(F.arrays_zip("b", "c"), lambda x: (x["b"] > F.col("s.lo")) & (x["b"] < F.col("s.hi")))
-    rest = _with_selections(runs, few).select("gk", "day", "b", "c", F.explode("sels").alias("s")).where(covers).select("gk", F.col("s.sel").alias("sel"), F.explode(inside).alias("x"))
+    rest = _with_selections(runs, few).select("gk", "day", "b", "c", F.explode(mine).alias("s")).select("gk", F.col("s.sel").alias("sel"), F.explode(inside).alias("x"))
     rest = rest.groupBy("gk", "sel").agg(F.array_sort(F.collect_list("x")).alias("xs"))
     walk = F.aggregate(
         "xs",
