@@ -27,7 +27,7 @@ from arbora.staging import stage
 #: Relative error of a percentile's value; values nearer to zero than MIN count as zero.
 EPS, MIN = 0.005, 1e-9
 #: Open values of a selection that are fetched at once instead of another round.
-GATHER = 256
+GATHER = 1024
 _ROUND = "gk string, sel int, lt long, eq long, gt long, med_lt long, med_gt long"
 _LOW, _HIGH = -(1 << 40), 1 << 40
 
