@@ -23,15 +23,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbora.staging import stage
+from arbora.staging import drop_stage, stage
 
-#: The model is fitted on the distinct texts among about so many; counting scores and thresholds takes all texts.
-TRAIN_TEXTS = 200_000
 #: Lengths of the contexts, weight of the shorter context, and the longest line whose head is part of the state.
 ORDERS, WEIGHT, LINE = (1, 2, 3, 4, 5, 6, 8, 10, 12, 15, 20), 5.0, 60
 #: Texts of a language needed for a threshold of its own, and the range and bins in which it is looked for.
 OWN_THRESHOLD, RANGE, BINS, SEARCH = 1000, (-6.0, 4.0), 50, (-1.0, 2.0)
-_FLAGS = 1 << 22
+#: Most bits of the bitmap of end contexts (it only saves shuffling, so a full one costs time and no counts), and the
+#: share of ends from which a context is broadcast: at most ``len(ORDERS) / HOT`` contexts have it.
+MOST_BITS, HOT = 28, 1e-3
 _MARK = regex.compile(r"(?:…|\.\.\.+|�|[\s​-‍﻿])+$")
 _SPACE, _DIGITS, _HIDDEN = regex.compile(r"[^\S\n]+"), regex.compile(r"\d+(?:[.,]\d+)*"), regex.compile("[​-‍﻿�]")
 _FENCE = regex.compile("(?=```)")
@@ -147,55 +147,61 @@ def _parts(batch: pa.RecordBatch, most: int = 1 << 21) -> Iterator[tuple[list[in
 
 
 def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The columns before the text, a key of the folded text, and the contexts at its end."""
     for b in batches:
-        for _, texts in _parts(b):
+        for rows, texts in _parts(b):
             ends = end_contexts(texts)
             key = [xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in texts]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * len(ORDERS)), pa.array(ends.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(key, np.uint64).view(np.int64)), lists], names=["key", "ends"])
+            columns = [*b.take(pa.array(rows)).columns[:-1], pa.array(np.array(key, np.uint64).view(np.int64)), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(columns))])
 
 
-def _goes_on(known):
-    """Counts of the contexts that some text ends with, at places where text goes on."""
+def _goes_on(bitmap, bits: int):
+    """Counts of contexts at places where text goes on: all that some text ends with, and few others. A text that ends
+    with a context ends with its shorter ones too, so a place is left once a shorter one is unknown."""
+    shift = np.uint64(64 - bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h = known.value
-        on = np.zeros(_FLAGS, bool)
-        on[(h >> np.uint64(42)).astype(np.int64)] = True
-        n = np.zeros(len(h), np.int64)
+        words = bitmap.value
         for b in batches:
             for _, texts in _parts(b):
                 rolled, is_end = place_contexts(texts)
+                places = np.flatnonzero(~is_end)
                 for x in rolled:
-                    x = x[on[(x >> np.uint64(42)).astype(np.int64)] & ~is_end]
-                    at = np.minimum(np.searchsorted(h, x), max(len(h) - 1, 0))
-                    n += np.bincount(at[h[at] == x], minlength=len(h))
-        seen = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(h[seen].view(np.int64)), pa.array(n[seen])], names=["h", "n"])
+                    x = x[places]
+                    at = x >> shift
+                    on = (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+                    places = places[on]
+                    if not len(places):
+                        break
+                    h, n = np.unique(x[on], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
     return run
 
 
-def train(texts: DataFrame, train_texts: int = TRAIN_TEXTS):
-    """(sorted context hashes, ends, places, ends at any place, share of texts trained on). ``texts`` has a column t."""
+def _counts(voters: DataFrame, texts: DataFrame) -> tuple[DataFrame, float, int]:
+    """(staged table of h, e, t: ends and places of each context that some voter ends with; ends at any place; voters).
+
+    ``voters`` has the contexts ``ends`` of each distinct text, ``texts`` the texts whose places are counted, in a column t.
+    Counts are summed over the cluster and stay there.
+    """
     spark = texts.sparkSession
-    present = texts.where(F.col("t").isNotNull())
-    total = present.count()
-    share = min(1.0, train_texts / max(total, 1))
-    sample = present.where(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < int(share * 1_000_000)).select("t")
-    # One vote per distinct text.
-    ends = sample.mapInArrow(_ends, "key long, ends array<long>").groupBy("key").agg(F.first("ends").alias("ends"))
-    found = ends.select(F.explode("ends").alias("h")).groupBy("h").agg(F.count("*").alias("n")).toArrow()
-    h = found["h"].to_numpy().view(np.uint64)
-    order = np.argsort(h)
-    h, e = h[order], found["n"].to_numpy()[order]
-    mid = np.zeros(len(h), np.int64)
-    if len(h):
-        went = sample.mapInArrow(_goes_on(spark.sparkContext.broadcast(h)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).toArrow()
-        mid[np.searchsorted(h, went["h"].to_numpy().view(np.uint64))] = went["n"].to_numpy()
-    n_ends = int(e.sum()) / len(ORDERS)
-    n_places = sample.agg(F.sum(F.length("t"))).first()[0] or 1
-    return h, e, e + mid, max(n_ends, 1) / max(n_places, 2), share
+    ends = stage(voters.select(F.explode("ends").alias("h")).groupBy("h").agg(F.count("*").alias("e")), "ends")
+    known, n_ends = ends.agg(F.count("*"), F.coalesce(F.sum("e"), F.lit(0)) / len(ORDERS)).first()
+    bits = min(MOST_BITS, max(16, (16 * known).bit_length()))
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - bits}) & 63 as int))")
+    found = ends.groupBy(F.shiftrightunsigned("h", 64 - bits + 6).alias("w")).agg(F.bit_or(bit).alias("b")).toArrow()
+    words = np.zeros(1 << (bits - 6), np.uint64)
+    words[found["w"].to_numpy()] = found["b"].to_numpy().view(np.uint64)
+    went = texts.mapInArrow(_goes_on(spark.sparkContext.broadcast(words), bits), "h long, n long")
+    both = ends.select("h", "e", F.lit(0).cast("long").alias("n")).unionByName(went.select("h", F.lit(0).cast("long").alias("e"), "n"))
+    sums = both.groupBy("h").agg(F.sum("e").alias("e"), F.sum("n").alias("n")).where(F.col("e") > 0)
+    counts = stage(sums.select("h", "e", (F.col("e") + F.col("n")).alias("t")), "contexts")
+    drop_stage(ends)
+    n_places = texts.agg(F.sum(F.length("t"))).first()[0] or 1
+    return counts, max(n_ends, 1) / max(n_places, 2), int(n_ends)
 
 
 def _odds(e: np.ndarray, t: np.ndarray, base: float) -> np.ndarray:
@@ -210,19 +216,16 @@ def _odds(e: np.ndarray, t: np.ndarray, base: float) -> np.ndarray:
     return p
 
 
-def _score(model):
+def _score(base: float):
+    """The score of each key from its counts: e of every order, then t of every order."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, e, t, base, share = model.value
-        own = int(share >= 1.0)
         for b in batches:
-            for rows, texts in _parts(b):
-                ends = end_contexts(texts)
-                at = np.minimum(np.searchsorted(h, ends), max(len(h) - 1, 0))
-                known = (h[at] == ends) if len(h) else np.zeros(ends.shape, bool)
-                p = _odds(np.where(known, e[at] - own, 0), np.where(known, t[at] - own, 0), base) if len(h) else np.full(len(texts), base)
-                score = np.log(p / (1 - p)) - np.log(base / (1 - base))
-                part = b.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(score)], names=[*[f"c{i}" for i in range(b.num_columns - 1)], "score"])
+            if not len(b):
+                continue
+            n = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns[1:]], axis=1)
+            p = _odds(n[:, : len(ORDERS)], n[:, len(ORDERS) :], base)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.log(p / (1 - p)) - np.log(base / (1 - base)))], names=["__key", "score"])
 
     return run
 
@@ -245,26 +248,49 @@ def language(col: str = "lang"):
     return F.when(l != "", l).otherwise(F.lit("und"))
 
 
-def scored(df: DataFrame, text: str = "text", train_texts: int = TRAIN_TEXTS) -> DataFrame:
+def _scored(df: DataFrame, text: str, train_texts: int | None) -> tuple[DataFrame, list[DataFrame]]:
+    """What :func:`scored` returns, and the staged tables it reads."""
+    rest = [c for c in df.columns if c != text]
+    present = df.where(F.col(text).isNotNull())
+    votes = F.lit(True)
+    if train_texts is not None:
+        share = min(1.0, train_texts / max(present.count(), 1))
+        votes = F.pmod(F.xxhash64(text), F.lit(1_000_000)) < int(share * 1_000_000)
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema.fields if f.name != text)
+    rows = stage(present.select(*rest, votes.alias("__votes"), text).mapInArrow(_ends, f"{fields}__votes boolean, __key long, __ends array<long>"), "rows")
+    # One vote per distinct text.
+    each = stage(rows.groupBy("__key").agg(F.first("__ends").alias("ends"), F.max("__votes").alias("__votes")), "texts")
+    counts, base, n_ends = _counts(each.where("__votes"), present.where(votes).select(F.col(text).alias("t")))
+    # Contexts of very many ends are broadcast, so no key of the shuffled join has more than their share of the texts.
+    one = each.select("__key", F.col("__votes").cast("long").alias("own"), F.posexplode("ends").alias("k", "h"))
+    hot = F.col("e") > HOT * n_ends
+    hits = one.join(F.broadcast(counts.where(hot)), "h").unionByName(one.join(counts.where(~hot), "h"))
+    of = lambda c: [F.coalesce(F.max(F.when(F.col("k") == k, F.col(c) - F.col("own"))), F.lit(0)).alias(f"{c}{k}") for k in range(len(ORDERS))]
+    scores = hits.groupBy("__key").agg(*of("e"), *of("t")).mapInArrow(_score(base), "__key long, score double")
+    out = rows.join(scores, "__key", "left").select(*[f"`{c}`" for c in rest], F.coalesce("score", F.lit(0.0)).alias("score"))
+    return out, [rows, each, counts]
+
+
+def scored(df: DataFrame, text: str = "text", train_texts: int | None = None) -> DataFrame:
     """``df`` without ``text`` and with ``score``, the log-odds of an end against those at any place.
 
     NULL, empty and blank texts, and texts of nothing but marks of a cut, have no final context and are left out.
-    Repeated texts vote once and are each scored. Whole texts are read.
+    Repeated texts vote once and are each scored. Whole texts are read. All texts are counted, unless the caller asks
+    for a model of about ``train_texts`` of them; a text that has voted never has its own vote.
     """
-    rest = [c for c in df.columns if c != text]
-    model = df.sparkSession.sparkContext.broadcast(train(df.select(F.col(text).alias("t")), train_texts))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != text)
-    rows = df.where(F.col(text).isNotNull()).select(*rest, text)
-    return rows.mapInArrow(_score(model), f"{fields}, score double")
+    return _scored(df, text, train_texts)[0]
 
 
-def truncated(df: DataFrame, lang: str = "lang", text: str = "text", train_texts: int = TRAIN_TEXTS) -> DataFrame:
+def truncated(df: DataFrame, lang: str = "lang", text: str = "text", train_texts: int | None = None) -> DataFrame:
     """Rows of ``df`` (all columns but ``text``) with ``score``, ``threshold`` and ``cut``, true for a text cut off.
 
     Thresholds come from the histogram of all scores, one per language with ``OWN_THRESHOLD`` texts or more, and one
     for the rest. Names that begin with two underscores are the operator's own.
     """
-    s = stage(scored(df, text, train_texts).withColumn("__lang", language(lang)), "scores")
+    scores, read = _scored(df, text, train_texts)
+    s = stage(scores.withColumn("__lang", language(lang)), "scores")
+    for d in read:
+        drop_stage(d)
     low, high = RANGE
     bin_ = F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor((F.col("score") - low) / (high - low) * BINS).cast("int")))
     by: dict[str, dict[int, int]] = {}

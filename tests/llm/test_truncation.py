@@ -33,6 +33,20 @@ def test_held_out_accuracy(spark):
     assert len(got & true) / len(true) > 0.93 and len(got & true) / max(len(got), 1) > 0.93
 
 
+def test_sample_keeps_no_own_vote(spark):
+    r = random.Random(6)
+    rows = []
+    for i in range(3000):  # words of their own: no other text has the last characters of a cut one
+        text = " ".join("".join(r.choices("abcdefghij", k=r.randrange(3, 9))) for _ in range(r.randrange(20, 60)))
+        cut = r.random() < 0.1
+        rows.append((i, text if cut else text + ".", "en", cut))
+    df = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string").repartition(3)
+    true = {r[0] for r in rows if r[3]}
+    for args in ({}, {"train_texts": 2999}, {"train_texts": 2400}, {"train_texts": 1500}):
+        got = {r["doc_id"] for r in T.truncated(df, **args).where("cut").collect()}
+        assert len(got & true) / len(true) > 0.95 and len(got & true) / max(len(got), 1) > 0.95, args
+
+
 def test_edge_cases(spark):
     schema = "doc_id long, text string, lang string, score_ int, h string"
     assert T.truncated(spark.createDataFrame([], schema)).count() == 0
