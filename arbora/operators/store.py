@@ -82,36 +82,77 @@ def keep_greedy(values: DataFrame, capacity: float, most_rounds: int = 200) -> D
     return kept if kept is not None else values.select("id", "size_kb", "value").limit(0)
 
 
-def knapsack(values: DataFrame, capacity: float, bins: int = 200, most: int = 100_000) -> DataFrame:
-    """Entries of greatest total value that fit, with sizes rounded up to ``capacity / bins``.
-
-    Of one size class only the ``bins // size`` most valuable can ever be part of the solution; the rest is cut off by
-    a window per class, which leaves at most ``bins * (ln bins + 1)`` rows for the dynamic programme, however many
-    entries there are.
+def knapsack(values: DataFrame, capacity: float, bins: int | None = None, most: int = 2_000_000, core: int = 10_000) -> DataFrame:
+    """Entries of greatest total value that fit, whatever their number (exact to 1e-12 of the total value).
+
+    Without ``bins`` sizes count as they are; with it, rounded up to ``capacity / bins``. Entries of a NULL size are
+    never kept, ids are unique. If not all entries of positive value fit, the best by value per size are taken up to the
+    break. By the bound at the break, leaving that choice costs each entry a known loss; an exact programme decides
+    the ``core`` entries of least loss, and more of them until no other entry can improve the total. More than ``most``
+    states of the programme are an error, never a worse selection.
     """
-    w = F.greatest(F.lit(1), F.ceil(F.col("size_kb") / (capacity / bins)).cast("int"))
-    c = values.withColumn("w", w).where((F.col("w") <= bins) & (F.col("value") > 0))
-    rank = F.row_number().over(Window.partitionBy("w").orderBy(F.desc("value"), "id"))
-    few = c.withColumn("r", rank).where(F.col("r") <= F.floor(F.lit(bins) / F.col("w"))).select("id", "size_kb", "value", "w")
-
-    def solve(batches):
-        parts = [b for b in batches if len(b)]
-        if not parts:
-            return
-        pdf = pd.concat(parts).sort_values(["w", "id"]).reset_index(drop=True)
-        best, took = np.zeros(bins + 1), np.zeros((len(pdf), bins + 1), bool)
-        for i, (wi, vi) in enumerate(zip(pdf["w"], pdf["value"])):
-            new = best.copy()
-            new[wi:] = np.maximum(best[wi:], best[: bins + 1 - wi] + vi)
-            took[i], best = new > best, new
-        at, keep = bins, []
-        for i in range(len(pdf) - 1, -1, -1):
-            if took[i, at]:
-                keep.append(i)
-                at -= pdf["w"][i]
-        yield pdf.iloc[keep][["id", "size_kb", "value"]]
-
-    return few.repartition(1).mapInPandas(solve, T.StructType([few.schema[x] for x in ("id", "size_kb", "value")]))
+    w, cap = (F.col("size_kb").cast("double"), float(capacity)) if bins is None else (F.greatest(F.lit(1), F.ceil(F.col("size_kb") / (capacity / bins))).cast("double"), float(bins))
+    sized = values.where(F.col("size_kb").isNotNull() & (F.col("value") > 0)).select("id", "size_kb", "value", F.greatest(w, F.lit(0.0)).alias("w"))
+    c = stage(sized.where(F.col("w") <= cap).withColumn("ratio", F.when(F.col("w") > 0, F.col("value") / F.col("w")).otherwise(F.lit(np.finfo(float).max))), "knapsack")
+    if (c.agg(F.sum("w")).first()[0] or 0.0) <= cap:
+        return c.select("id", "size_kb", "value")
+    per = c.groupBy("ratio").agg(F.sum("w").alias("w"))
+    edge = running_sums(per, F.col("ratio"), {"above": F.col("w")}, descending=True).where(F.col("above") <= cap).orderBy("ratio").first()
+    rate = F.lit(edge["ratio"])
+    at = c.where(F.col("ratio") == rate).withColumn("take", F.sum("w").over(Window.orderBy("id").rowsBetween(Window.unboundedPreceding, 0)) <= cap - edge["above"])  # those of one ratio
+    marked = c.where(F.col("ratio") != rate).withColumn("take", F.col("ratio") > rate).unionByName(at)
+    marked = stage(marked.withColumn("loss", F.abs(F.col("value") - F.col("w") * rate)), "knapsack")
+    used, got = marked.where("take").agg(F.coalesce(F.sum("w"), F.lit(0.0)), F.coalesce(F.sum("value"), F.lit(0.0))).first()
+    while True:
+        near = marked.orderBy("loss", "id").limit(core).select("id", "w", "value", "take", "loss").toArrow()
+        n = {x: near[x].to_numpy() for x in ("w", "value", "take", "loss")}
+        flips, gap = _flips(n["w"], n["value"], n["take"], n["loss"], cap, used, got, edge["ratio"], most)
+        if marked.where(F.col("loss") < gap).count() <= near.num_rows:
+            break
+        core *= 8
+    if flips:
+        other = values.sparkSession.createDataFrame([(near["id"][i].as_py(),) for i in flips], T.StructType([marked.schema["id"]]))
+        marked = marked.join(F.broadcast(other.withColumn("flip", F.lit(True))), "id", "left").withColumn("take", F.col("take") != F.coalesce("flip", F.lit(False)))
+    return marked.where("take").select("id", "size_kb", "value")
+
+
+def _flips(w, v, take, loss, cap: float, used: float, got: float, rate: float, most: int) -> tuple[list[int], float]:
+    """Which entries (by ascending loss) to decide otherwise than ``take`` for the greatest value, and how far that may be
+    from the bound. States are the undominated pairs of size and value; one that has lost the gap can't improve."""
+    bound = got + (cap - used) * rate
+    best, at, gap = got, -1, bound - got
+    size, value, lost, node = np.array([used]), np.array([got]), np.zeros(1), np.full(1, -1)
+    before, entry, n = [], [], 0
+    for i in range(len(w)):
+        room = gap - 1e-12 * bound
+        if loss[i] >= room:
+            break
+        d = -1.0 if take[i] else 1.0
+        on = lost + loss[i] < room
+        s, x, l = size[on] + d * w[i], value[on] + d * v[i], lost[on] + loss[i]
+        own = np.arange(n, n + len(s))
+        before.append(node[on])
+        entry.append(np.full(len(s), i))
+        n += len(s)
+        fit = np.flatnonzero(s <= cap)
+        if len(fit) and x[k := fit[np.argmax(x[fit])]] > best:
+            best, at = x[k], own[k]
+            gap = bound - best
+        size, value, lost, node = np.append(size, s), np.append(value, x), np.append(lost, l), np.append(node, own)
+        order = np.lexsort((-value, size))
+        highest = np.maximum.accumulate(value[order])
+        order = order[np.append(True, value[order][1:] > highest[:-1])]
+        order = order[lost[order] < max(gap - 1e-12 * bound, 0.0)]
+        size, value, lost, node = size[order], value[order], lost[order], node[order]
+        if len(size) > most or n > 50 * most:
+            raise RuntimeError("the exact selection needs too many states; raise most, or give bins")
+    out = []
+    if n:
+        before, entry = np.concatenate(before), np.concatenate(entry)
+    while at >= 0:
+        out.append(int(entry[at]))
+        at = before[at]
+    return out, gap - 1e-12 * bound
 
 
 def layer_counts(trees: DataFrame, by: list[str], text: str) -> DataFrame:

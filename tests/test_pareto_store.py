@@ -94,6 +94,27 @@ def test_knapsack(spark):
     assert sum(x["size_kb"] for x in got) <= cap and sum(x["value"] for x in got) == best
 
 
+def test_knapsack_keeps_all_that_fit(spark):
+    df = spark.createDataFrame([(i, 0.5, 1.0 + i % 7) for i in range(3000)] + [(3000, 0.0, 1.0), (3001, None, 1.0), (3002, 1.0, 0.0)], "id long, size_kb double, value double")
+    assert {x["id"] for x in S.knapsack(df, 1500.0).collect()} == set(range(3001))
+
+
+def test_knapsack_is_exact_beyond_the_core(spark):
+    import random
+
+    for seed, n, core in ((1, 1500, 10_000), (2, 1500, 4), (3, 400, 1), (4, 60, 2)):
+        r = random.Random(seed)
+        rs = [(i, r.randrange(1, 30), float(r.randrange(1, 60))) for i in range(n)]
+        rs += [(n + i, 6, 18.0) for i in range(20)]  # many of one ratio
+        cap = sum(s for _, s, _ in rs) // 3
+        best = [0.0] * (cap + 1)
+        for _, s, v in rs:
+            for c in range(cap, s - 1, -1):
+                best[c] = max(best[c], best[c - s] + v)
+        got = S.knapsack(spark.createDataFrame([(i, float(s), v) for i, s, v in rs], "id long, size_kb double, value double"), float(cap), core=core).collect()
+        assert len({x["id"] for x in got}) == len(got) and sum(x["size_kb"] for x in got) <= cap and sum(x["value"] for x in got) == best[cap]
+
+
 def test_upsert_and_insert(spark):
     t = spark.createDataFrame([("a", 1, "x"), ("b", None, "y")], "k string, n int, s string")
     c = spark.createDataFrame([("a", 2, None, 9), ("a", 3, "z", 9), ("c", 5, "w", 9), ("b", 1, None, 9)], "k string, n int, s string, other int")
