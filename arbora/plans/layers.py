@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+import re
 
-from arbora.plans.program import Node
+from arbora.plans.program import Node, parse
+
+_DEFINITION = re.compile(r"(?:^|[\r\n])[ \t]*(mod_\w+)[ \t]*:", re.IGNORECASE)
 
 #: Kind of shape rule of each layer, by name.
 KINDS = {
@@ -16,17 +19,29 @@ KINDS = {
 }
 
 
-def infer(node: Node, data_shape: tuple[int, ...], modules: dict[str, Node] | None = None) -> tuple[tuple[int, ...], int]:
-    """(output shape, number of parameters) of a layer tree. Unknown layers keep the shape and have no parameters."""
+def network(text: str) -> tuple[Node, dict[str, Node]]:
+    """The tree of a stored network and the modules its ``mod_N: ...`` definitions give, each over one line or several."""
+    main, *rest = _DEFINITION.split(text)
+    return parse(main), {name.lower(): parse(tree) for name, tree in zip(rest[::2], rest[1::2])}
+
+
+def infer(node: Node, data_shape: tuple[int, ...], modules: dict[str, Node] | None = None, inside: tuple[str, ...] = ()) -> tuple[tuple[int, ...], int]:
+    """(output shape, number of parameters) of a layer tree. Unknown layers keep the shape and have no parameters, and so
+    do names of modules that ``modules`` lacks. Each use of a module counts, a module called with arguments is applied to
+    the last of them, and one that uses itself is an error. ``inside`` has the modules around the tree."""
+    modules = modules or {}
+    name = str(node.value).lower()
+    if name in inside:
+        raise ValueError(f"{name} uses itself")
     if node.args is None:
-        return data_shape, 0
+        return infer(modules[name], data_shape, modules, (*inside, name)) if name in modules else (data_shape, 0)
     kind = KINDS.get(str(node.value), "same")
     sizes = [int(abs(a.value)) for a in node.args if isinstance(a.value, (int, float)) and not isinstance(a.value, bool)]
     size = max(1, sizes[0]) if sizes else 8
-    below = [infer(a, data_shape, modules) for a in node.args if a.args is not None]
-    for a in node.args:
-        if a.args is None and modules and a.value in modules:
-            below.append(infer(modules[a.value], data_shape, modules))
+    below = [infer(a, data_shape, modules, inside) for a in node.args if a.args is not None or str(a.value).lower() in modules]
+    if name in modules:
+        shape, params = infer(modules[name], below[-1][0] if below else data_shape, modules, (*inside, name))
+        return shape, params + sum(p for _, p in below)
     shape, params = below[-1] if below else (data_shape, 0)
     params = sum(p for _, p in below)
     last = shape[-1] if shape else 1

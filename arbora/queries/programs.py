@@ -11,7 +11,7 @@ from arbora.operators import learners as L
 from arbora.operators import objectives as V
 from arbora.operators.dataset import S2F, apply, if_then_else, slices
 from arbora.plans import program as G
-from arbora.plans.layers import infer
+from arbora.plans.layers import infer, network
 from arbora.queries.kernels import _query as _kernel_query
 
 QUERIES: dict = {}
@@ -111,14 +111,15 @@ QUERIES |= {"learner_bagged": _learner("DECISION_TREE", {}, "BAGGED"), "learner_
 
 @query()
 def layers_parameters(spark, folder):
-    """Number of parameters of each stored network, from its layer tree alone."""
+    """Number of parameters of each stored network, from its layer tree and the modules defined below it."""
     t = table(spark, folder, "nnlearnerstatistics").select("rec_id", "current_tree").distinct()
 
     @F.pandas_udf("long")
     def count(trees):
         def one(text):
             try:
-                return infer(G.parse(text.split("\n")[0] if ")" in text.split("\n")[0] and text.count("(") == text.count(")") and "mod_" in text else text), (28, 28, 1))[1]
+                tree, modules = network(text)
+                return infer(tree, (28, 28, 1), modules)[1]
             except (ValueError, AttributeError):
                 return None
 

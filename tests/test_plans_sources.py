@@ -49,6 +49,23 @@ def test_layer_shapes():
     assert infer(G.parse("GlobalMaxLayer(MaxPoolLayer(2, ConvLayer(3, InputLayer(ARG0))))"), (8, 8, 1)) == ((3,), 30)
 
 
+def test_layer_modules(spark, tmp_path):
+    from arbora.queries.programs import QUERIES
+
+    dense = lambda *a: f"DenseLayer({', '.join(map(str, a))})"
+    trees = [
+        f"OutputLayer({dense(10, 'InputLayer(ARG0)')})",  # (1 + 1) * 10
+        f"OutputLayer({dense(10, 'mod_1', 'InputLayer(ARG0)')})\nmod_1: {dense(5, 'InputLayer(ARG0)')}",  # and (1 + 1) * 5
+        f"OutputLayer(\n    {dense(10, 'mod_1')})\r\nmod_1: DenseLayer(5,\n    mod_2)\nmod_2: {dense(3, 'ARG0')}",  # 2 * 3 + 4 * 5 + 6 * 10
+        f"{dense(10, 'mod_2(mod_2(InputLayer(ARG0)))')}\nmod_2: {dense(3, 'ARG0')}",  # 2 * 3 + 4 * 3 + 4 * 10
+        f"{dense(10, 'mod_7', 'InputLayer(ARG0)')}\nmod_1: {dense(5, 'ARG0')}",  # an unknown module, an unused one
+        f"{dense(10, 'mod_1')}\nmod_1: {dense(5, 'mod_2')}\nmod_2: {dense(5, 'mod_1')}",
+    ]
+    spark.createDataFrame(list(enumerate(trees)), "rec_id long, current_tree string").write.parquet(str(tmp_path / "nnlearnerstatistics.parquet"))
+    got = {r["rec_id"]: r["n_params"] for r in QUERIES["layers_parameters"](spark, str(tmp_path)).collect()}
+    assert got == {0: 20, 1: 30, 2: 86, 3: 58, 4: 20, 5: None}
+
+
 def write(path, text, zipped=False):
     (gzip.open(path, "wt") if zipped else open(path, "w")).write(text)
     return str(path)
