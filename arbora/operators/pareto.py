@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -164,18 +166,47 @@ def staircase_area(df: DataFrame, f1: str, f2: str, by: list[str]) -> DataFrame:
     return pts.unionByName(ends).withColumn("nx", F.lead("a").over(w)).groupBy(*by).agg(F.sum(F.abs(F.col("nx") - F.col("a")) * F.col("b")).alias("auc"))
 
 
-def ranks(df: DataFrame, id: str, objectives: list[str], most: int) -> DataFrame:
-    """(id, front) of the first ``most`` fronts, each taken off before the next is found."""
-    rest, found = df, None
-    for k in range(most):
+def ranks(df: DataFrame, id: str, objectives: list[str], most: int | None = None) -> DataFrame:
+    """(id, front) of all rows whose objectives are finite, or of the first ``most`` fronts.
+
+    With two objectives the distinct points pass one task in their order, spilled where they don't fit, which holds the
+    least second objective of each front. With another number each front is taken off before the next is found.
+    """
+    rest = df
+    for o in objectives:
+        rest = rest.where(F.col(o).isNotNull() & ~F.isnan(F.col(o).cast("double")) & (F.abs(F.col(o).cast("double")) != float("inf")))
+    if len(objectives) == 2:
+        rest = stage(rest.select(id, *objectives), "rest")
+        points = rest.select(*objectives).distinct().repartition(1).sortWithinPartitions(*objectives)
+        fields = [points.schema[o] for o in objectives]
+        fronts = points.mapInArrow(_fronts_2d, T.StructType([*fields, T.StructField("front", T.IntegerType())]))
+        found = rest.join(fronts if most is None else fronts.where(F.col("front") < most), objectives)
+        return found.select(id, "front")
+    found, k = None, 0
+    while most is None or k < most:
         f = pareto_front(rest, objectives).select(id, F.lit(k).alias("front"))
         found = f if found is None else found.unionByName(f)
         rest = stage(rest.join(f.select(id), id, "left_anti"), "rest")
+        k += 1
         if rest.isEmpty():
             break
     return found
 
 
+def _fronts_2d(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The front of distinct points in ascending order: one after the last front with a point that dominates."""
+    least = []
+    for b in batches:
+        out = np.empty(len(b), np.int32)
+        for i, y in enumerate(b.column(1).to_pylist()):
+            out[i] = k = bisect_right(least, y)
+            if k == len(least):
+                least.append(y)
+            else:
+                least[k] = y
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], names=[*b.schema.names, "front"])
+
+
 def crowding(df: DataFrame, id: str, objectives: list[str]) -> DataFrame:
     """Crowding distance of the rows of one front: gaps to both neighbours in each objective, over its range."""
     total = F.lit(0.0)

@@ -178,8 +178,8 @@ def pareto_front_auc(spark, folder):
 
 @query()
 def pareto_ranks(spark, folder):
-    """The first three fronts."""
-    return P.ranks(scored(spark, folder).select("hash", "f1", "f2").dropDuplicates(["hash"]), "hash", ["f1", "f2"], 3)
+    """The front of every program."""
+    return P.ranks(scored(spark, folder).select("hash", "f1", "f2").dropDuplicates(["hash"]), "hash", ["f1", "f2"])
 
 
 @query()

@@ -50,6 +50,22 @@ def test_selection(spark):
     assert {r["id"] for r in f if r["front"] == 0} == set(brute(rs, 2))
 
 
+def test_ranks_of_all_rows(spark):
+    rs = rows(90, 4)
+    df = spark.createDataFrame(rs, SCHEMA)
+    finite = [r for r in rs if all(x is not None and abs(x) < float("inf") for x in r[1:3])]
+    want, left = {}, finite
+    while left:
+        better = lambda a, b: a[1] <= b[1] and a[2] <= b[2] and a[1:3] != b[1:3]
+        front = [r for r in left if not any(better(o, r) for o in left)]
+        want |= dict.fromkeys([r[0] for r in front], max(want.values(), default=-1) + 1)
+        left = [r for r in left if r[0] not in want]
+    assert max(want.values()) > 5
+    assert {r["id"]: r["front"] for r in P.ranks(df, "id", ["f1", "f2"]).collect()} == want
+    one = {r["id"]: r["front"] for r in P.ranks(df.limit(20), "id", ["f1"]).collect()}
+    assert len(one) == len([r for r in df.limit(20).collect() if r["f1"] is not None and abs(r["f1"]) < float("inf")])
+
+
 def test_novelty(spark):
     r = np.random.default_rng(1)
     v = r.normal(size=(60, 4))
