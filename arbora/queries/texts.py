@@ -99,12 +99,12 @@ def text_named_share(spark, folder):
 
 @query()
 def text_word_vectors(spark, folder):
-    return W.word_vectors(docs(spark, folder), "doc_id", "text").select("doc_id", F.size("vector").alias("n"))
+    return W.word_vectors(docs(spark, folder), "doc_id", "text").select("doc_id", F.posexplode("vector").alias("dim", "value")).withColumn("value", F.round("value", 4))
 
 
 @query()
 def text_rank(spark, folder):
-    return W.text_rank(docs(spark, folder), "doc_id", "text", 3).withColumn("rank", F.round("rank", 6))
+    return W.text_rank(docs(spark, folder), "doc_id", "text").withColumn("rank", F.round("rank", 6))
 
 
 COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]

@@ -66,6 +66,23 @@ def test_layer_modules(spark, tmp_path):
     assert got == {0: 20, 1: 30, 2: 86, 3: 58, 4: 20, 5: None}
 
 
+def test_text_queries_do_the_whole_operator(spark, tmp_path):
+    from arbora.operators import text as W
+    from arbora.queries.texts import QUERIES
+
+    texts = ["The queue moved the queue. The learner split the queue. A front moved at night. The learner moved at night.", "A front split the module. The module moved. The queue split the front.", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    want = {(r["doc_id"], r["pos"]): round(r["rank"], 6) for r in W.text_rank(df, "doc_id", "text", 10).collect()}
+    assert {(r["doc_id"], r["pos"]): r["rank"] for r in QUERIES["text_rank"](spark, str(tmp_path)).collect()} == want
+    assert want != {(r["doc_id"], r["pos"]): round(r["rank"], 6) for r in W.text_rank(df, "doc_id", "text", 3).collect()}
+    vectors = {}
+    for r in QUERIES["text_word_vectors"](spark, str(tmp_path)).collect():
+        vectors.setdefault(r["doc_id"], {})[r["dim"]] = r["value"]
+    assert all(sorted(v) == list(range(16)) for v in vectors.values()) and len(vectors) == 3
+    assert all(abs(sum(x * x for x in vectors[i].values()) - 1) < 1e-2 for i in (0, 1))
+
+
 def write(path, text, zipped=False):
     (gzip.open(path, "wt") if zipped else open(path, "w")).write(text)
     return str(path)
