@@ -14,15 +14,16 @@ before the context is read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arbora.keys import WHITE
 from arbora.staging import drop_stage, stage
 
 #: Lengths of the contexts, weight of the shorter context, and the longest line whose head is part of the state.
@@ -32,9 +33,12 @@ OWN_THRESHOLD, RANGE, BINS, SEARCH = 1000, (-6.0, 4.0), 50, (-1.0, 2.0)
 #: Most bits of the bitmap of end contexts (it only saves shuffling, so a full one costs time and no counts), and the
 #: share of ends from which a context is broadcast: at most ``len(ORDERS) / HOT`` contexts have it.
 MOST_BITS, HOT = 28, 1e-3
-_MARK = regex.compile(r"(?:…|\.\.\.+|�|[\s​-‍﻿])+$")
-_SPACE, _DIGITS, _HIDDEN = regex.compile(r"[^\S\n]+"), regex.compile(r"\d+(?:[.,]\d+)*"), regex.compile("[​-‍﻿�]")
-_FENCE = regex.compile("(?=```)")
+#: Zero-width and broken characters, and with the ellipsis and white space what marks a cut at an end.
+_HIDDEN = "\u200b\u200c\u200d\ufeff\ufffd"
+_MARKS = WHITE + _HIDDEN + "\u2026"
+_DROPPED = re.compile(f"[{_HIDDEN}]")
+_SPACE, _DIGITS = re.compile(r" [^\S\n]+|[^\S\n ][^\S\n]*"), re.compile(r"\d+(?:[.,]\d+)*")
+_FENCE = re.compile("(?=```)")
 _GAP = max(ORDERS)
 _SEP = np.uint64(0x1FFFFF)
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -42,8 +46,10 @@ _M = np.uint64(0x9E3779B97F4A7C15)
 
 def folded(text: str) -> str:
     """A text as the model reads it: without marks of a cut at its end, digits and white space folded."""
-    t = _MARK.sub("", text)
-    return _SPACE.sub(" ", _DIGITS.sub("0", _HIDDEN.sub("", t)))
+    t = text.rstrip(_MARKS)
+    while len(u := t.rstrip(".")) <= len(t) - 3:
+        t = u.rstrip(_MARKS)
+    return _SPACE.sub(" ", _DIGITS.sub("0", _DROPPED.sub("", t)))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -52,7 +58,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _since(flags: np.ndarray, start: np.ndarray) -> np.ndarray:
-    c = np.cumsum(flags)
+    c = np.cumsum(flags, dtype=np.int32)
     return c - c[start]
 
 
@@ -94,43 +100,53 @@ def end_contexts(texts: list[str]) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
-def place_contexts(texts: list[str]) -> tuple[Iterator[np.ndarray], np.ndarray]:
-    """Hashed contexts of one order after the other at every place of folded texts, and which places are ends."""
+def place_contexts(texts: list[str], known=None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places of folded texts with their hashed contexts, one order after the other: (place, context, whether an end).
+
+    ``known`` tells of contexts which to follow: the places of others are left out of all longer orders, and cost nothing
+    more. Places count the separators before each text.
+    """
     gap = chr(0x10FFFF) * _GAP
     sym = _symbols(gap + gap.join(texts) + gap)
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     end = np.cumsum(lengths + _GAP) - 1
-    i = np.arange(len(sym))
+    i = np.arange(len(sym), dtype=np.int32)
     sep = sym == _SEP
-    text_start = np.maximum.accumulate(np.where(sep, i, 0))
-    line_start = np.maximum.accumulate(np.where(sep | (sym == 10), i, 0))
+    text_start = np.maximum.accumulate(np.where(sep, i, np.int32(0)))
+    line_start = np.maximum.accumulate(np.where(sep | (sym == 10), i, np.int32(0)))
     tick = sym == 96
     mark = np.zeros(len(sym), bool)
     mark[2:] = tick[2:] & tick[1:-1] & tick[:-2]
-    fence = _since(mark, text_start) % 2
-    paren = _since((sym == 40).astype(np.int8), line_start) > _since((sym == 41).astype(np.int8), line_start)
-    quote = (_since(sym == 34, line_start) % 2 == 1) | (_since((sym == 0xAB).astype(np.int8), line_start) > _since((sym == 0xBB).astype(np.int8), line_start))
-    short = (line_start > text_start) & (i - line_start <= LINE) & (i - line_start > 0)
-    is_end = sep.copy()
+    fence = _since(mark, text_start) & 1
+    paren = _since((sym == 40).view(np.int8) - (sym == 41).view(np.int8), line_start) > 0
+    quote = (_since(sym == 34, line_start) & 1 == 1) | (_since((sym == 0xAB).view(np.int8) - (sym == 0xBB).view(np.int8), line_start) > 0)
+    on_line = i - line_start
+    is_end = np.zeros(len(sym), bool)
     is_end[end] = True
-
-    def rolled() -> Iterator[np.ndarray]:
-        with np.errstate(over="ignore"):
-            head = np.zeros(len(sym), np.uint64)
-            for k in (1, 2, 3):
-                head = head * np.uint64(1 << 21) + sym[np.minimum(line_start + k, i)]
-            state = _state(short, head, fence, paren, quote)
-            h, power = np.zeros(len(sym), np.uint64), np.uint64(1)
-            for n in range(1, _GAP + 1):
-                h[n - 1 :] += sym[: len(sym) - n + 1] * power
-                power *= np.uint64(0x100000001B3)
-                if n in ORDERS:
-                    yield _mix((h ^ state) + np.uint64(n) * _M)
-
-    return rolled(), is_end
+    places = np.flatnonzero(~sep)
+    flags = (fence + 2 * paren + 4 * quote).astype(np.uint64)[places]
+    short = np.flatnonzero(((line_start > text_start) & (on_line <= LINE) & (on_line > 0))[places])
+    with np.errstate(over="ignore"):
+        state = _mix((np.arange(8, dtype=np.uint64) + np.uint64(1)) * _M)[flags.view(np.int64)]
+        head = np.zeros(len(short), np.uint64)
+        for k in (1, 2, 3):
+            head = head * np.uint64(1 << 21) + sym[np.minimum(line_start[places[short]] + k, places[short])]
+        state[short] = _mix((_mix(head * _M) + flags[short] + np.uint64(1)) * _M)
+        h, power = np.zeros(len(places), np.uint64), np.uint64(1)
+        for n in range(1, _GAP + 1):
+            h = h + sym[places - (n - 1)] * power
+            power *= np.uint64(0x100000001B3)
+            if n in ORDERS:
+                x = _mix((h ^ state) + np.uint64(n) * _M)
+                if known is not None:
+                    on = np.flatnonzero(known(x))
+                    if not len(on):
+                        return
+                    places, state, h, x = places[on], state[on], h[on], x[on]
+                yield places, x, is_end[places]
 
 
-def _parts(batch: pa.RecordBatch, most: int = 1 << 21) -> Iterator[tuple[list[int], list[str]]]:
+def _parts(batch: pa.RecordBatch, most: int = 1 << 18) -> Iterator[tuple[list[int], list[str]]]:
     """Rows of a batch with their folded texts, in parts of bounded size; rows whose text is blank are left out."""
     rows, texts, size = [], [], 0
     for i, t in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
@@ -159,24 +175,23 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _goes_on(bitmap, bits: int):
     """Counts of contexts at places where text goes on: all that some text ends with, and few others. A text that ends
-    with a context ends with its shorter ones too, so a place is left once a shorter one is unknown."""
+    with a context ends with its shorter ones too, so a place is left once a shorter one is unknown, and most places are
+    never hashed beyond their first characters."""
     shift = np.uint64(64 - bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = bitmap.value
+
+        def known(x: np.ndarray) -> np.ndarray:
+            at = x >> shift
+            return (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
+
         for b in batches:
             for _, texts in _parts(b):
-                rolled, is_end = place_contexts(texts)
-                places = np.flatnonzero(~is_end)
-                for x in rolled:
-                    x = x[places]
-                    at = x >> shift
-                    on = (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-                    places = places[on]
-                    if not len(places):
-                        break
-                    h, n = np.unique(x[on], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+                found = [x[~is_end] for _, x, is_end in place_contexts(texts, known)]
+                if found:
+                    seen = pa.array(np.concatenate(found).view(np.int64)).value_counts()
+                    yield pa.RecordBatch.from_arrays([seen.field("values"), seen.field("counts")], names=["h", "n"])
 
     return run
 

@@ -61,8 +61,9 @@ def test_contexts_at_ends_agree():
 
     texts = [T.folded(t) for t in ["a", "ab\nc", 'x (y "z', "```\ncode ``` ```` x", "long " * 40 + "\nend", "a « b\n", "x\n\n- units: 12", "y\n", "é🎉"]]
     ends = T.end_contexts(texts)
-    rolled, is_end = T.place_contexts(texts)
     at = np.cumsum([len(t) + max(T.ORDERS) for t in texts]) - 1
-    assert is_end[at].all()
-    for k, h in enumerate(rolled):
-        assert (h[at] == ends[:, k]).all()
+    for k, (places, h, is_end) in enumerate(T.place_contexts(texts)):
+        assert (places[is_end] == at).all() and (h[is_end] == ends[:, k]).all()
+    only = set(ends[:, 0].tolist())
+    for k, (places, h, is_end) in enumerate(T.place_contexts(texts, lambda x: np.isin(x, ends))):
+        assert (h[is_end] == ends[:, k]).all() and set(h.tolist()) <= set(ends[:, k].tolist()) | only
