@@ -1,12 +1,16 @@
 """Several values packed in one field: one row per value, by the cheapest dialect of each field.
 
-A dialect says which separators, which quote characters and which nesting rule a field uses. A parse is
-*admissible* if it leaves no declared or undeclared separator outside quotes and parentheses and closes all it
-opens. Among admissible parses the minimum description length decides: bits that declare the dialect, plus for each
-value the code length of its shape (from shape counts gathered over the whole table) and of its characters.
-
-Fields without quotes and parentheses have one admissible reading and are split inside the JVM. Only the others go
-to Arrow batches.
+A dialect says which separators, which quote characters and which nesting rule a field uses. Every dialect a field's
+characters allow is tried: each set of separators that stand outside parentheses in it, each set of its quote
+characters, both nesting rules. A dialect that does not close what it opens is out; among the others the minimum
+description length decides. It is the sum of the bits that declare the dialect and, for each value, the code length of
+its shape, of its characters, and of each separator or quote it holds as an ordinary character. Those codes come from
+counts over the whole table, so what a value looks like in the corpus says where values begin and end: nothing fixes
+the separators first. The counts are those of the parses that are cheapest while all values cost the same.
+
+Fields with neither separators, quotes nor parentheses have one reading under every dialect and stay inside the JVM.
+All others go to Arrow batches. What decides is a field's skeleton (word characters made alike), so dialects are
+chosen once for each skeleton a task has in memory.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -28,15 +33,16 @@ from arbora.keys import WHITE, stripped
 MARKS = ",;|/"
 #: Bits: one declared separator, one declared quote character, the nesting rule, one character of a value.
 MARK_BITS, QUOTE_BITS, NEST_BITS, CHAR_BITS = 2.0, 2.0, 1.0, 5.0
-#: Bits of a value that begins with a quote character the dialect takes as an ordinary one: more than any code can save.
-STRAY_BITS = 1e6
-#: Shapes with a code of their own; rarer ones pay the escape code. Bounds what is broadcast.
+#: Shapes with a code of their own. The code of any other is that of the rest together and the choice among the rest, so
+#: the bound is on what is broadcast: counts cover all shapes.
 MOST_SHAPES = 4096
+#: Skeletons whose dialect a task remembers, and the longest it remembers.
+SKELETONS, LONGEST = 1 << 14, 2048
 _WORD = regex.compile(r"[A-Za-z0-9_.\-]+")
 
 
 class Dialect(NamedTuple):
-    marks: str
+    marks: str  # declared separators; a blank stands for white space
     quotes: str
     opaque: bool  # within parentheses, quoted text hides parentheses
 
@@ -45,14 +51,38 @@ class Dialect(NamedTuple):
         return MARK_BITS * len(self.marks) + QUOTE_BITS * len(self.quotes) + NEST_BITS * self.opaque
 
 
-@lru_cache(maxsize=256)
-def _grammar(quotes: str, opaque: bool) -> tuple[regex.Pattern, regex.Pattern]:
-    quoted = "|".join(rf"{q}(?:[^{q}\\]|\\[\s\S]|{q}{q})*{q}" for q in quotes)
+class Codes(NamedTuple):
+    """Code lengths in bits: of known shapes, of any other shape, and of separators and quotes as ordinary characters."""
+
+    shapes: dict[str, float]
+    escape: float
+    special: dict[str, float]
+
+
+#: Before anything is counted: bits of any value, and of a separator or quote that a value holds as an ordinary character.
+PRIOR_VALUE, PRIOR_SPECIAL = 12.0, 24.0
+SPECIALS = MARKS + " \"'"
+PRIOR = Codes({}, PRIOR_VALUE, dict.fromkeys(SPECIALS, PRIOR_SPECIAL))
+
+
+@lru_cache(maxsize=None)
+def _nest(opaque: bool) -> str:
     hidden = "|".join(rf"{q}(?:[^{q}\\]|\\[\s\S])*{q}" for q in "\"'")
     inner = rf"(?:[^()\"']|{hidden}|(?&nest))*" if opaque else r"(?:[^()]|(?&nest))*"
-    sep = rf"[{regex.escape(WHITE + MARKS)}]"
-    nest = rf"(?P<nest>\({inner}\))"
-    plain = rf"(?:[^{regex.escape(WHITE + MARKS)}()]|{nest})+"
+    return rf"(?P<nest>\({inner}\))"
+
+
+@lru_cache(maxsize=None)
+def _nested(opaque: bool) -> regex.Pattern:
+    return regex.compile(_nest(opaque))
+
+
+@lru_cache(maxsize=512)
+def _grammar(marks: str, quotes: str, opaque: bool) -> tuple[regex.Pattern, regex.Pattern]:
+    quoted = "|".join(rf"{q}(?:[^{q}\\]|\\[\s\S]|{q}{q})*{q}" for q in quotes)
+    chars = regex.escape(marks.replace(" ", WHITE))
+    sep = rf"[{chars}]" if marks else "(?!)"
+    plain = rf"(?:[^{chars}()]|{_nest(opaque)})+"
     value = rf"(?:(?P<quoted>{quoted})|(?P<plain>{plain}))" if quotes else rf"(?P<plain>{plain})"
     return regex.compile(rf"{value}(?={sep}|$)"), regex.compile(rf"{sep}+")
 
@@ -62,24 +92,19 @@ def _unquote(text: str) -> str:
     return body.replace(q + q, q).replace("\\" + q, q)
 
 
-def parse(body: str, dialect: Dialect) -> list[str] | None:
-    """Values of a field (already without outer white space and brackets), or None if not admissible."""
-    value, gap = _grammar(dialect.quotes, dialect.opaque)
-    out, at, allowed = [], 0, WHITE + dialect.marks
+def parse(body: str, dialect: Dialect) -> list[tuple[str, bool]] | None:
+    """(value, quoted) of a field already without outer white space and brackets; None if something stays open."""
+    value, gap = _grammar(*dialect)
+    out, at = [], 0
     while at < len(body):
         if m := gap.match(body, at):
-            if m[0].strip(allowed):
-                return None
             at = m.end()
             continue
         if not (m := value.match(body, at)):
             return None
-        groups = m.groupdict()
-        if groups.get("quoted") is not None:
-            if v := _unquote(m[0]).strip(WHITE):
-                out.append(v)
-        else:
-            out.append(m[0])
+        quoted = bool(dialect.quotes) and m["quoted"] is not None
+        if v := (_unquote(m[0]) if quoted else m[0]).strip(WHITE):
+            out.append((v, quoted))
         at = m.end()
     return out
 
@@ -90,22 +115,30 @@ def literal(body: str) -> list[str]:
 
 
 def shape(value: str) -> str:
-    return _WORD.sub("w", value)[:8] + "#" + str(len(value).bit_length())
+    """What a value looks like: words alike, parentheses empty, its length as a power of two."""
+    flat = _nested(True).sub("()", value) if "(" in value else value
+    return _WORD.sub("w", flat)[:8] + "#" + str(len(flat).bit_length())
+
+
+def bare(value: str, dialect: Dialect) -> str:
+    """Separators and quotes a plain value holds outside parentheses, white space as blanks."""
+    if value.isalnum():
+        return ""
+    outside = _nested(dialect.opaque).sub("", value) if "(" in value else value
+    return "".join(" " if c in WHITE else c for c in outside if c in WHITE or c in SPECIALS)
 
 
 def dialects(body: str) -> Iterator[Dialect]:
-    """Candidates for a field, from what occurs in it."""
-    marks = [m for m in MARKS if m in body]
-    sets = ["", *marks] if len(marks) < 2 else ["", *marks, "".join(marks)]
-    if len(marks) > 2:
-        sets += ["".join(m for m in marks if m != out) for out in marks]
+    """Candidates for a field, from what occurs in it. Separators that only stand in parentheses split nothing."""
     there = [q for q in "\"'" if q in body]
     quotes = ["", *there] + (["\"'"] if len(there) == 2 else [])
-    nests = (True, False) if there and "(" in body else (False,)
-    for m in sets:
-        for q in quotes:
-            for n in nests:
-                yield Dialect(m, q, n)
+    for opaque in (True, False) if there and "(" in body else (False,):
+        outside = _nested(opaque).sub("", body) if "(" in body else body
+        marks = [m for m in MARKS if m in outside] + [" "] * any(c in WHITE for c in outside)
+        for n in range(len(marks), -1, -1):
+            for some in combinations(marks, n):
+                for q in quotes:
+                    yield Dialect("".join(some), q, opaque)
 
 
 def strip_brackets(field: str) -> str:
@@ -113,35 +146,84 @@ def strip_brackets(field: str) -> str:
     return body[1:-1].strip(WHITE) if len(body) > 1 and body[0] == "[" and body[-1] == "]" else body
 
 
-def cheapest(field: str, code: dict[str, float], escape: float) -> list[str]:
-    """Values by the dialect of least description length; ties go to the first candidate."""
-    body = strip_brackets(field)
+def description(values: list[tuple[str, bool]], dialect: Dialect, codes: Codes) -> float:
+    """Bits of a field's values under a dialect."""
+    bits = dialect.bits
+    for v, quoted in values:
+        bits += codes.shapes.get(shape(v), codes.escape) + CHAR_BITS * len(v)
+        if not quoted:
+            bits += sum(codes.special.get(c, 0.0) for c in bare(v, dialect))
+    return bits
+
+
+def cheapest(body: str, codes: Codes) -> Dialect | None:
+    """The dialect of least description length; ties go to the first candidate, which declares most. None if no dialect
+    closes what it opens."""
     best, least = None, math.inf
     for d in dialects(body):
-        if (values := parse(body, d)) is None:
-            continue
-        stray = sum(v[0] in "\"'" and v[0] not in d.quotes for v in values)
-        bits = d.bits + STRAY_BITS * stray + sum(code.get(shape(v), escape) + CHAR_BITS * len(v) for v in values)
-        if bits < least:
-            best, least = values, bits
-    return literal(body) if best is None else best
+        if (values := parse(body, d)) is not None and (bits := description(values, d, codes)) < least:
+            best, least = d, bits
+    return best
+
+
+def _closed(body: str) -> str | None:
+    """The field with empty parentheses, if both nesting rules agree on them and no quoted value ends inside any."""
+    safe = True
+
+    def empty(m: regex.Match) -> str:
+        nonlocal safe
+        for q in "\"'":
+            if q in m[0] and body.count(q, 0, m.start()) % 2 and q in m[0].replace(q + q, "").replace("\\" + q, ""):
+                safe = False
+        return "()"
+
+    flat = _nested(True).sub(empty, body)
+    return flat if safe and flat == _nested(False).sub("()", body) else None
+
+
+def skeleton(body: str) -> str:
+    """The field with words of one kind and, where no reading looks inside, empty parentheses. A word keeps its length as
+    a power of two, as shapes do."""
+    flat = (_closed(body) or body) if "(" in body else body
+    return _WORD.sub(lambda m: "w" * (1 << (m.end() - m.start()).bit_length() - 1), flat)
 
 
-def _shapes_of_hard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shapes of the values of every admissible candidate, weighted so that a field counts as one."""
-    counts: dict[str, float] = {}
+def chooser(codes: Codes):
+    """:func:`cheapest` that remembers skeletons."""
+    known = lru_cache(maxsize=SKELETONS)(lambda body: cheapest(body, codes))
+    return lambda body: known(s) if len(s := skeleton(body)) <= LONGEST else cheapest(s, codes)
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shapes of the values of each field's parse that is cheapest by the prior codes, the separators and quotes these
+    values hold (named by the character alone), and their characters (the empty name)."""
+    choose, counts = chooser(PRIOR), {}
     for batch in batches:
         for field in batch.column(0).to_pylist():
             body = strip_brackets(field)
-            parses = [p for d in dialects(body) if (p := parse(body, d)) is not None]
-            for values in parses:
-                for v in values:
-                    s = shape(v)
-                    counts[s] = counts.get(s, 0.0) + 1 / len(parses)
-    yield pa.RecordBatch.from_pydict({"shape": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.float64())})
-
-
-_PLAIN_SEP = "(?U)[\\s,;|/\\x1c-\\x1f\\x85]+"
+            if (d := choose(body)) is None:
+                continue
+            for v, quoted in parse(body, d):
+                s = shape(v)
+                counts[s] = counts.get(s, 0) + 1
+                counts[""] = counts.get("", 0) + len(v)
+                for c in "" if quoted else bare(v, d):
+                    counts[c] = counts.get(c, 0) + 1
+    yield pa.RecordBatch.from_pydict({"shape": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
+
+
+def learned(counts: DataFrame) -> Codes:
+    """Code lengths from (shape, n), n adding up over rows of one name."""
+    sums = counts.groupBy("shape").agg(F.sum("n").alias("n"))
+    names = F.length("shape") > 1
+    total, different = sums.where(names).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    top = sums.where(names).orderBy(F.desc("n"), "shape").limit(MOST_SHAPES).collect()
+    other = {r["shape"]: r["n"] for r in sums.where(~names).collect()}
+    rest, kinds = total - sum(r["n"] for r in top), different - len(top)
+    shapes = {r["shape"]: -math.log2(r["n"] / (total + 1)) for r in top}
+    escape = -math.log2((rest + 1) / (total + 1)) + math.log2(kinds + 2)
+    chars = other.get("", 0) + 2
+    return Codes(shapes, escape, {c: -math.log2((other.get(c, 0) + 1) / chars) for c in SPECIALS})
 
 
 def split_packed(df: DataFrame, field: str, pos: str = "pos", val: str = "val") -> DataFrame:
@@ -154,46 +236,42 @@ def split_packed(df: DataFrame, field: str, pos: str = "pos", val: str = "val")
     if clash := {pos, val} & set(df.columns):
         raise ValueError(f"columns {sorted(clash)} exist already")
     spark = df.sparkSession
-    hard = F.col(field).rlike("[\"'()]")
-
-    def plain(x):
-        return F.filter(F.split(x, _PLAIN_SEP), lambda v: v != "")
+    several = rf"[{_ESCAPED}\"'()]"
 
     fields = df.select(F.col(field).alias("f")).where(F.col("f").isNotNull())
-    f_hard = F.col("f").rlike("[\"'()]")
-    easy = fields.where(~f_hard).select(F.explode(plain(body_of("f"))).alias("v"))
+    one = fields.select(body_of("f").alias("v")).where(~F.col("v").rlike(several) & (F.col("v") != ""))
     word = F.regexp_replace("v", r"[A-Za-z0-9_.\-]+", "w")
-    bits = F.when(F.length("v") > 0, F.floor(F.log2(F.length("v").cast("double"))) + 1).otherwise(0)
-    counts = (
-        easy.groupBy(F.concat(F.substring(word, 1, 8), F.lit("#"), bits.cast("string")).alias("shape"))
-        .agg(F.count("*").cast("double").alias("n"))
-        .unionByName(fields.where(f_hard).mapInArrow(_shapes_of_hard, "shape string, n double"))
-        .groupBy("shape")
-        .agg(F.sum("n").alias("n"))
-    )
-    top = counts.orderBy(F.desc("n"), "shape").limit(MOST_SHAPES).collect()
-    everything = sum(r["n"] for r in top) + 1.0
-    code = {r["shape"]: -math.log2(r["n"] / everything) for r in top}
-    shared = spark.sparkContext.broadcast((code, math.log2(everything) + 1.0))
+    bits = (F.floor(F.log2(F.length("v").cast("double"))) + 1).cast("string")
+    single = one.groupBy(F.concat(F.substring(word, 1, 8), F.lit("#"), bits).alias("shape")).agg(F.count("*").alias("n"), F.sum(F.length("v")).alias("chars"))
+    single = single.select(F.explode(F.array(F.struct("shape", "n"), F.struct(F.lit("").alias("shape"), F.col("chars").alias("n")))).alias("x")).select("x.*")
+    many = fields.where(body_of("f").rlike(several)).mapInArrow(_counts, "shape string, n long")
+    shared = spark.sparkContext.broadcast(learned(single.unionByName(many)))
 
     schema = T.StructType([*df.schema.fields, T.StructField("__vals", T.ArrayType(T.StringType()))])
     names = df.columns
 
-    def read_hard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, escape = shared.value
-        at = names.index(field)
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        choose, at = chooser(shared.value), names.index(field)
         for batch in batches:
-            values = pa.array([cheapest(x, code, escape) for x in batch.column(at).to_pylist()], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, values], names=[*[f"c{i}" for i in range(len(names))], "v"])
+            values = []
+            for text in batch.column(at).to_pylist():
+                body = strip_brackets(text)
+                values.append(literal(body) if (d := choose(body)) is None else [v for v, _ in parse(body, d)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.list_(pa.string()))], names=[*[f"c{i}" for i in range(len(names))], "v"])
 
     present = df.where(F.col(field).isNotNull())
-    easy_rows = present.where(~hard).withColumn("__vals", plain(body_of(field)))
-    hard_rows = present.where(hard).mapInArrow(read_hard, schema)
-    both = easy_rows.union(hard_rows)
+    body = body_of(field)
+    single_rows = present.where(~body.rlike(several) & (body != "")).withColumn("__vals", F.array(body))
+    many_rows = present.where(body.rlike(several)).mapInArrow(read, schema)
+    both = single_rows.union(many_rows)
     out = both.select("*", F.posexplode("__vals").alias("__p", val)).withColumn(pos, (F.col("__p") + 1).cast("int"))
     return out.select(*names, pos, val)
 
 
+#: White space and separators inside a Java character class.
+_ESCAPED = "".join(f"\\x{{{ord(c):x}}}" for c in WHITE + MARKS)
+
+
 def body_of(field: str):
     """The field without outer white space and one pair of brackets around all of it, as a column."""
     b = stripped(field)

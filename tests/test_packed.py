@@ -3,6 +3,7 @@ import random
 import pytest
 
 from arbora.keys import WHITE
+from arbora.operators import packed as P
 from arbora.operators.packed import split_packed
 
 SEP = WHITE + ",;|/"
@@ -103,3 +104,36 @@ def test_empty_unclosed_long_and_clashing(spark):
     assert sorted(by[1]) == ["'a", "'a", "b", "b"] and by[2] == ["F(a", "b"] and len(by[3]) == 50_000
     with pytest.raises(ValueError):
         split_packed(out, "f")
+
+
+def read(field, codes):
+    return [v for v, _ in P.parse(field, P.cheapest(field, codes))]
+
+
+def test_value_codes_decide(spark):
+    """The same field reads one way by the counts of one table, another way by those of another, and a third without codes."""
+    free = P.Codes({}, 0.0, {})
+    fields = [f for _, f in enumerate(made(300))]
+    changed = sum(read(P.strip_brackets(f), free) != read(P.strip_brackets(f), P.PRIOR) for f in fields)
+    assert changed > 100
+    counts = lambda rows: P.learned(spark.createDataFrame(rows, "shape string, n long"))
+    split = counts([("w#3", 100_000), ("", 400_000)])
+    whole = counts([("w#3", 3), ("w/w#3", 100_000), ("", 700_000), ("/", 100_000)])
+    assert read("abcd/efg", split) == ["abcd", "efg"]
+    assert read("abc/efg", whole) == ["abc/efg"]
+    quoted = counts([("w, w#4", 50_000), ("w#3", 50_000), ("", 700_000)])
+    assert read("'abcd, efgh', ijkl'", quoted) == ["abcd, efgh", "ijkl'"]
+    assert read("'abcd, efgh', ijkl'", free) == ["'abcd", "efgh'", "ijkl'"]
+
+
+def test_codes_cover_all_shapes(spark, monkeypatch):
+    monkeypatch.setattr(P, "MOST_SHAPES", 2)
+    c = P.learned(spark.createDataFrame([("a#1", 50), ("a#1", 14), ("b#1", 32), ("c#1", 20), ("d#1", 11), ("", 500)], "shape string, n long"))
+    assert set(c.shapes) == {"a#1", "b#1"} and abs(c.shapes["a#1"] - 1) < 1e-9 and abs(c.escape - (2 + 2)) < 1e-9
+
+
+def test_skeleton_decides_alike():
+    for f in FIXED + made(200):
+        if f:
+            b = P.strip_brackets(f)
+            assert read(b, P.PRIOR) == [v for v, _ in P.parse(b, P.chooser(P.PRIOR)(b))]
