@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from arbora.keys import WHITE, stripped
+from arbora.staging import drop_stage, stage
 
 #: Separators besides white space.
 MARKS = ",;|/"
@@ -214,7 +215,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learned(counts: DataFrame) -> Codes:
     """Code lengths from (shape, n), n adding up over rows of one name."""
-    sums = counts.groupBy("shape").agg(F.sum("n").alias("n"))
+    sums = stage(counts.groupBy("shape").agg(F.sum("n").alias("n")), "shapes")
     names = F.length("shape") > 1
     total, different = sums.where(names).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     top = sums.where(names).orderBy(F.desc("n"), "shape").limit(MOST_SHAPES).collect()
@@ -223,6 +224,7 @@ def learned(counts: DataFrame) -> Codes:
     shapes = {r["shape"]: -math.log2(r["n"] / (total + 1)) for r in top}
     escape = -math.log2((rest + 1) / (total + 1)) + math.log2(kinds + 2)
     chars = other.get("", 0) + 2
+    drop_stage(sums)
     return Codes(shapes, escape, {c: -math.log2((other.get(c, 0) + 1) / chars) for c in SPECIALS})
 
 
