@@ -65,12 +65,27 @@ def p4_report(spark: SparkSession, folder: str) -> DataFrame:
     return _orphans(spark, folder).groupBy("tbl", "period").agg(F.count("*").alias("n_orphans"))
 
 
+def _states(spark: SparkSession, folder: str) -> list[tuple[str, DataFrame]]:
+    """Signed counts per key of individuals and of cache entries. Rows delivered twice are one delta."""
+    people, cached = _references(spark, folder)
+    out = []
+    for name, refs, k in (("individuals", people, "hash"), ("cache_entries", cached, "id")):
+        exist = O.existence_deltas(table(spark, folder, name).select(k, "recorded_at", "purged_at").dropDuplicates(), k)
+        out.append((name, O.state(O.reference_deltas(refs.dropDuplicates(["tbl", "rec_id"])).unionByName(exist))))
+    return out
+
+
 def p4_current(spark: SparkSession, folder: str) -> DataFrame:
     """Keys with references and no record that exists now."""
-    people, cached = _references(spark, folder)
-    a = O.reference_balance(people.dropDuplicates(["tbl", "rec_id"]), table(spark, folder, "individuals"), "hash").withColumn("target", F.lit("individuals"))
-    b = O.reference_balance(cached.dropDuplicates(["tbl", "rec_id"]), table(spark, folder, "cache_entries"), "id").withColumn("target", F.lit("cache_entries"))
-    return a.unionByName(b).select("target", F.col("k").alias("ref_key"), "n_refs")
+    (a, x), (b, y) = _states(spark, folder)
+    both = O.current(x).withColumn("target", F.lit(a)).unionByName(O.current(y).withColumn("target", F.lit(b)))
+    return both.select("target", F.col("k").alias("ref_key"), "n_refs")
+
+
+def p4_state(spark: SparkSession, folder: str) -> DataFrame:
+    """The state that later deltas are merged into: per key, references and existing records."""
+    (a, x), (b, y) = _states(spark, folder)
+    return x.withColumn("target", F.lit(a)).unionByName(y.withColumn("target", F.lit(b))).select("target", F.col("k").alias("ref_key"), "n_refs", "n_exist")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -78,7 +93,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return split_packed(t, "parents").select("rec_id", "pos", "val")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_paths, p2_descendants, p2_circles, p4_found, p4_report, p4_current, p5_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_paths, p2_descendants, p2_circles, p4_found, p4_report, p4_current, p4_state, p5_found)}
 
 _CHARS = "||".join(f"chr({ord(c)})" for c in WHITE)
 _K = f"nullif(lower(trim({{c}}, {_CHARS})), '')"
@@ -95,11 +110,19 @@ _CASES = " UNION ".join(
 )
 _ONE = "(SELECT tbl, rec_id, min(period) AS period FROM (" + _CASES + ") GROUP BY tbl, rec_id)"
 _CURRENT = " UNION ALL ".join(
-    f"""SELECT '{o}' AS target, k AS ref_key, count(*) AS n_refs FROM ({" UNION ".join(f"SELECT '{t}' AS tbl, {i} AS rec_id, {_K.format(c=c)} AS k FROM {t}" for t, i, c in refs)}) r
+    f"""SELECT '{o}' AS target, k AS ref_key, count(*) AS n_refs FROM ({" UNION ".join(f"SELECT DISTINCT '{t}' AS tbl, {i} AS rec_id, {_K.format(c=c)} AS k FROM {t}" for t, i, c in refs)}) r
     WHERE k IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {o} x WHERE {_K.format(c="x." + kc)} = r.k AND x.recorded_at IS NOT NULL AND x.purged_at IS NULL) GROUP BY k"""
     for o, kc, refs in (("individuals", "hash", (("history", "id", "hash"), ("paretofront", "id", "hash"), ("mim", "rec_id", "ind_hash"))), ("cache_entries", "id", (("mcm", "rec_id", "cache_id"),)))
 )
+_STATE = " UNION ALL ".join(
+    f"""SELECT '{o}' AS target, k AS ref_key, CAST(sum(r) AS BIGINT) AS n_refs, CAST(sum(e) AS BIGINT) AS n_exist FROM (
+      SELECT k, 1 AS r, 0 AS e FROM ({" UNION ".join(f"SELECT DISTINCT '{t}' AS tbl, {i} AS rec_id, {_K.format(c=c)} AS k FROM {t}" for t, i, c in refs)})
+      UNION ALL SELECT {_K.format(c=kc)}, 0, 1 FROM (SELECT DISTINCT {kc}, recorded_at, purged_at FROM {o}) WHERE recorded_at IS NOT NULL AND purged_at IS NULL)
+    WHERE k IS NOT NULL GROUP BY k"""
+    for o, kc, refs in (("individuals", "hash", (("history", "id", "hash"), ("paretofront", "id", "hash"), ("mim", "rec_id", "ind_hash"))), ("cache_entries", "id", (("mcm", "rec_id", "cache_id"),)))
+)
 SQL = {
+    "p4_state": _STATE,
     "p4_found": f"SELECT tbl, rec_id FROM {_ONE}",
     "p4_report": f"SELECT tbl, period, count(*) AS n_orphans FROM {_ONE} GROUP BY tbl, period",
     "p4_current": _CURRENT,
