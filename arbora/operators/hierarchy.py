@@ -82,22 +82,24 @@ def _follow(links: DataFrame, further: DataFrame) -> DataFrame:
     )
 
 
-def _resolve(links: DataFrame, block_rows: int, jumps: int = 0) -> DataFrame:
-    """Links (node, ptr, off, cyc), one per node, to (node, end of line, distance, cyc)."""
+def _resolve(links: DataFrame, block_rows: int, jumps: int = 0, first: int = 0) -> DataFrame:
+    """Links (node, ptr, off, cyc), one per node, to (node, end of line, distance, cyc). ``first`` is the number of
+    boundary links before any jump: a pointer that has not ended spans at least 2^jumps of them."""
     local = stage(links.mapInArrow(_reduce(block_rows), _LINKS), "forest")
     ends = local.where(~F.col("cyc")).select(F.col("ptr").alias("node")).distinct()
     boundary = stage(local.join(ends, "node", "left_semi"), "boundary")
     size = boundary.count()
+    first = first or size
     if size == 0:
         return local
     if size <= block_rows:
         merged = boundary.repartition(1).mapInArrow(_reduce(1 << 62), _LINKS)
-    elif jumps > size.bit_length() + 1:
+    elif jumps > first.bit_length():
         merged = boundary.withColumn("cyc", F.lit(True))  # jumped farther than any line without a circle is long
     else:
         blocks = -(-size // block_rows)
         jumped = _follow(boundary, boundary)
-        merged = _resolve(jumped.repartition(blocks, F.xxhash64("ptr", F.lit(jumps))), block_rows, jumps + 1)
+        merged = _resolve(jumped.repartition(blocks, F.xxhash64("ptr", F.lit(jumps))), block_rows, jumps + 1, first)
     return stage(_follow(local, merged), "resolved")
 
 

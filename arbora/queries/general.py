@@ -136,3 +136,16 @@ SQL["p2_found"] = f"""WITH RECURSIVE f AS (SELECT {_K.format(c="hash")} AS node,
   w(node, cur, d) AS (SELECT node, node, 0 FROM u UNION ALL SELECT w.node, u.parent, w.d + 1 FROM w JOIN u ON u.node = w.cur WHERE u.parent IS NOT NULL AND w.d <= (SELECT count(*) FROM u))
   SELECT u.node AS hash, coalesce(r.cur, '') AS root_hash, CAST(coalesce(r.d, -1) AS INT) AS node_depth
   FROM u LEFT JOIN (SELECT w.node, w.cur, w.d FROM w JOIN u ON u.node = w.cur WHERE u.parent IS NULL) r ON r.node = u.node"""
+
+_TREE = f"""WITH RECURSIVE f AS (SELECT {_K.format(c="hash")} AS node, {_FIRST} AS v FROM nnlearnerstatistics),
+  n AS (SELECT node, min({_K.format(c="v.a || v.b || v.c")}) AS parent FROM f WHERE node IS NOT NULL GROUP BY node),
+  u AS (SELECT a.node, b.node AS parent FROM n a LEFT JOIN n b ON b.node = a.parent),
+  t(node, root, depth, path) AS (SELECT node, node, 0, [node] FROM u WHERE parent IS NULL
+    UNION ALL SELECT u.node, t.root, t.depth + 1, list_append(t.path, u.node) FROM u JOIN t ON u.parent = t.node)"""
+SQL["p2_paths"] = f"{_TREE} SELECT node AS hash, root AS root_hash, CAST(depth AS INT) AS node_depth, array_to_string(path, '>') AS full_path FROM t"
+SQL["p2_descendants"] = f"""{_TREE} SELECT path[i] AS ancestor_hash, node AS hash, CAST(depth + 1 - i AS INT) AS distance
+  FROM (SELECT *, unnest(range(1, depth + 1)) AS i FROM t)"""
+SQL["p2_circles"] = f"""{_TREE}, bad AS (SELECT * FROM u WHERE node NOT IN (SELECT node FROM t)),
+  w(node, cur, low, d) AS (SELECT node, parent, least(node, parent), 1 FROM bad
+    UNION ALL SELECT w.node, b.parent, least(w.low, b.parent), w.d + 1 FROM w JOIN bad b ON b.node = w.cur WHERE w.cur <> w.node AND w.d <= (SELECT count(*) FROM bad))
+  SELECT node AS hash, low AS circle_hash, CAST(d AS BIGINT) AS circle_length FROM w WHERE cur = node"""

@@ -53,3 +53,10 @@ def test_empty_and_repeated(spark):
     assert H.hierarchy(spark.createDataFrame([], "node string, parent string")).count() == 0
     df = spark.createDataFrame([("a", None, 1), ("a", None, 1), ("b", "a", 2)], "node string, parent string, root int")
     assert sorted(tuple(r) for r in H.hierarchy(df).collect()) == [("a", "a", 0, False), ("b", "a", 1, False)]
+
+
+@pytest.mark.parametrize("block_rows, length", [(2, 40), (4, 94), (3, 130)])
+def test_long_lines_in_small_blocks_are_no_circles(spark, block_rows, length):
+    rows = [(f"n{i:03d}", f"n{i - 1:03d}" if i else None) for i in range(length)]
+    got = {r["node"]: (r["root"], r["depth"], r["cyclic"]) for r in H.hierarchy(spark.createDataFrame(rows, "node string, parent string").repartition(6), block_rows=block_rows).collect()}
+    assert got == {n: ("n000", int(n[1:]), False) for n, _ in rows}
