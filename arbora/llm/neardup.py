@@ -31,6 +31,8 @@ from arbora.staging import drop_stage, stage
 BUCKETS = 1 << 20
 #: Greatest L, and the costs (in posting reads) of one posting and of one pair to verify.
 MOST_L, READ_COST, VERIFY_COST = 4, 1.0, 20.0
+#: Most rows of one join key that meet in one task; more are split into blocks, and each pair of blocks is a key of its own.
+BLOCK = 5000
 _TOKEN = regex.compile(r"[A-Za-z0-9_.]+")
 
 
@@ -142,18 +144,35 @@ def near_duplicates(records: DataFrame, tbl: str = "tbl", id: str = "id", text:
     counts = spark.sparkContext.broadcast(seen)
 
     posted = classes.select("c", "elems").mapInArrow(_postings(counts, permille, total), "e int, c long, n int, lvls int, b0 long, b1 long")
-    a, b = (posted.select("e", *[F.col(x).alias(f"{x}_{s}") for x in ("c", "n", "lvls", "b0", "b1")]) for s in "ab")
+    a, b = pair_sides(posted, ["e"], "c", ["c", "n", "lvls", "b0", "b1"])
     less = F.least(F.col("lvls_a") % 16, F.col("lvls_b") % 16)
     enters = F.greatest(F.shiftright("lvls_a", 4), F.shiftright("lvls_b", 4))
     apart = F.bit_count(F.col("b0_a").bitwiseXOR(F.col("b0_b"))) + F.bit_count(F.col("b1_a").bitwiseXOR(F.col("b1_b")))
     # J >= t  <=>  |A xor B| <= (|A| + |B|) (1 - t) / (1 + t)
     close = apart * (1000 + permille) <= (F.col("n_a") + F.col("n_b")) * (1000 - permille)
     sized = (F.col("n_a") * 1000 >= F.col("n_b") * permille) & (F.col("n_b") * 1000 >= F.col("n_a") * permille)
-    pairs = a.join(b, "e").where((F.col("c_a") < F.col("c_b")) & sized & close & (enters <= less))
+    pairs = a.join(b, ["e", "block_a", "block_b"]).where((F.col("c_a") < F.col("c_b")) & sized & close & (enters <= less))
     candidates = stage(pairs.groupBy("c_a", "c_b").agg(F.count("*").alias("shared"), F.first(less).alias("need")).where("shared >= need").select("c_a", "c_b"), "candidates")
     return members, _verified(candidates, classes, permille)
 
 
+def pair_sides(rows: DataFrame, by: list[str], id: str, cols: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a self-join of ``rows`` on ``by``: columns ``cols`` with suffix, and the blocks to join on as well.
+
+    A key with more than ``BLOCK`` rows is cut into blocks by ``id``; its rows go to every block of the other side, so
+    all pairs of the key still meet, spread over as many tasks as there are pairs of blocks. Nothing is dropped.
+    """
+    hot = stage(rows.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select(*by, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "hot")
+    n_hot = hot.count()
+    if n_hot == 0:
+        return tuple(rows.select(*by, *[F.lit(0).alias(f"block_{t}") for t in "ab"], *[F.col(x).alias(f"{x}_{s}") for x in cols]) for s in "ab")
+    both = rows.join(F.broadcast(hot) if n_hot <= 100_000 else hot, by, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    mine, every = F.pmod(F.xxhash64(id), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = both.select(*by, mine.alias("block_a"), every.alias("block_b"), *[F.col(x).alias(f"{x}_a") for x in cols])
+    right = both.select(*by, every.alias("block_a"), mine.alias("block_b"), *[F.col(x).alias(f"{x}_b") for x in cols])
+    return left, right
+
+
 def _verified(candidates: DataFrame, classes: DataFrame, permille: int) -> DataFrame:
     one = classes.select(F.col("c").alias("c_a"), F.col("tbl").alias("t_a"), F.col("elems").alias("x_a"))
     two = classes.select(F.col("c").alias("c_b"), F.col("tbl").alias("t_b"), F.col("elems").alias("x_b"))
@@ -170,13 +189,15 @@ def linked_ids(members: DataFrame, links: DataFrame) -> DataFrame:
     b = m.select("tbl", F.col("id").alias("id_b"), F.col("cls").alias("cls_b"))
     across = links.select("tbl", "cls_a", "cls_b").join(a, ["tbl", "cls_a"]).join(b, ["tbl", "cls_b"])
     across = across.where(F.col("id_a") != F.col("id_b")).select("tbl", F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
-    within = a.withColumnRenamed("cls_a", "cls").join(b.withColumnRenamed("cls_b", "cls"), ["tbl", "cls"]).where(F.col("id_a") < F.col("id_b")).select("tbl", "id_a", "id_b")
+    left, right = pair_sides(m, ["tbl", "cls"], "id", ["id"])
+    within = left.join(right, ["tbl", "cls", "block_a", "block_b"]).where(F.col("id_a") < F.col("id_b")).select("tbl", "id_a", "id_b")
     return across.unionByName(within).distinct()
 
 
 def classed(members: DataFrame, links: DataFrame) -> DataFrame:
-    """(tbl, id, cls, n_copies, n_links): one row per id and class, with the ids in its class and its class's links."""
-    copies = members.groupBy("tbl", "cls").agg(F.count("*").alias("n_copies"))
+    """(tbl, id, cls, least_id, n_copies, n_links): one row per id and class, with the least id and the number of ids in
+    its class, and its class's links."""
+    copies = members.groupBy("tbl", "cls").agg(F.min("id").alias("least_id"), F.count("*").alias("n_copies"))
     ends = links.select("tbl", F.explode(F.array("cls_a", "cls_b")).alias("cls")).groupBy("tbl", "cls").agg(F.count("*").alias("n_links"))
     return members.join(copies, ["tbl", "cls"]).join(ends, ["tbl", "cls"], "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
 

@@ -72,9 +72,10 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_classes(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per program and class of equal trees, with the number of copies and of links to other classes."""
+    """One row per program and class of equal trees, with the number of copies and of links to other classes. A class is
+    named by the least of its programs."""
     c = neardup.classed(*neardup.near_duplicates(_trees(spark, folder)))
-    return c.select("tbl", F.col("id").alias("hash"), F.col("cls").alias("class_id"), "n_copies", "n_links")
+    return c.select("tbl", F.col("id").alias("hash"), F.col("least_id").alias("class_hash"), "n_copies", "n_links")
 
 
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:

@@ -40,6 +40,14 @@ SQL["p3_found"] = f"""WITH d AS (SELECT *, row_number() OVER () AS i, len(t) AS
   p AS (SELECT a.tbl, a.h AS x, b.h AS y, a.i, b.i AS j, a.n + b.n AS n, sum(least(a.k, b.k)) AS s FROM c a JOIN c b ON a.tbl = b.tbl AND a.w = b.w AND a.h < b.h WHERE a.n * 10 >= b.n * 7 AND b.n * 10 >= a.n * 7 GROUP BY ALL)
   SELECT DISTINCT tbl, x AS hash_a, y AS hash_b FROM p WHERE s * 10 >= (n - s) * 7"""
 
+SQL["p3_classes"] = f"""WITH m AS (SELECT DISTINCT tbl, h, t FROM ({_ROWS}) WHERE len(t) > 0),
+  d AS (SELECT tbl, t, len(t) AS n, min(h) AS least, count(*) AS copies, row_number() OVER () AS i FROM m GROUP BY tbl, t),
+  c AS (SELECT tbl, i, n, w, count(*) AS k FROM (SELECT tbl, i, n, unnest(t) AS w FROM d) GROUP BY ALL),
+  p AS (SELECT a.i, b.i AS j, a.n + b.n AS n, sum(least(a.k, b.k)) AS s FROM c a JOIN c b ON a.tbl = b.tbl AND a.w = b.w AND a.i <> b.i WHERE a.n * 10 >= b.n * 7 AND b.n * 10 >= a.n * 7 GROUP BY ALL),
+  l AS (SELECT i, count(*) AS links FROM p WHERE s * 10 >= (n - s) * 7 GROUP BY i)
+  SELECT m.tbl, m.h AS hash, d.least AS class_hash, d.copies AS n_copies, CAST(coalesce(l.links, 0) AS BIGINT) AS n_links
+  FROM m JOIN d ON d.tbl = m.tbl AND d.t = m.t LEFT JOIN l ON l.i = d.i"""
+
 
 def _grams(name: str, key: str) -> str:
     return rf"""SELECT {key}, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT {key}, w, unnest(range(1, len(w) - 10)) AS i FROM (SELECT {key}, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM {name} WHERE text IS NOT NULL))"""

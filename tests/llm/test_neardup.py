@@ -66,3 +66,13 @@ def test_empty_and_long(spark):
     members, links = neardup.near_duplicates(spark.createDataFrame([("t", "a", long), ("t", "b", long + " more")], schema))
     assert neardup.linked_ids(members, links).count() == 1
     assert {r["n_links"] for r in neardup.classed(members, links).collect()} == {1}
+
+
+def test_hot_keys_in_blocks(spark, monkeypatch):
+    """Keys cut into blocks give the same links and the same pairs of copies."""
+    r = random.Random(4)
+    rows = [("t", f"h{i:03d}", "F(a, b, c, d, " + ", ".join(r.choices(["e", "f", "g", "h"], k=3)) + ")") for i in range(120)]
+    df = spark.createDataFrame(rows, "tbl string, id string, text string")
+    want = sorted(map(tuple, neardup.linked_ids(*neardup.near_duplicates(df)).collect()))
+    monkeypatch.setattr(neardup, "BLOCK", 7)
+    assert sorted(map(tuple, neardup.linked_ids(*neardup.near_duplicates(df)).collect())) == want and len(want) > 3000
