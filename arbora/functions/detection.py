@@ -154,21 +154,51 @@ def matched_2d(x, size=3, std=1.0):
     return correlate(x, np.outer(g, g), "edge")
 
 
-def mean_chip(x: np.ndarray, size: int) -> np.ndarray:
-    """The mean neighbourhood of the brightest pixel of every image: a template from the data."""
-    w = windows(x, size, size, "edge").reshape(len(x), -1, size, size)
-    return w[np.arange(len(x)), x.reshape(len(x), -1).argmax(axis=1)].mean(axis=0) if len(x) else np.zeros((size, size))
+def target_chips(x: np.ndarray, size: int, points: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(image, chip): the neighbourhoods of every target point (row, column) in its image, or where no points are given
+    of every image's brightest pixel. Points outside their image are none."""
+    w = windows(x, size, size, "edge")
+    if points is None:
+        pixels = x.shape[1] * x.shape[2]
+        flat = w.reshape(len(x), pixels, size * size)
+        return np.arange(len(x)), flat[np.arange(len(x)), x.reshape(len(x), pixels).argmax(axis=1)]
+    at = [(i, int(round(r)), int(round(c))) for i, row in enumerate(points) for r, c in (row if row is not None else ()) if 0 <= round(r) < x.shape[1] and 0 <= round(c) < x.shape[2]]
+    i, r, c = np.array(at, int).reshape(-1, 3).T
+    return i, w[i, r, c].reshape(len(i), size * size)
+
+
+def chip_sums(x, points=None, size=3, r=None, **_):
+    """Per image the sum of its target chips, and their number."""
+    size = odd(size) if r is None else 2 * int(r) + 1
+    i, chips = target_chips(x, size, points)
+    out = np.zeros((len(x), size * size + 1))
+    np.add.at(out, i, np.column_stack([chips, np.ones(len(i))]))
+    return out
+
+
+def pixel_sums(x, points=None, r=1):
+    """Per image the sum, the sum of squares and the number of the pixels around its targets."""
+    i, chips = target_chips(x, 2 * int(r) + 1, points)
+    out = np.zeros((len(x), 3))
+    np.add.at(out, i, np.column_stack([chips.sum(axis=1), (chips**2).sum(axis=1), np.full(len(i), chips.shape[1])]))
+    return out
+
+
+def mean_chip(fitted: np.ndarray) -> np.ndarray:
+    """The mean of all target chips: a template from the data."""
+    k = math.isqrt(len(fitted) - 1)
+    return (fitted[:-1] / max(fitted[-1], 1)).reshape(k, k)
 
 
-@image("ConvolveChannelMerge", "convolution with the mean target chip", size=3)
-def convolve_merge(x, size=3, chip=None):
-    k = mean_chip(x, odd(size)) if chip is None else chip
+@image("ConvolveChannelMerge", "convolution with the mean target chip", fit=chip_sums, size=3)
+def convolve_merge(x, size=3, fitted=None):
+    k = mean_chip(fitted)
     return correlate(x - x.mean(axis=(1, 2), keepdims=True), k[::-1, ::-1], "constant")
 
 
-@image("Cv2TemplateMatching", "match with the mean target chip; squared difference, correlation or coefficient, plain or normed, by index % 6", size=3, method=5)
-def template_matching(x, size=3, method=5, chip=None):
-    k = mean_chip(x, odd(size)) if chip is None else chip
+@image("Cv2TemplateMatching", "match with the mean target chip; squared difference, correlation or coefficient, plain or normed, by index % 6", fit=chip_sums, size=3, method=5)
+def template_matching(x, size=3, method=5, fitted=None):
+    k = mean_chip(fitted)
     w = np.lib.stride_tricks.sliding_window_view(x, k.shape, axis=(1, 2))
     m, norm = int(method) % 6 // 2, int(method) % 2
     if m == 2:
@@ -254,11 +284,11 @@ def rx(x, quantile=0.99):
     return (m > limit).astype(float).reshape(x.shape)
 
 
-@image("NormalLikelihood", "density of each pixel under the normal fitted to the pixels around the brightest", r=1)
-def normal_likelihood(x, r=1):
-    w = windows(x, 2 * int(r) + 1, 2 * int(r) + 1, "edge").reshape(len(x), x.shape[1] * x.shape[2], -1)
-    near = w[np.arange(len(x)), x.reshape(len(x), -1).argmax(axis=1)] if len(x) else np.zeros((0, 1))
-    mean, std = (near.mean(), near.std() + 1e-9) if near.size else (0.0, 1.0)
+@image("NormalLikelihood", "density of each pixel under the normal fitted to the pixels around all targets", fit=pixel_sums, r=1)
+def normal_likelihood(x, r=1, fitted=None):
+    total, squares, n = fitted
+    mean = total / max(n, 1)
+    std = math.sqrt(max(squares / max(n, 1) - mean * mean, 0)) + 1e-9 if n else 1.0
     return np.exp(-0.5 * ((x - mean) / std) ** 2) / (std * math.sqrt(2 * math.pi))
 
 
@@ -275,10 +305,10 @@ def maximum_windows(x, r=1, size=3, threshold=1.0):
     return ragged([[w[i, int(o.mean(axis=0)[0]), int(o.mean(axis=0)[1])] for o in objects(l)] for i, l in enumerate(components((x == top) & (x >= threshold)))])
 
 
-@image("CCorrObjectFilter", "local maxima whose window agrees with the mean chip: (row, column)", r=1, threshold=0.1)
-def ccorr_filter(x, r=1, threshold=0.1):
+@image("CCorrObjectFilter", "local maxima whose window agrees with the mean chip: (row, column)", fit=chip_sums, r=1, threshold=0.1)
+def ccorr_filter(x, r=1, threshold=0.1, fitted=None):
     k = 2 * int(r) + 1
-    chip = mean_chip(x, k)
+    chip = mean_chip(fitted)
     chip = chip / (chip.sum() or 1.0)
     w = windows(x, k, k, "edge")
     s = w.sum(axis=(3, 4), keepdims=True)

@@ -22,9 +22,9 @@ def signal(name: str, doc: str = "", inputs: int = 1, **params):
     return put
 
 
-def image(name: str, doc: str = "", inputs: int = 1, **params):
+def image(name: str, doc: str = "", inputs: int = 1, fit=None, **params):
     def put(f):
-        register(Op(name, inputs, params, kernel=f, image=True, doc=doc or (f.__doc__ or "")))
+        register(Op(name, inputs, params, kernel=f, image=True, doc=doc or (f.__doc__ or ""), fit=fit))
         return f
 
     return put
@@ -213,10 +213,10 @@ def informed_search(x, peak, search=5, least=0.08):
     return out
 
 
-@signal("RichardsonLucy", "deconvolution with a flat point spread", iterations=50)
-def richardson_lucy(x, iterations=50):
-    n = x.shape[1]
-    k = np.fft.rfft(np.r_[np.ones(5) / 5, np.zeros(n - 5)] if n >= 5 else np.r_[1.0, np.zeros(n - 1)])
+@signal("RichardsonLucy", "deconvolution with a flat point spread", iterations=50, spread=5)
+def richardson_lucy(x, iterations=50, spread=5):
+    n, width = x.shape[1], max(1, min(int(spread), x.shape[1]))
+    k = np.fft.rfft(np.r_[np.ones(width) / width, np.zeros(n - width)])
     x = np.abs(x)
     est = np.full_like(x, 0.5)
     for _ in range(int(iterations)):
@@ -225,9 +225,12 @@ def richardson_lucy(x, iterations=50):
     return est
 
 
-@signal("AccumulateWeighted", "running average of frames of 8, seeded with the first; the first frame is not given", alpha=0.01)
-def accumulate(x, alpha=0.01):
-    f = x.reshape(len(x), -1, 8)
+@signal("AccumulateWeighted", "running average of frames, seeded with the first, which is not given; a row of n samples has frames of sqrt(n), or as long as asked; a last frame that is not full is left out", alpha=0.01, frame=0)
+def accumulate(x, alpha=0.01, frame=0):
+    size = int(frame) or max(1, math.isqrt(x.shape[1]))
+    f = x[:, : x.shape[1] // size * size].reshape(len(x), -1, size)
+    if not f.shape[1]:
+        return x[:, :0]
     avg, out = f[:, 0], []
     for t in range(1, f.shape[1]):
         avg = (1 - alpha) * avg + alpha * f[:, t]
@@ -296,11 +299,11 @@ def lognormal_lm(x):
     return _lognormal(np.arange(1, x.shape[1] + 1.0), fit(_lognormal, x, start))
 
 
-@signal("my_nnls_deconvolution", "non-negative source whose blur by a flat spread of 5 is nearest to the row")
-def nnls(x):
-    n = x.shape[1]
-    a = np.abs(np.arange(n)[:, None] - np.arange(n)[None, :]) <= 2
-    a = a / 5.0
+@signal("my_nnls_deconvolution", "non-negative source whose blur by a flat spread is nearest to the row", spread=5)
+def nnls(x, spread=5):
+    n, width = x.shape[1], odd(spread)
+    a = np.abs(np.arange(n)[:, None] - np.arange(n)[None, :]) <= width // 2
+    a = a / width
     step = 1 / np.linalg.norm(a, 2) ** 2
     s = np.maximum(x, 0)
     for _ in range(300):

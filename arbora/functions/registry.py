@@ -20,6 +20,8 @@ class Op:
     kernel: Callable | None = None  # numpy: (arrays, **params) -> array
     image: bool = False  # works on a row-major square image rather than a vector
     doc: str = ""
+    fit: Callable | None = None  # numpy: (array, points or None, **params) -> a row of addends per row; their sums over
+    # all rows reach the kernel as ``fitted``, so that no row's result depends on which rows share its batch
 
     def fill(self, args: tuple) -> dict:
         """Parameters by position over the defaults."""

@@ -105,11 +105,22 @@ def _round_even(b: str) -> str:
 
 
 def whole(name: str, spark: str, sql: str, doc: str = "", inputs: int = 1, **params) -> None:
-    """An operator that is one expression over the whole array; scalars come as arrays of one."""
+    """An operator that is one expression over the whole array; scalars come as arrays of one.
+
+    Images are row-major: ``{W}`` and ``{H}`` stand for their width and height, by the parameter ``width`` or, where it is
+    0, those of a square; ``{D}`` and ``{E}`` for the rows and columns of each plane of a cube.
+    """
+
+    def sides(t: str, p: dict, size: str, whole: str) -> str:
+        for k, given, root in (("{H}", None, None), ("{W}", p.get("width"), "sqrt"), ("{D}", p.get("rows"), "cbrt"), ("{E}", p.get("cols"), "cbrt")):
+            t = t.replace(k, whole.format(a=f"{size}({{x}})", b="{W}") if k == "{H}" else str(int(given)) if given else f"CAST(round({root}({size}({{x}}))) AS INT)")
+        return t
 
     def make(text, number):
+        ansi = text is sql
+
         def build(xs: list[str], p: dict) -> str:
-            t = text
+            t = sides(text, p, "len", "({a} // {b})") if ansi else sides(text, p, "size", "CAST({a} DIV {b} AS INT)")
             for k, v in p.items():
                 t = t.replace("{" + k + "}", str(int(v)) if not isinstance(v, float) else number(v))
             for k, x in zip(("{x}", "{y}"), xs):
@@ -273,7 +284,7 @@ whole("GetCentroids", "slice({x}, 1, 2)", "{x}[1:2]")
 whole("MySum", "array(aggregate({x}, 0D, (a, v) -> a + v))", "[list_sum({x})]")
 whole("MyProd", "array(aggregate({x}, 1D, (a, v) -> a * v))", "[list_product({x})]")
 whole("MyNorm", "array(CASE WHEN {p} = 1 THEN array_max(transform({x}, v -> abs(v))) ELSE sqrt(aggregate({x}, 0D, (a, v) -> a + v * v)) END)", "[CASE WHEN {p} = 1 THEN list_max(list_transform({x}, lambda v: abs(v))) ELSE sqrt(list_sum(list_transform({x}, lambda v: v * v))) END]", "norm of the row as a matrix of one row", p=2)
-whole("RMS2D", "transform(sequence(0, 7), r -> sqrt(aggregate(slice({x}, r * 8 + 1, 8), 0D, (a, v) -> a + v * v)))", "list_transform(range(0, 8), lambda r: sqrt(list_sum(list_transform({x}[r * 8 + 1:r * 8 + 8], lambda v: v * v))))", "L2 norm of the rows of an 8 by 8 image")
+whole("RMS2D", "transform(sequence(0, {H} - 1), r -> sqrt(aggregate(slice({x}, r * {W} + 1, {W}), 0D, (a, v) -> a + v * v)))", "list_transform(range(0, {H}), lambda r: sqrt(list_sum(list_transform({x}[r * {W} + 1:r * {W} + {W}], lambda v: v * v))))", "L2 norm of the rows of an image", width=0)
 whole("MyDiff", "transform({x}, (v, i) -> v - CASE WHEN i = 0 THEN 0D ELSE {x}[i - 1] END)", "list_transform({x}, lambda v, i: v - CASE WHEN i = 1 THEN 0 ELSE {x}[i - 1] END)", "first difference; the first value stays")
 whole("MyAverager", "transform({x}, (v, i) -> aggregate(slice({x}, greatest(i - {w} DIV 2, 0) + 1, least(i + ({w} - 1) DIV 2, size({x}) - 1) - greatest(i - {w} DIV 2, 0) + 1), 0D, (a, u) -> a + u) / {w})", "list_transform({x}, lambda v, i: list_sum({x}[greatest(i - {w} // 2, 1):least(i + ({w} - 1) // 2, len({x}))]) / {w})", "moving mean over w samples, zeros beyond the edges", w=5)
 whole("MyAutoCorr", "transform(sequence(0, size({x}) - 1), k -> aggregate(sequence(0, size({x}) - 1), 0D, (a, i) -> a + {x}[i] * {x}[(i + k) % size({x})]))", "list_transform(range(0, len({x})), lambda k: list_sum(list_transform(range(0, len({x})), lambda i: {x}[i + 1] * {x}[(i + k) % len({x}) + 1])))", "circular autocorrelation of each row")
@@ -286,20 +297,20 @@ whole("MinLoc", "transform(array(array_position({x}, array_min({x})) - 1), p ->
 whole("min_max_loc", "array(array_min({x}), array_max({x}), CAST(array_position({x}, array_min({x})) - 1 AS DOUBLE), CAST(array_position({x}, array_max({x})) - 1 AS DOUBLE))", "[list_min({x}), list_max({x}), CAST(list_position({x}, list_min({x})) - 1 AS DOUBLE), CAST(list_position({x}, list_max({x})) - 1 AS DOUBLE)]")
 whole("nlargest", "slice(sort_array(array_distinct({x}), false), 1, {k})", "list_reverse_sort(list_distinct({x}))[1:{k}]", "the k largest distinct values", k=5)
 whole("DepthEstimate", "array(CASE WHEN size({x}) < 2 THEN -1D ELSE (element_at({x}, -1) - {x}[0]) / {rate} * cos(asin(sin({angle}) / 1.33D)) END)", "[CASE WHEN len({x}) < 2 THEN -1 ELSE ({x}[-1] - {x}[1]) / {rate} * cos(asin(sin({angle}) / CAST(1.33 AS DOUBLE))) END]", rate=1.0, angle=0.3)
-whole("CenterOfMass", "element_at(transform(array(aggregate({x}, 0D, (a, v) -> a + v)), s -> array(aggregate(transform({x}, (v, i) -> v * (i DIV 8)), 0D, (a, v) -> a + v) / s, aggregate(transform({x}, (v, i) -> v * (i % 8)), 0D, (a, v) -> a + v) / s)), 1)", "[list_sum(list_transform({x}, lambda v, i: v * ((i - 1) // 8))) / list_sum({x}), list_sum(list_transform({x}, lambda v, i: v * ((i - 1) % 8))) / list_sum({x})]", "weighted centre (row, column) of an 8 by 8 image")
-whole("Cv2Transpose", "transform(sequence(0, 63), i -> {x}[(i % 8) * 8 + i DIV 8])", "list_transform(range(0, 64), lambda i: {x}[(i % 8) * 8 + i // 8 + 1])", "of an 8 by 8 image")
-whole("Select1D", "slice({x}, pmod({ind}, 8) * 8 + 1, 8)", "{x}[(({ind} % 8) + 8) % 8 * 8 + 1:(({ind} % 8) + 8) % 8 * 8 + 8]", "one row of an 8 by 8 image", ind=2)
-whole("Select2D", "array({x}[pmod({a}, 8) * 8 + pmod({b}, 8)])", "[{x}[(({a} % 8) + 8) % 8 * 8 + (({b} % 8) + 8) % 8 + 1]]", a=2, b=3)
-whole("Select3D", "array({x}[pmod({a}, 4) * 16 + pmod({b}, 4) * 4 + pmod({c}, 4)])", "[{x}[(({a} % 4) + 4) % 4 * 16 + (({b} % 4) + 4) % 4 * 4 + (({c} % 4) + 4) % 4 + 1]]", "of a 4 by 4 by 4 cube", a=1, b=2, c=3)
-_POOL = "transform(sequence(0, 63 DIV ({b} * {b})), k -> {f})"
-_CELLS = "transform(sequence(0, {b} * {b} - 1), j -> {x}[(k DIV (8 DIV {b}) * {b} + j DIV {b}) * 8 + k % (8 DIV {b}) * {b} + j % {b}])"
-_LCELLS = "list_transform(range(0, {b} * {b}), lambda j: {x}[(k // (8 // {b}) * {b} + j // {b}) * 8 + k % (8 // {b}) * {b} + j % {b} + 1])"
+whole("CenterOfMass", "element_at(transform(array(aggregate({x}, 0D, (a, v) -> a + v)), s -> array(aggregate(transform({x}, (v, i) -> v * (i DIV {W})), 0D, (a, v) -> a + v) / s, aggregate(transform({x}, (v, i) -> v * (i % {W})), 0D, (a, v) -> a + v) / s)), 1)", "[list_sum(list_transform({x}, lambda v, i: v * ((i - 1) // {W}))) / list_sum({x}), list_sum(list_transform({x}, lambda v, i: v * ((i - 1) % {W}))) / list_sum({x})]", "weighted centre (row, column) of an image", width=0)
+whole("Cv2Transpose", "transform(sequence(0, size({x}) - 1), i -> {x}[(i % {H}) * {W} + i DIV {H}])", "list_transform(range(0, len({x})), lambda i: {x}[(i % {H}) * {W} + i // {H} + 1])", "of an image", width=0)
+whole("Select1D", "slice({x}, pmod({ind}, {H}) * {W} + 1, {W})", "{x}[(({ind} % {H}) + {H}) % {H} * {W} + 1:(({ind} % {H}) + {H}) % {H} * {W} + {W}]", "one row of an image", ind=2, width=0)
+whole("Select2D", "array({x}[pmod({a}, {H}) * {W} + pmod({b}, {W})])", "[{x}[(({a} % {H}) + {H}) % {H} * {W} + (({b} % {W}) + {W}) % {W} + 1]]", "one pixel of an image", a=2, b=3, width=0)
+whole("Select3D", "array({x}[pmod({a}, size({x}) DIV ({D} * {E})) * {D} * {E} + pmod({b}, {D}) * {E} + pmod({c}, {E})])", "[{x}[CAST((({a} % (len({x}) // ({D} * {E}))) + (len({x}) // ({D} * {E}))) % (len({x}) // ({D} * {E})) * {D} * {E} + (({b} % {D}) + {D}) % {D} * {E} + (({c} % {E}) + {E}) % {E} AS INT) + 1]]", "one cell of planes by rows by columns, a cube if no sizes are given", a=1, b=2, c=3, rows=0, cols=0)
+_POOL = "CASE WHEN {H} < {b} OR {W} < {b} THEN array() ELSE transform(sequence(0, CAST(({H} DIV {b}) * ({W} DIV {b}) AS INT) - 1), k -> {f}) END"
+_CELLS = "transform(sequence(0, {b} * {b} - 1), j -> {x}[CAST((k DIV ({W} DIV {b}) * {b} + j DIV {b}) * {W} + k % ({W} DIV {b}) * {b} + j % {b} AS INT)])"
+_LCELLS = "list_transform(range(0, {b} * {b}), lambda j: {x}[(k // ({W} // {b}) * {b} + j // {b}) * {W} + k % ({W} // {b}) * {b} + j % {b} + 1])"
 for _n, _s, _q in (("Mean", "aggregate(C, 0D, (a, v) -> a + v) / ({b} * {b})", "list_avg(C)"), ("Max", "array_max(C)", "list_max(C)"), ("Median", "element_at(transform(array(array_sort(C)), s -> (s[({b} * {b} - 1) DIV 2] + s[({b} * {b}) DIV 2]) / 2D), 1)", "list_median(C)")):
-    whole(f"LocalPooling{_n}", _POOL.replace("{f}", _s.replace("C", _CELLS)), "list_transform(range(0, 63 // ({b} * {b}) + 1), lambda k: " + _q.replace("C", _LCELLS) + ")", f"{_n.lower()} over b by b blocks of an 8 by 8 image", b=4)
+    whole(f"LocalPooling{_n}", _POOL.replace("{f}", _s.replace("C", _CELLS)), "list_transform(range(0, ({H} // {b}) * ({W} // {b})), lambda k: " + _q.replace("C", _LCELLS) + ")", f"{_n.lower()} over b by b blocks of an image", b=4, width=0)
 whole("ThresholdNLargest", "element_at(transform(array(element_at(sort_array(array_distinct({x}), false), least({k}, size(array_distinct({x}))))), t -> transform({x}, v -> CASE WHEN v > t THEN v ELSE 0D END)), 1)", "list_transform([list_reverse_sort(list_distinct({x}))[least({k}, len(list_distinct({x})))]], lambda t: list_transform({x}, lambda v: CASE WHEN v > t THEN v ELSE 0 END))[1]", "zero all that is not above the k-th largest distinct value", k=5)
 whole("ThresholdNLargestBinary", "element_at(transform(array(element_at(sort_array(array_distinct({x}), false), least({k}, size(array_distinct({x}))))), t -> transform({x}, v -> CASE WHEN v > t THEN 255D ELSE 0D END)), 1)", "list_transform([list_reverse_sort(list_distinct({x}))[least({k}, len(list_distinct({x})))]], lambda t: list_transform({x}, lambda v: CASE WHEN v > t THEN 255 ELSE 0 END))[1]", k=5)
-whole("MySnapshot", "transform({x}, (v, i) -> CASE WHEN i DIV 8 >= CAST({y}[0] AS INT) - {p} AND i DIV 8 < CAST({y}[0] AS INT) + {p} AND i % 8 >= CAST({y}[1] AS INT) - {p} AND i % 8 < CAST({y}[1] AS INT) + {p} THEN v ELSE 0D END)", "list_transform({x}, lambda v, i: CASE WHEN (i - 1) // 8 >= CAST(trunc({y}[1]) AS INT) - {p} AND (i - 1) // 8 < CAST(trunc({y}[1]) AS INT) + {p} AND (i - 1) % 8 >= CAST(trunc({y}[2]) AS INT) - {p} AND (i - 1) % 8 < CAST(trunc({y}[2]) AS INT) + {p} THEN v ELSE 0 END)", "keep a square around a place, zero the rest", inputs=2, p=2)
-whole("MultiplyTransposed", "transform(sequence(0, 63), k -> aggregate(sequence(0, 7), 0D, (a, j) -> a + {x}[j * 8 + k DIV 8] * {x}[j * 8 + k % 8]))", "list_transform(range(0, 64), lambda k: list_sum(list_transform(range(0, 8), lambda j: {x}[j * 8 + k // 8 + 1] * {x}[j * 8 + k % 8 + 1])))", "transpose times matrix, 8 by 8")
+whole("MySnapshot", "transform({x}, (v, i) -> CASE WHEN i DIV {W} >= CAST({y}[0] AS INT) - {p} AND i DIV {W} < CAST({y}[0] AS INT) + {p} AND i % {W} >= CAST({y}[1] AS INT) - {p} AND i % {W} < CAST({y}[1] AS INT) + {p} THEN v ELSE 0D END)", "list_transform({x}, lambda v, i: CASE WHEN (i - 1) // {W} >= CAST(trunc({y}[1]) AS INT) - {p} AND (i - 1) // {W} < CAST(trunc({y}[1]) AS INT) + {p} AND (i - 1) % {W} >= CAST(trunc({y}[2]) AS INT) - {p} AND (i - 1) % {W} < CAST(trunc({y}[2]) AS INT) + {p} THEN v ELSE 0 END)", "keep a square around a place, zero the rest", inputs=2, p=2, width=0)
+whole("MultiplyTransposed", "transform(sequence(0, {W} * {W} - 1), k -> aggregate(sequence(0, {H} - 1), 0D, (a, j) -> a + {x}[j * {W} + k DIV {W}] * {x}[j * {W} + k % {W}]))", "list_transform(range(0, {W} * {W}), lambda k: list_sum(list_transform(range(0, {H}), lambda j: {x}[j * {W} + k // {W} + 1] * {x}[j * {W} + k % {W} + 1])))", "transpose times matrix", width=0)
 whole("ConvertBW", "transform(sequence(0, size({x}) DIV 3 - 1), p -> rint(0.114D * {x}[3 * p] + 0.587D * {x}[3 * p + 1] + 0.299D * {x}[3 * p + 2]))", "list_transform(range(0, len({x}) // 3), lambda p: round_even(CAST(0.114 AS DOUBLE) * {x}[3 * p + 1] + CAST(0.587 AS DOUBLE) * {x}[3 * p + 2] + CAST(0.299 AS DOUBLE) * {x}[3 * p + 3], 0))", "blue, green, red triples to grey")
 
 # Random rows, reproducible: drawn from a hash of value, place and seed rather than from a generator's state

@@ -30,11 +30,49 @@ def finite(col: Column | str) -> Column:
     return F.forall(c, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
 
 
-def run_kernel(df: DataFrame, op: Op, inputs: list[str], output: str, params: dict) -> DataFrame:
+def _shaped(values: np.ndarray, width: int | None) -> np.ndarray | None:
+    """Rows of pixels as images of a width, or square ones; None if they are no such images."""
+    n = values.shape[1]
+    w = width or int(round(n**0.5))
+    return values.reshape(len(values), n // w, w) if n % w == 0 and (width or w * w == n) else None
+
+
+def fit_kernel(df: DataFrame, op: Op, source: str, params: dict, points: str | None = None, width: int | None = None) -> np.ndarray:
+    """What an operator learns from all rows: sums of a few numbers per row, added up over the cluster in a pass of its own.
+    ``points`` is a column of target points, an array of (row, column) per image."""
+    cols = [source] + ([points] if points else [])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            groups: dict[int, list[int]] = {}
+            values = [None if v is None else np.asarray(v, float) for v in b.column(0).to_numpy(zero_copy_only=False)]
+            for r, v in enumerate(values):
+                if v is not None and len(v):
+                    groups.setdefault(len(v), []).append(r)
+            at = b.column(1).to_pylist() if points else None
+            for rows in groups.values():
+                if (x := _shaped(np.stack([values[r] for r in rows]), width)) is None:
+                    continue
+                s = op.fit(x, [at[r] for r in rows] if points else None, **params).sum(axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(s), dtype=np.int32)), pa.array(s)], names=["at", "s"])
+
+    got = df.select(*cols).mapInArrow(run, "at int, s double").groupBy("at").agg(F.sum("s").alias("s")).collect()
+    size = len(op.fit(np.zeros((0, 1, 1)), None, **params)[:1].T)
+    out = np.zeros(size)
+    for r in got:
+        out[r["at"]] = r["s"]
+    return out
+
+
+def run_kernel(df: DataFrame, op: Op, inputs: list[str], output: str, params: dict, width: int | None = None, points: str | None = None, train: DataFrame | None = None) -> DataFrame:
     """A kernel on array columns, batch by batch; rows of one length (and images of one shape) run together.
 
-    NULL and empty arrays, and rows whose inputs differ in length, give NULL. Images are square and row-major.
+    NULL and empty arrays, and rows whose inputs differ in length, give NULL. Images are row-major, of the given
+    ``width`` or else square. Operators that learn a template learn it from ``train`` (default ``df``), around the target
+    ``points`` there or else the brightest pixels; without any, the template is zero.
     """
+    if op.fit:
+        params = {**params, "fitted": fit_kernel(df if train is None else train, op, inputs[0], params, points, width)}
     rest = [c for c in df.columns if c != output]
     schema = T.StructType([*[df.schema[c] for c in rest], T.StructField(output, T.ArrayType(T.DoubleType()))])
     at = [df.columns.index(c) for c in inputs]
@@ -51,10 +89,9 @@ def run_kernel(df: DataFrame, op: Op, inputs: list[str], output: str, params: di
             for n, rows in groups.items():
                 stacked = [np.stack([x[r] for r in rows]) for x in xs]
                 if op.image:
-                    side = int(round(n**0.5))
-                    if side * side != n:
+                    stacked = [_shaped(s, width) for s in stacked]
+                    if stacked[0] is None:
                         continue
-                    stacked = [s.reshape(-1, side, side) for s in stacked]
                 with np.errstate(all="ignore"):
                     result = op.kernel(*stacked, **params)
                 for r, v in zip(rows, result):
@@ -65,7 +102,9 @@ def run_kernel(df: DataFrame, op: Op, inputs: list[str], output: str, params: di
 
 
 def apply(name: str, datasets: list[DataFrame], mode: str = F2F, *args) -> DataFrame:
-    """An operator on one to four datasets; the first gives the other columns of the result."""
+    """An operator on one to four datasets; the first gives the other columns of the result. Operators that learn a
+    template learn it from the rows of split 'train', where there are splits, around the points in ``target``, where
+    these are points."""
     op = find(name)
     if len(datasets) != op.inputs:
         raise ValueError(f"{name} takes {op.inputs} datasets, not {len(datasets)}")
@@ -78,7 +117,12 @@ def apply(name: str, datasets: list[DataFrame], mode: str = F2F, *args) -> DataF
     if op.native:
         df = df.withColumn("__out", F.expr(op.native(names, params)))
     else:
-        df = run_kernel(df, op, names, "__out", params)
+        learn = {}
+        if op.fit and isinstance(df.schema["target"].dataType if "target" in df.columns else None, T.ArrayType) and isinstance(df.schema["target"].dataType.elementType, T.ArrayType):
+            learn["points"] = "target"
+        if op.fit and "split" in df.columns:
+            learn["train"] = df.where("split = 'train'")
+        df = run_kernel(df, op, names, "__out", params, **learn)
     out = F.concat(F.coalesce(F.col("features"), F.array().cast("array<double>")), F.col("__out")) if mode == S2F else F.col("__out")
     empty = F.coalesce(F.size(source), F.lit(-1)) <= 0
     return df.withColumn(target, F.when(empty, F.col(target)).otherwise(out)).drop("__out", *names)

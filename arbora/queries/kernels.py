@@ -9,16 +9,21 @@ from pyspark.sql import functions as F
 
 from arbora.functions.registry import OPS, Op
 from arbora.operators.dataset import run_kernel
+from arbora.queries.image_sql import SQL as IMAGE_SQL
 from arbora.queries.vectors import rows
 
 
+#: Decimal places, where 6 would cut values that are whole multiples of a smaller fraction in half.
+_PLACES = {"ConvolveChannelMerge": 8}
+
+
 def _query(op: Op):
     def run(spark: SparkSession, folder: str) -> DataFrame:
         r = rows(spark, folder, op.image)
         if op.inputs == 4:
             r = r.withColumn("u", F.expr("concat(slice(y, 2, size(y)), slice(y, 1, 1))"))
         out = run_kernel(r, op, ["x", "y", "z", "u"][: op.inputs], "out", op.params)
-        return out.select("vec_id", F.posexplode("out").alias("pos", "val")).select("vec_id", "pos", F.round("val", 6).alias("val"))
+        return out.select("vec_id", F.posexplode("out").alias("pos", "val")).select("vec_id", "pos", F.round("val", _PLACES.get(op.name, 6)).alias("val"))
 
     run.__doc__ = f"{op.name}: {op.doc}"
     return run
@@ -76,3 +81,6 @@ SQL = {k: s for k, s in SQL.items() if s}
 for _kind in ("Erosion", "Dilate", "Open", "Close", "Gradient", "Tophat", "Blackhat"):
     for _shape, _near in _NEAR.items():
         SQL[f"op_Morph{_kind}{_shape}"] = _morph_sql(_kind, _near)
+# A 3 by 3 ellipse is a cross.
+SQL |= {f"op_Morph{_kind}Ellipse": SQL[f"op_Morph{_kind}Cross"] for _kind in ("Erosion", "Dilate", "Open", "Close", "Gradient", "Tophat", "Blackhat")}
+SQL |= IMAGE_SQL

@@ -53,6 +53,14 @@ def _sql(op: Op) -> str:
       SELECT vec_id, CAST(p - 1 AS INT) AS pos, round(CAST(r[p] AS DOUBLE), 6) AS val FROM c, LATERAL (SELECT unnest(range(1, len(r) + 1)) AS p)"""
 
 
+def _wide(op: Op):
+    """The same rows as images of 4 by 16 (or 2 by 4 by 8 cells)."""
+    shape = {"rows": 4, "cols": 8} if "rows" in op.params else {"width": 16}
+    return Op(op.name, op.inputs, {**op.params, **shape}, op.native, op.ansi, doc=op.doc)
+
+
 _NATIVE = [op for op in OPS.values() if op.native]
 QUERIES = {_name(op): _query(op) for op in _NATIVE}
-SQL = {_name(op): _sql(op) for op in _NATIVE if op.ansi}
+_WIDE = [_wide(op) for op in _NATIVE if {"width", "rows"} & set(op.params)]
+QUERIES |= {_name(op) + "_wide": _query(op) for op in _WIDE}
+SQL = {_name(op) + "_wide": _sql(op) for op in _WIDE} | {_name(op): _sql(op) for op in _NATIVE if op.ansi}

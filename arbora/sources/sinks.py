@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,19 +21,32 @@ def write_report(df: DataFrame, path: str, form: str = "csv") -> None:
     (df.write.mode("overwrite").option("compression", "gzip").json(path) if form == "json" else df.write.mode("overwrite").option("header", True).option("compression", "gzip").csv(path))
 
 
-def plan_key(df: DataFrame) -> str:
-    """A key of what a DataFrame computes, from its analysed plan without expression numbers."""
-    import re
-
-    text = df._jdf.queryExecution().analyzed().toString()
-    return hashlib.sha256(re.sub(r"#\d+L?", "", text).encode()).hexdigest()
+def plan_key(df: DataFrame) -> str | None:
+    """A key of what a DataFrame computes and from what: its analysed plan without expression numbers, as a tree that is
+    not cut short, and every input file with its length and time of change. None for plans
+    over rows held in memory, which neither say."""
+    plan = df._jdf.queryExecution().analyzed()
+    jvm = df.sparkSession.sparkContext._jvm
+    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    tree = plan.treeString(True, True, jvm.java.lang.Integer.MAX_VALUE, False)
+    if re.search(r"LogicalRDD|LocalRelation|ExternalRDD", tree):
+        return None
+    parts = [re.sub(r"#\d+L?", "", tree), df.schema.json()]
+    for f in sorted(df.inputFiles()):
+        path = jvm.org.apache.hadoop.fs.Path(f)
+        s = path.getFileSystem(conf).getFileStatus(path)
+        parts.append(f"{f} {s.getLen()} {s.getModificationTime()}")
+    return hashlib.sha256("\n".join(parts).encode()).hexdigest()
 
 
 def cached(df: DataFrame, cost_seconds: float = 0.0, least_seconds: float = 0.0) -> DataFrame:
     """``df`` read from the shared folder if an equal plan was written there before; else written, if computing it costs
-    at least ``least_seconds``. Half-written entries have no ``_SUCCESS`` mark and are not read."""
+    at least ``least_seconds``. Half-written entries have no ``_SUCCESS`` mark and are not read. Plans without a key are
+    not kept."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/arbora-cache-{plan_key(df)}"
+    if (key := plan_key(df)) is None:
+        return df
+    path = f"{shared_folder(spark)}/arbora-cache-{key}"
     jvm = spark.sparkContext._jvm
     done = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
     fs = done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -5,7 +5,7 @@ import arbora.functions.clustering
 import arbora.functions.detection
 import arbora.functions.kernels as K
 from arbora.functions.registry import OPS
-from arbora.operators.dataset import run_kernel
+from arbora.operators.dataset import fit_kernel, run_kernel
 
 R = np.random.default_rng(3)
 S, M = R.normal(size=(4, 32)), np.floor(R.random((3, 8, 8)) * 255)
@@ -17,11 +17,11 @@ def test_every_kernel_runs_and_is_per_row(op):
     x = M if op.image else S
     extra = [x[::-1], x + 1, x * 2][: op.inputs - 1]
     with np.errstate(all="ignore"):
-        out = op.kernel(x, *extra, **op.params)
+        fitted = {"fitted": op.fit(x, **op.params).sum(axis=0)} if op.fit else {}
+        out = op.kernel(x, *extra, **op.params, **fitted)
         assert len(out) == len(x)
-        if op.name not in {"NormalLikelihood", "CCorrObjectFilter", "ConvolveChannelMerge", "Cv2TemplateMatching"}:  # these fit on the batch
-            one = op.kernel(x[:1], *[e[:1] for e in extra], **op.params)
-            np.testing.assert_allclose(np.ravel(one[0]), np.ravel(out[0]), atol=1e-6)
+        one = op.kernel(x[:1], *[e[:1] for e in extra], **op.params, **fitted)
+        np.testing.assert_allclose(np.ravel(one[0]), np.ravel(out[0]), atol=1e-6)
 
 
 def test_known_values():
@@ -59,6 +59,27 @@ def test_objects_and_clusters():
     assert OPS["DBSCANClustering"].kernel(np.array([[0.0] * 6 + [9.0]]))[0].tolist() == [0] * 6 + [-1]
 
 
+@pytest.mark.parametrize("name", ["ConvolveChannelMerge", "Cv2TemplateMatching", "NormalLikelihood", "CCorrObjectFilter"])
+def test_templates_do_not_depend_on_partitions(spark, name):
+    images = np.floor(R.random((12, 48)) * 255)
+    points = [[[1.0, 2.0], [4.0, 3.0]] if i % 3 else ([[-1.0, -1.0]] if i else None) for i in range(12)]
+    df = spark.createDataFrame([(i, images[i].tolist(), points[i], "train" if i < 8 else "test") for i in range(12)], "row_id long, x array<double>, target array<array<double>>, split string")
+    train = df.where("split = 'train'")
+    runs = [{r["row_id"]: r["out"] for r in run_kernel(df.repartition(n), OPS[name], ["x"], "out", OPS[name].params, width=6, points="target", train=train).collect()} for n in (1, 2, 7)]
+    assert len(runs[0]) == 12
+    for other in runs[1:]:
+        for i in range(12):
+            np.testing.assert_allclose(other[i], runs[0][i], atol=1e-9)
+    # By hand: the mean chip around the training points, with 8 by 6 images
+    pads = np.pad(images.reshape(-1, 8, 6), ((0, 0), (1, 1), (1, 1)), "edge")
+    chips = [pads[i, int(r) : int(r) + 3, int(c) : int(c) + 3] for i in range(8) for r, c in points[i] or [] if r >= 0]
+    fitted = fit_kernel(train, OPS[name], "x", OPS[name].params, "target", 6)
+    if name == "NormalLikelihood":
+        np.testing.assert_allclose(fitted, [np.sum(chips), np.sum(np.square(chips)), 9 * len(chips)])
+    else:
+        np.testing.assert_allclose(fitted[:-1].reshape(3, 3) / fitted[-1], np.mean(chips, axis=0))
+
+
 def test_run_kernel_keeps_rows(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0], "a"), (2, [], "b"), (3, None, "c"), (1, [3.0], "d")], "id long, x array<double>, out string").repartition(2)
     got = {r["id"]: r["out"] for r in run_kernel(df.drop("out"), OPS["MyCumSum"], ["x"], "out", {}).where("id > 1").collect()}

@@ -135,6 +135,17 @@ def test_cache_and_hash(spark):
     assert fold_hash(d).first() == fold_hash(d.repartition(3)).first()
 
 
+def test_cache_tells_folders_apart(spark, tmp_path):
+    for name, n in (("a", 3), ("b", 7)):
+        spark.range(n).write.parquet(str(tmp_path / name))
+    read = lambda name: spark.read.parquet(str(tmp_path / name)).where("id >= 0")
+    assert cached(read("a")).count() == 3 and cached(read("b")).count() == 7 and cached(read("a")).count() == 3
+    before = plan_key(read("a"))
+    spark.range(5).write.mode("overwrite").parquet(str(tmp_path / "a"))
+    assert plan_key(read("a")) != before and cached(read("a")).count() == 5
+    assert plan_key(spark.createDataFrame([(1,)], "id long")) is None
+
+
 def test_text(spark):
     for w, s in {"caresses": "caress", "ponies": "poni", "hopping": "hop", "relational": "relat", "adjustable": "adjust", "controlling": "control", "sky": "sky"}.items():
         assert W.stem(w) == s
