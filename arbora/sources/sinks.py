@@ -28,7 +28,7 @@ def plan_key(df: DataFrame) -> str | None:
     plan = df._jdf.queryExecution().analyzed()
     jvm = df.sparkSession.sparkContext._jvm
     conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    tree = plan.treeString(True, True, jvm.java.lang.Integer.MAX_VALUE, False)
+    tree = plan.treeString(True, False, 2**31 - 1, False, False)
     if re.search(r"LogicalRDD|LocalRelation|ExternalRDD", tree):
         return None
     parts = [re.sub(r"#\d+L?", "", tree), df.schema.json()]
