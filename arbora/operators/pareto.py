@@ -92,24 +92,28 @@ def pareto_front(df: DataFrame, objectives: list[str], by: list[str] | None = No
 
 
 def _against_all(front: DataFrame, objectives: list[str], by: list[str], blocks: int) -> DataFrame:
-    """Each block of a large front against every other block, by an equi-join on block numbers."""
-    marked = stage(front.withColumn("__i", F.monotonically_increasing_id()).withColumn("__blk", F.pmod(F.xxhash64("__i"), F.lit(blocks))), "blocks")
-    packed = marked.groupBy("__blk").agg(F.collect_list(F.struct(*by, *objectives)).alias("others")).select("others")
-    losers = [
-        F.exists("others", lambda q: F.lit(True) if not objectives else _dominates(q, objectives, by)),
-    ]
-    hits = marked.join(F.broadcast(packed) if blocks <= 50 else packed).where(losers[0]).select("__i").distinct()
-    return marked.join(hits, "__i", "left_anti").drop("__i", "__blk")
-
-
-def _dominates(q, objectives: list[str], by: list[str]):
-    c = F.lit(True)
-    for b in by:
-        c = c & q[b].eqNullSafe(F.col(b))
-    some = F.lit(False)
-    for o in objectives:
-        c, some = c & (q[o] <= F.col(o)), some | (q[o] < F.col(o))
-    return c & some
+    """Each block of a large front against every block that can dominate it.
+
+    Blocks are ranges of the sum of the objectives: a row is dominated only by rows of a lesser sum, so block i meets the
+    blocks up to i. Pairs of blocks meet by an equi-join of their numbers, two blocks in a task at a time.
+    """
+    total = sum((F.col(o).cast("double") for o in objectives), F.lit(0.0))
+    marked = stage(front.withColumn("__i", F.monotonically_increasing_id()).withColumn("__s", total), "blocks")
+    cuts = sorted(set(marked.approxQuantile("__s", [i / blocks for i in range(1, blocks)], 0.001)))
+    at = F.size(F.filter(F.lit(cuts).cast("array<double>"), lambda c: F.col("__s") > c)) if cuts else F.lit(0)
+    cut = marked.withColumn("__blk", at)
+    points = cut.select("__i", *by, *objectives, F.col("__blk").alias("__p"), F.explode(F.sequence(F.lit(0), F.col("__blk"))).alias("__q"))
+    others = cut.select(*by, *objectives, F.explode(F.sequence(F.col("__blk"), F.lit(len(cuts)))).alias("__p"), F.col("__blk").alias("__q"))
+
+    def lost(mine: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        if not by:
+            return mine.loc[dominated(mine[objectives].to_numpy(float), other[objectives].to_numpy(float)), ["__i"]]
+        groups = dict(list(other.groupby(by, dropna=False)))
+        out = [g.loc[dominated(g[objectives].to_numpy(float), groups[k][objectives].to_numpy(float)), ["__i"]] for k, g in mine.groupby(by, dropna=False) if k in groups]
+        return pd.concat(out) if out else mine[["__i"]][:0]
+
+    hits = points.groupBy("__p", "__q").cogroup(others.groupBy("__p", "__q")).applyInPandas(lost, "__i long").distinct()
+    return marked.join(hits, "__i", "left_anti").drop("__i", "__s")
 
 
 def front_2d(df: DataFrame, f1: str, f2: str, by: list[str] | None = None) -> DataFrame:
@@ -166,8 +170,9 @@ def staircase_area(df: DataFrame, f1: str, f2: str, by: list[str]) -> DataFrame:
     return pts.unionByName(ends).withColumn("nx", F.lead("a").over(w)).groupBy(*by).agg(F.sum(F.abs(F.col("nx") - F.col("a")) * F.col("b")).alias("auc"))
 
 
-def ranks(df: DataFrame, id: str, objectives: list[str], most: int | None = None) -> DataFrame:
-    """(id, front) of all rows whose objectives are finite, or of the first ``most`` fronts.
+def ranks(df: DataFrame, id: str, objectives: list[str], most: int | None = None, rows: int | None = None) -> DataFrame:
+    """(id, front) of all rows whose objectives are finite, or of the first ``most`` fronts, or of the first fronts that
+    hold at least ``rows`` rows together (at least these; with two objectives all fronts come).
 
     With two objectives the distinct points pass one task in their order, spilled where they don't fit, which holds the
     least second objective of each front. With another number each front is taken off before the next is found.
@@ -182,13 +187,13 @@ def ranks(df: DataFrame, id: str, objectives: list[str], most: int | None = None
         fronts = points.mapInArrow(_fronts_2d, T.StructType([*fields, T.StructField("front", T.IntegerType())]))
         found = rest.join(fronts if most is None else fronts.where(F.col("front") < most), objectives)
         return found.select(id, "front")
-    found, k = None, 0
+    found, k, n = None, 0, 0
     while most is None or k < most:
         f = pareto_front(rest, objectives).select(id, F.lit(k).alias("front"))
         found = f if found is None else found.unionByName(f)
         rest = stage(rest.join(f.select(id), id, "left_anti"), "rest")
         k += 1
-        if rest.isEmpty():
+        if rows is not None and (n := n + f.count()) >= rows or rest.isEmpty():
             break
     return found
 
@@ -207,20 +212,6 @@ def _fronts_2d(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], names=[*b.schema.names, "front"])
 
 
-def crowding(df: DataFrame, id: str, objectives: list[str]) -> DataFrame:
-    """Crowding distance of the rows of one front: gaps to both neighbours in each objective, over its range."""
-    total = F.lit(0.0)
-    out = df
-    span = df.agg(*[(F.max(o) - F.min(o)).alias(f"__s_{o}") for o in objectives])
-    out = out.join(F.broadcast(span))  # one row
-    for o in objectives:
-        w = Window.orderBy(o, id)  # a front, which is small
-        gap = F.lead(o).over(w) - F.lag(o).over(w)
-        out = out.withColumn(f"__d_{o}", F.when(F.lead(o).over(w).isNull() | F.lag(o).over(w).isNull(), float("inf")).otherwise(gap / F.col(f"__s_{o}")))
-        total = total + F.col(f"__d_{o}")
-    return out.withColumn("crowding", total).drop(*[f"__d_{o}" for o in objectives], *[f"__s_{o}" for o in objectives])
-
-
 def z_score(df: DataFrame, objectives: list[str]) -> DataFrame:
     """Mean squared Mahalanobis distance to the mean, sample covariance; with up to two rows 0."""
     aggs = [F.count("*").alias("n"), *[F.avg(o).alias(f"m{i}") for i, o in enumerate(objectives)]]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from arbora.io import table
 from arbora.operators import objectives as V
 from arbora.operators import pareto as P
+from arbora.operators import selection as S
 
 _EVAL = "SELECT l_orderkey AS img, CAST(l_quantity % 10 AS DOUBLE) AS p, CAST((l_quantity + l_linenumber) % 10 AS DOUBLE) - 1 AS t, l_discount AS score, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label FROM lineitem"
 
@@ -157,7 +158,11 @@ def pareto_one_of_equals(spark, folder):
     return P.pareto_front(scored(spark, folder).select("hash", "f1", "f2").distinct(), ["f1", "f2"], keep_equal=False, id="hash").select("hash", "f1", "f2")
 
 
-@query()
+@query(
+    f"""WITH i AS {_IND}, f AS (SELECT DISTINCT gen, f1, f2 FROM i a WHERE NOT EXISTS (SELECT 1 FROM i b WHERE b.gen = a.gen AND {_BETTER})),
+    s AS (SELECT gen, f1, f2, lead(f1, 1, 1e0) OVER (PARTITION BY gen ORDER BY f1) AS nx FROM f WHERE f1 < 1 AND f2 < 1e6)
+    SELECT g.gen, round(coalesce(sum((nx - f1) * (1e6 - f2)), 0), 3) AS hypervolume FROM (SELECT DISTINCT gen FROM f) g LEFT JOIN s ON s.gen = g.gen GROUP BY g.gen"""
+)
 def pareto_hypervolume(spark, folder):
     """Hypervolume below (1, 10^6) per generation."""
     return P.hypervolume(scored(spark, folder), ["f1", "f2"], [1.0, 1e6], ["gen"]).select("gen", F.round("hypervolume", 3).alias("hypervolume"))
@@ -176,19 +181,118 @@ def pareto_front_auc(spark, folder):
     return P.staircase_area(u, "a", "b", ["gen"]).select("gen", F.round("auc", 6).alias("auc"))
 
 
-@query()
+def _one_each(spark, folder):
+    """Programs with one pair of objectives each: the least of those stored."""
+    return scored(spark, folder).groupBy("hash").agg(F.min(F.struct("f1", "f2")).alias("f")).select("hash", "f.f1", "f.f2")
+
+
+_ONE_EACH = f"(SELECT hash, f.f1 AS f1, f.f2 AS f2 FROM (SELECT hash, min({{'f1': f1, 'f2': f2}}) AS f FROM {_IND} GROUP BY hash))"
+#: Fronts are taken off one after the other from a list of what is left.
+_LOSES = "len(list_filter(rest, lambda b: b.f1 <= a.f1 AND b.f2 <= a.f2 AND (b.f1 < a.f1 OR b.f2 < a.f2))) > 0"
+_PEEL = f"""WITH RECURSIVE o AS {_ONE_EACH}, s(k, rest, front) AS (SELECT -1, l, l[1:0] FROM (SELECT list({{'h': hash, 'f1': f1, 'f2': f2}}) AS l FROM o)
+    UNION ALL SELECT k + 1, list_filter(rest, lambda a: {_LOSES}), list_filter(rest, lambda a: NOT ({_LOSES})) FROM s WHERE len(rest) > 0),
+  r AS (SELECT k AS front, p.h AS hash, p.f1 AS f1, p.f2 AS f2 FROM (SELECT k, unnest(front) AS p FROM s WHERE k >= 0)),
+  d AS (SELECT *, (lead(f1) OVER a - lag(f1) OVER a) / nullif(max(f1) OVER w - min(f1) OVER w, 0) AS d1, (lead(f2) OVER b - lag(f2) OVER b) / nullif(max(f2) OVER w - min(f2) OVER w, 0) AS d2,
+      lead(f1) OVER a IS NULL OR lag(f1) OVER a IS NULL OR lead(f2) OVER b IS NULL OR lag(f2) OVER b IS NULL AS ends FROM r
+    WINDOW w AS (PARTITION BY front), a AS (PARTITION BY front ORDER BY f1, hash), b AS (PARTITION BY front ORDER BY f2, hash)),
+  c AS (SELECT hash, front, f1, f2, CASE WHEN ends THEN 'inf'::DOUBLE ELSE coalesce(d1, 0) + coalesce(d2, 0) END AS crowding FROM d)"""
+
+
+@query(f"{_PEEL} SELECT hash, CAST(front AS INT) AS front FROM r")
 def pareto_ranks(spark, folder):
     """The front of every program."""
-    return P.ranks(scored(spark, folder).select("hash", "f1", "f2").dropDuplicates(["hash"]), "hash", ["f1", "f2"])
+    return P.ranks(_one_each(spark, folder), "hash", ["f1", "f2"])
 
 
-@query()
+@query(f"{_PEEL} SELECT hash, round(crowding, 6) AS crowding FROM c WHERE front = 0")
 def pareto_crowding(spark, folder):
-    f = P.pareto_front(scored(spark, folder).select("hash", "f1", "f2").distinct(), ["f1", "f2"])
-    return P.crowding(f, "hash", ["f1", "f2"]).select("hash", F.round("crowding", 6).alias("crowding"))
+    f = P.pareto_front(_one_each(spark, folder), ["f1", "f2"])
+    return S.crowding(f, "hash", ["f1", "f2"]).select("hash", F.round("crowding", 6).alias("crowding"))
+
+
+@query(f"{_PEEL} SELECT hash, CAST(front AS INT) AS front FROM c ORDER BY front, crowding DESC, hash LIMIT 60")
+def select_nsga2(spark, folder):
+    """Sixty survivors by front and crowding distance."""
+    return S.nsga2(_one_each(spark, folder), "hash", ["f1", "f2"], 60).select("hash", "front")
 
 
 @query()
+def select_nsga2_weighted(spark, folder):
+    """Forty parents by weighted tournaments with acceptable values and goals."""
+    return S.weighted_tournament(_one_each(spark, folder), "hash", ["f1", "f2"], 40, [0.3, 5e5], [0.1, 1e5])
+
+
+@query()
+def select_max_distance(spark, folder):
+    """Sixty survivors, the last front's spread apart."""
+    return S.max_distance_nsga(_one_each(spark, folder), "hash", ["f1", "f2"], 60)
+
+
+_SCALED = f"(SELECT hash, f1, f2 / 1e6 AS f2 FROM {_ONE_EACH})"
+
+
+def _scaled(spark, folder):
+    return _one_each(spark, folder).withColumn("f2", F.col("f2") / 1e6)
+
+
+@query(f"WITH i AS {_SCALED} SELECT a.hash AS a, b.hash AS b, round(sqrt(pow(a.f1 - b.f1, 2) + pow(a.f2 - b.f2, 2)), 9) AS dist FROM i a, i b WHERE a.hash < b.hash AND sqrt(pow(a.f1 - b.f1, 2) + pow(a.f2 - b.f2, 2)) <= 0.003")
+def select_distance_graph(spark, folder):
+    """Programs at most 0.003 apart in objectives."""
+    return S.near_pairs(_scaled(spark, folder), "hash", ["f1", "f2"], 0.003).withColumn("dist", F.round("dist", 9))
+
+
+_GAPS = "SELECT round(coalesce(min(sqrt(pow(a.f1 - b.f1, 2) + pow(a.f2 - b.f2, 2))), 0), 9) AS distance FROM i a, i b WHERE a.hash < b.hash"
+
+
+@query(f"WITH i AS {_SCALED} {_GAPS}")
+def pop_min_objective_distance(spark, folder):
+    return S.least_distance(_scaled(spark, folder), "hash", ["f1", "f2"]).select(F.round("distance", 9).alias("distance"))
+
+
+@query(f"WITH i AS {_SCALED} {_GAPS} AND (a.f1 <> b.f1 OR a.f2 <> b.f2)")
+def pop_min_nonzero_objective_distance(spark, folder):
+    return S.least_distance(_scaled(spark, folder), "hash", ["f1", "f2"], nonzero=True).select(F.round("distance", 9).alias("distance"))
+
+
+@query(f"SELECT hash, round(1 / (1 + 2.0 * sqrt(pow(greatest(f1 - 0.3, 0), 2) + pow(greatest(f2 - 0.5, 0), 2)) + sqrt(pow(greatest(f1 - 0.1, 0), 2) + pow(greatest(f2 - 0.1, 0), 2))), 9) AS weight FROM {_SCALED}")
+def select_mating_weights(spark, folder):
+    return S.mating_weights(_scaled(spark, folder), ["f1", "f2"], [0.3, 0.5], [0.1, 0.1], 2.0).select("hash", F.round("weight", 9).alias("weight"))
+
+
+@query(f"{_PEEL} SELECT hash, round(crowding / (1 + sqrt(pow(greatest(0.1 - f1, f1 - 0.4, 0), 2) + pow(greatest(1e4 - f2, f2 - 1e5, 0) , 2))), 6) AS crowding FROM c WHERE front = 0")
+def pareto_crowding_region(spark, folder):
+    """Crowding distance scaled by the distance from a region of interest."""
+    f = S.crowding(P.pareto_front(_one_each(spark, folder), ["f1", "f2"]), "hash", ["f1", "f2"])
+    return S.region_scaled(f, ["f1", "f2"], [(0.1, 0.4), (1e4, 1e5)]).select("hash", F.round("crowding", 6).alias("crowding"))
+
+
+@query(f"SELECT hash, f1 + CASE WHEN f1 < 0.5 THEN 0 ELSE 5e9 END + CASE WHEN f2 < 1e5 THEN 0 ELSE 5e9 END AS f1 FROM {_ONE_EACH}")
+def pop_tier_adjusted(spark, folder):
+    """Objectives with an offset for each tier a program was not evaluated on."""
+    t = _one_each(spark, folder).withColumn("t1", F.col("f1") < 0.5).withColumn("t2", F.col("f2") < 1e5)
+    return S.tier_adjusted(t, ["f1"], ["t1", "t2"]).select("hash", "f1")
+
+
+@query(f"""{_PEEL} SELECT hash, kind FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY front, hash) AS rk FROM (SELECT hash, front,
+    CASE WHEN f1 BETWEEN 0.1 AND 0.35 AND f2 BETWEEN 1e4 AND 3e5 THEN 'well_rounded' WHEN f1 BETWEEN 0.1 AND 0.35 OR f2 BETWEEN 1e4 AND 3e5 THEN 'specialist' END AS kind FROM r) WHERE kind IS NOT NULL) WHERE rk <= 25""")
+def select_gene_pool(spark, folder):
+    """Well-rounded programs and specialists by ranges of the objectives, the first 25 of each."""
+    return S.gene_pool(_one_each(spark, folder), "hash", ["f1", "f2"], [(0.1, 0.35), (1e4, 3e5)], 25).select("hash", "kind")
+
+
+@query(f"WITH i AS {_ONE_EACH} SELECT a.hash, min(b.hash) AS first FROM i a JOIN i b ON b.hash <= a.hash AND (a.f1 = b.f1 OR abs(a.f1 - b.f1) < abs(a.f1) * 0.02) AND (a.f2 = b.f2 OR abs(a.f2 - b.f2) < abs(a.f2) * 0.02) GROUP BY a.hash")
+def pop_similar_phenotypes(spark, folder):
+    """For each program the first whose objectives agree with its own up to two per cent."""
+    return S.similar(_one_each(spark, folder), "hash", ["f1", "f2"], 2.0)
+
+
+def _lexicase_order() -> list[str]:
+    import numpy as np
+
+    return [str(o) for o in np.random.default_rng(7).permutation(["f1", "f2"])]
+
+
+@query("WITH i AS {i}, x AS (SELECT * FROM i WHERE {a} = (SELECT min({a}) FROM i)) SELECT DISTINCT hash, f1, f2 FROM x WHERE {b} = (SELECT min({b}) FROM x)".format(i=_IND, a=_lexicase_order()[0], b=_lexicase_order()[1]))
 def select_lexicase(spark, folder):
     return P.lexicase(scored(spark, folder).select("hash", "f1", "f2").distinct(), ["f1", "f2"], "hash", 7)
 
