@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from arbora.queries import evaluation, general, kernels, programs, store, streams, texts, vectors
+from arbora.queries import evaluation, general, kernels, programs, sources, store, streams, texts, vectors, writes
 
-_MODULES = [general, vectors, kernels, evaluation, store, texts, programs, streams]
+_MODULES = [general, vectors, kernels, evaluation, store, writes, sources, texts, programs, streams]
 
 
 def queries() -> dict:

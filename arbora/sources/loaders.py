@@ -19,10 +19,11 @@ _STREAM = "row_id long, stream array<array<double>>, target array<double>"
 
 
 def features_csv(spark: SparkSession, path: str) -> DataFrame:
-    """(row_id, features, target): numbers of each line, the last one the target."""
-    lines = _numbered(spark, path).where("line > 0 and trim(value) <> ''")
-    x = F.transform(F.split("value", ","), lambda v: F.trim(v).cast("double"))
-    return lines.select("row_id", F.slice(x, 1, F.size(x) - 1).alias("features"), F.element_at(x, -1).alias("target"))
+    """(row_id, features, target): numbers of each line, the last one the target. Large files are split; the order of
+    lines is not kept."""
+    lines = spark.read.schema("value string").csv(path, sep="\u0001", quote="", header=True, enforceSchema=True).where("trim(value) <> ''")
+    x = F.transform(F.split("value", ","), lambda v: F.trim(v).try_cast("double"))
+    return lines.select(F.monotonically_increasing_id().alias("row_id"), F.slice(x, 1, F.size(x) - 1).alias("features"), F.element_at(x, -1).alias("target"))
 
 
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
@@ -52,7 +53,7 @@ def many_to_one(spark: SparkSession, path: str) -> DataFrame:
     values after each time."""
     lines = _numbered(spark, path)
     k = lines.where("line = 0").select("file", F.coalesce(F.try_to_number(F.regexp_extract("value", r"N\s*=\s*(\d+)", 1), F.lit("999")), F.lit(1)).cast("int").alias("k"), F.col("value").rlike("N\\s*=").alias("head"))
-    x = F.transform(F.split("value", ","), lambda v: v.cast("double"))
+    x = F.transform(F.split("value", ","), lambda v: v.try_cast("double"))
     body = lines.join(F.broadcast(k), "file").where("line > 0 or not head").select("row_id", "k", x.alias("x"))
     n = F.floor((F.size("x") - 1) / (F.col("k") + 1)).cast("int")
     stream = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda c: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get("x", i * (F.col("k") + 1) + 1 + c)))
@@ -62,7 +63,7 @@ def many_to_one(spark: SparkSession, path: str) -> DataFrame:
 def _pairs(spark: SparkSession, path: str, skip: int) -> DataFrame:
     """Lines two by two, after ``skip`` header lines: (file, pair, a, b)."""
     lines = _numbered(spark, path).where((F.col("line") >= skip) & (F.trim("value") != ""))
-    cells = F.transform(F.split("value", ","), lambda v: F.trim(v).cast("double"))
+    cells = F.transform(F.split("value", ","), lambda v: F.trim(v).try_cast("double"))
     p = lines.select("file", F.floor((F.col("line") - skip) / 2).alias("pair"), F.pmod(F.col("line") - skip, F.lit(2)).alias("side"), cells.alias("x"))
     return p.groupBy("file", "pair").agg(F.max(F.when(F.col("side") == 0, F.col("x"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("x"))).alias("b"))
 
@@ -98,7 +99,7 @@ def image_directory(spark: SparkSession, folder: str, labels: str) -> DataFrame:
 
     files = spark.read.format("binaryFile").load(folder)
     rank = files.select("path", (F.row_number().over(Window.orderBy("path")) - 1).alias("line"))
-    lab = _numbered(spark, labels).where("trim(value) <> ''").select("line", F.transform(F.split("value", ","), lambda v: v.cast("double")).alias("target"))
+    lab = _numbered(spark, labels).where("trim(value) <> ''").select("line", F.transform(F.split("value", ","), lambda v: v.try_cast("double")).alias("target"))
     return files.join(rank, "path").join(lab, "line").select(F.col("line").cast("long").alias("row_id"), "path", "content", "target")
 
 
