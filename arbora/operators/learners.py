@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,8 @@ from arbora.operators.pareto import novelty
 from arbora.staging import stage
 
 SEED = 101
+#: Rows of one step of the passive-aggressive learner.
+MINI_BATCH = 16
 _ROW = {"featuresCol": "__vec", "predictionCol": "prediction"}
 
 
@@ -75,8 +78,12 @@ def learn(df: DataFrame, name: str, params: dict | None = None, ensemble: str =
         return _appended(_SOLVERS[name](df, **params))
     if name in ("ARGMAX", "ARGMIN", "DEPTH_ESTIMATE"):
         x = F.col("features")
-        at = {"ARGMAX": F.array_position(x, F.array_max(x)) - 1, "ARGMIN": F.array_position(x, F.array_min(x)) - 1, "DEPTH_ESTIMATE": F.when(F.size(x) < 2, -1.0).otherwise(F.element_at(x, -1) - F.element_at(x, 1))}[name]
-        return _appended(df.withColumn("prediction", (at / float(params.get("rate", 1.0))).cast("double")))
+        rate = float(params.get("rate", 1.0))
+        angle = float(params.get("off_nadir_angle", 20.0))
+        bent = math.cos(math.asin(math.sin(math.radians(angle if angle > 0 else 20.0)) / 1.33))  # in water
+        depth = F.when(F.size(x) < 2, -1.0).otherwise((F.element_at(x, -1) - F.element_at(x, 1)) / rate * bent)
+        found = {"ARGMAX": (F.array_position(x, F.array_max(x)) - 1) / rate, "ARGMIN": (F.array_position(x, F.array_min(x)) - 1) / rate, "DEPTH_ESTIMATE": depth}[name]
+        return _appended(df.withColumn("prediction", found.cast("double")))
     train = df.where((F.col("split") == "train") & F.col("target").isNotNull())
     if name not in ("KMEANS", "GMM", "BISECTING") and train.agg(F.min("target") == F.max("target")).first()[0] is not False:
         raise ValueError("fewer than two distinct training targets")
@@ -218,9 +225,13 @@ def passive_aggressive(df: DataFrame, c: float = 1.0, epochs: int = 2) -> DataFr
         def part(batches: Iterator[pd.DataFrame], start=start) -> Iterator[pd.DataFrame]:
             v, seen = start.value.copy(), 0
             for pdf in batches:
-                for x, t in zip(pdf["features"], pdf["target"]):
-                    x, y, seen = np.r_[1.0, np.asarray(x, float)], 1.0 if t != 0 else -1.0, seen + 1
-                    v = v + min(c, max(0.0, 1 - y * v @ x) / (x @ x)) * y * x
+                # A step per mini-batch, the mean of its rows' steps.
+                for lo in range(0, len(pdf), MINI_BATCH):
+                    part = pdf.iloc[lo : lo + MINI_BATCH]
+                    x = np.column_stack([np.ones(len(part)), np.stack(part["features"].map(lambda f: np.asarray(f, float)).to_list())])
+                    y = np.where(part["target"].to_numpy() != 0, 1.0, -1.0)
+                    step = np.minimum(c, np.maximum(0.0, 1 - y * (x @ v)) / (x**2).sum(axis=1)) * y
+                    v, seen = v + step @ x / len(x), seen + len(x)
             yield pd.DataFrame({"i": np.arange(len(v)), "v": v * seen, "n": np.full(len(v), seen)})
 
         for r in train.mapInPandas(part, "i int, v double, n long").groupBy("i").agg((F.sum("v") / F.greatest(F.sum("n"), F.lit(1))).alias("v")).collect():

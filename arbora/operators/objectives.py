@@ -6,6 +6,7 @@ before the shuffle. Nothing to aggregate gives NULL unless the objective defines
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -105,6 +106,37 @@ def _by_score(df: DataFrame, score: str, label: str) -> DataFrame:
     return df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
 
 
+def macro_scores(df: DataFrame) -> DataFrame:
+    """(precision_min, recall_min): 1 less the plain mean over all classes, predicted or true, of precision and of recall. A
+    class never predicted has precision 0, one that is never true recall 0."""
+    cells = df.where(F.col("p").isNotNull() & F.col("t").isNotNull()).groupBy("p", "t").agg(F.count("*").alias("n"))
+    ends = cells.select(F.explode(F.array(F.struct(F.col("p").alias("c"), F.col("n").alias("said"), F.lit(0).cast("long").alias("was")), F.struct(F.col("t").alias("c"), F.lit(0).cast("long").alias("said"), F.col("n").alias("was")))).alias("x"), F.when(F.col("p") == F.col("t"), F.col("n")).otherwise(0).alias("hit"))
+    per = ends.groupBy("x.c").agg(F.sum("x.said").alias("said"), F.sum("x.was").alias("was"), (F.sum("hit") / 2).alias("hit"))
+    share = lambda d: F.coalesce(F.col("hit") / F.nullif(F.col(d), F.lit(0)), F.lit(0.0))
+    return per.agg((1 - F.avg(share("said"))).alias("precision_min"), (1 - F.avg(share("was"))).alias("recall_min"))
+
+
+def multilabel_error(df: DataFrame, p: str = "p", t: str = "t", fail_trivial: bool = False) -> DataFrame:
+    """(value,): share of rows whose label vector (an array) is not wholly right. With ``fail_trivial`` it is infinite if all
+    labels predicted are 1, or all are 0. No rows give NULL."""
+    every = lambda v: F.count_if(~F.forall(p, lambda x: x == v)) == 0
+    wrong = F.avg(F.when(F.col(p) == F.col(t), 0.0).otherwise(1.0))
+    return df.agg((F.when((F.count("*") > 0) & (every(1) | every(0)), float("inf")).otherwise(wrong) if fail_trivial else wrong).alias("value"))
+
+
+def program_measures(df: DataFrame, tree: str = "tree") -> DataFrame:
+    """``df`` with the measures of its programs: ``height``, ``n_inputs`` (occurrences of ARG0), ``depth_breadth`` (a lower
+    tree always beats a higher one, then a wider one a narrower), ``n_trees`` (the main one and each defined below it) and
+    ``capped_elements``. NULL programs have NULL measures."""
+    main = F.regexp_extract(tree, r"^\s*([^\n]*)", 1)
+    steps = F.regexp_extract_all(main, F.lit("[()]"), F.lit(0))
+    walk = F.aggregate(steps, F.struct(F.lit(0).alias("at"), F.lit(0).alias("top")), lambda a, c: F.struct((a["at"] + F.when(c == "(", 1).otherwise(-1)).alias("at"), F.greatest(a["top"], a["at"] + F.when(c == "(", 1).otherwise(-1)).alias("top")))
+    out = df.withColumn("height", walk["top"]).withColumn("n_inputs", F.size(F.regexp_extract_all(main, F.lit("ARG0"), F.lit(0))))
+    out = out.withColumn("n_inputs", F.when(F.col(tree).isNotNull(), F.col("n_inputs"))).withColumn("depth_breadth", F.col("height") - F.col("n_inputs") / (F.pow(F.lit(3.0), F.col("height")) + 1))
+    out = out.withColumn("n_trees", F.when(F.col(tree).isNotNull(), 1 + F.size(F.regexp_extract_all(tree, F.lit(r"(?m)^\s*(?:adf|mod)_\d+\s*:"), F.lit(0)))))
+    return out.withColumn("capped_elements", F.greatest(F.col("n_trees"), F.when(F.col(tree).isNotNull(), 1707)))
+
+
 def roc_auc(df: DataFrame, score: str = "p", label: str = "t") -> DataFrame:
     """Area under the ROC curve; ties count half. NULL if a class is missing."""
     r = running_sums(_by_score(df, score, label), F.col("s"), {"below": F.col("neg")})
@@ -203,6 +235,45 @@ def centroid_counts(detections: DataFrame, targets: DataFrame, radius: float = 4
     return every.join(fp, "img", "left").join(fn, "img", "left").join(dist, "img", "left").select("img", F.coalesce("fp", F.lit(0)).alias("n_false_positive"), F.coalesce("fn", F.lit(0)).alias("n_false_negative"), "mean_dist")
 
 
+#: Most points of one image that are matched with each other in a task; more are an error, not a sample.
+MOST_POINTS = 100_000
+
+
+def unmatched_targets(detections: DataFrame, targets: DataFrame, radius: float = 4.0) -> DataFrame:
+    """(img, n_false_negative): targets left when no detection may confirm two. Every target goes to its nearest
+    detection; a detection confirms the nearest target it got, if within the radius, and hands the others back, or else
+    all it got are missed. Detections that got nothing are out. Repeated until either side is empty.
+
+    Images without targets have no row. Ties go to the least id.
+    """
+    points = lambda d, n: d.groupBy(F.col("img").cast("long").alias("img")).agg(F.array_sort(F.collect_list(F.struct("id", "r", "c"))).alias(n))
+    both = points(targets, "t").join(points(detections, "d"), "img", "left")
+
+    def run(batches):
+        for b in batches:
+            misses = []
+            for ts, ds in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                if max(len(ts), len(ds or [])) > MOST_POINTS:
+                    raise ValueError(f"more than {MOST_POINTS} points in an image")
+                left, free, missed = np.array([[p["r"], p["c"]] for p in ts]), np.array([[p["r"], p["c"]] for p in ds or []]).reshape(-1, 2), 0
+                while len(left) and len(free):
+                    d = np.sqrt(((left[:, None] - free[None]) ** 2).sum(axis=2))
+                    to, back, kept = d.argmin(axis=1), [], []
+                    for k in np.unique(to):
+                        got = np.flatnonzero(to == k)
+                        best = got[d[got, k].argmin()]
+                        if d[best, k] > radius:
+                            missed += len(got)
+                            kept.append(k)
+                        else:
+                            back += [g for g in got if g != best]
+                    left, free = left[sorted(back)], free[kept]
+                misses.append(missed + len(left))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(misses, pa.int64())], names=["img", "n_false_negative"])
+
+    return both.mapInArrow(run, "img long, n_false_negative long")
+
+
 def matched_distance(detections: DataFrame, targets: DataFrame, radius: float = 4.0) -> DataFrame:
     """Per image the sum of distances when targets, by id, each take their nearest free detection within the radius.
 

@@ -25,7 +25,76 @@ def _objective(name: str):
 
 
 QUERIES = {f"obj_{n}": _objective(n) for n in V.OBJECTIVES}
-SQL = {f"obj_{n}": f"SELECT round(CAST({e} AS DOUBLE), 6) AS value FROM ({_EVAL})" for n, e in V.OBJECTIVES.items()}
+
+
+def _share(of: str, among: str) -> str:
+    return f"coalesce(sum(n) FILTER ({of}), 0) / nullif(sum(n) FILTER ({among}), 0)"
+
+
+def _mean(value: str, among: str) -> str:
+    return f"sum(n * ({value})) FILTER ({among}) / nullif(sum(n) FILTER ({among}), 0)"
+
+
+def _deviation(among: str) -> str:
+    return f"sqrt(greatest({_mean('(p - t) * (p - t)', among)} - pow({_mean('p - t', among)}, 2), 0))"
+
+
+def _count(of: str) -> str:
+    return f"coalesce(sum(n) FILTER ({of}), 0)"
+
+
+_ANY, _AGREES, _KNOWN = "n > 0", "(p < 0) = (t = -1)", "t <> 0"
+_Q = "greatest(least(p / 10, 0.9999), 0.0001)"
+#: The objectives said again, as sums over the table of confusion with n rows in each cell: no rows are read there, and
+#: shares of the wrong stand where the operators take 1 less the right.
+CHECK = {
+    "false_positive": f"{_count('t = 0')} - {_count('t = 0 AND p = 0')}",
+    "false_negative": f"{_count('t = 1')} - {_count('t = 1 AND p = 1')}",
+    "false_positive_multi": _count("t = 0 AND (p < 0 OR p > 0)"),
+    "false_negative_multi": _count("t = 1 AND (p < 1 OR p > 1)"),
+    "false_positive_rate": f"({_count('t = 0')} - {_count('t = 0 AND p = 0')}) / sum(n)",
+    "false_negative_rate": f"({_count('t = 1')} - {_count('t = 1 AND p = 1')}) / sum(n)",
+    "f1_score_min": f"1 - 2 / (1 / ({_share('t = 1 AND p = 1', 'p = 1')}) + 1 / ({_share('t = 1 AND p = 1', 't = 1')}))",
+    "precision_min": _share("t <> 1 AND p = 1", "p = 1"),
+    "recall_min": _share("t = 1 AND p <> 1", "t = 1"),
+    "accuracy_score": _share("p <> t", _ANY),
+    "accuracy_score_multi": f"{_share('t = 0 AND p <> 0', _ANY)} + {_share('t = 1 AND p <> 1', _ANY)}",
+    "objective0EvalFunction": "sqrt(sum(n * (p * p - 2 * p * t + t * t)) / sum(n))",
+    "objective1EvalFunction": _mean("p - t", "p > t"),
+    "objective2EvalFunction": _mean("t - p", "t > p"),
+    "objective4EvalFunction": _share("abs(p - t) + 0.4 > sqrt(0.25 + pow(0.013 * t, 2))", _ANY),
+    "objective5EvalFunction": f"abs({_mean('abs(p - t) / nullif(t, 0)', _KNOWN)})",
+    "objective6EvalFunction": f"abs({_mean('abs(p - t) / nullif(t, 0)', f'{_KNOWN} AND {_AGREES}')})",
+    "objective7EvalFunction": f"sqrt({_mean('pow(p - t, 2)', _AGREES)})",
+    "objective8EvalFunction": f"coalesce({_mean('p - t', f'{_AGREES} AND p > t')}, 0)",
+    "objective9EvalFunction": f"coalesce({_mean('t - p', f'{_AGREES} AND t > p')}, 0)",
+    "objective10EvalFunction": _count("sign(p) = -1"),
+    "objective11EvalFunction": f"{_count('t = -1')} - {_count('t = -1 AND p < 0')}",
+    "objective12EvalFunction": f"{_count('p < 0')} - {_count('p < 0 AND t = -1')}",
+    "class0AccuracyEvalFunction": f"coalesce(nullif({_share('t = 0 AND NOT (p BETWEEN 0 AND 2)', 't = 0')}, 0), 1)",
+    "class4AccuracyEvalFunction": f"coalesce(nullif({_share('t = 4 AND NOT (p > 2 AND p <= 4)', 't = 4')}, 0), 1)",
+    "drinking_error_rate": f"1 - {_share('t = 2 AND p > 1.5 AND p <= 2.5', 't = 2')}",
+    "drinking_false_alarm_rate": _share("t <> 2 AND p > 1.5 AND p <= 2.5", "t <> 2"),
+    "shaking_error_rate": f"1 - {_share('t = 9 AND p > 8.5 AND p <= 9.5', 't = 9')}",
+    "shaking_false_alarm_rate": _share("t <> 9 AND p > 8.5 AND p <= 9.5", "t <> 9"),
+    "scratching_error_rate": f"1 - {_share('t = 1 AND p = 1', 't = 1')}",
+    "scratching_false_alarm_rate": _share("t <> 1 AND p = 1", "t <> 1"),
+    "count_over_predictions": _share("p - t > 0", _ANY),
+    "count_under_predictions": _share("t - p > 0", _ANY),
+    "overall_standard_deviation": _deviation(_ANY),
+    "standard_deviation_over": _deviation("p > t"),
+    "standard_deviation_under": _deviation("t > p"),
+    "average_percent_error": _mean("abs(p - t) / nullif(t, 0)", _KNOWN),
+    "average_precent_error_over": _mean("(p - t) / nullif(t, 0)", f"{_KNOWN} AND p > t"),
+    "average_precent_error_under": _mean("(t - p) / nullif(t, 0)", f"{_KNOWN} AND t > p"),
+    "max_over_prediction_error": "nullif(greatest(max(p - t), 0), 0)",
+    "max_under_prediction_error": "nullif(greatest(max(t - p), 0), 0)",
+    "continuous_mse": "sum(n * abs(p - t))",
+    "continuous_bias": "sum(n * greatest(p - t, t - p))",
+    "continuous_var": "sum(n * (p - t) * (p - t)) - pow(sum(n * (p - t)), 2) / sum(n)",
+    "weighted_binary_crossentropy": f"-sum(n * CASE WHEN t = 1 THEN 2 * ln({_Q}) ELSE ln(1 - {_Q}) END) / sum(n)",
+}
+SQL = {f"obj_{n}": f"SELECT round(CAST({e} AS DOUBLE), 6) AS value FROM (SELECT p, t, CAST(count(*) AS DOUBLE) AS n FROM ({_EVAL}) GROUP BY p, t)" for n, e in CHECK.items()}
 
 
 def query(sql: str | None = None):
@@ -129,6 +198,46 @@ def obj_multilabel_accuracy_score(spark, folder):
     return v.agg(F.round(1 - F.avg("hit"), 6).alias("value"))
 
 
+_CLASSES = f"WITH e AS (SELECT p, t FROM ({_EVAL})), k AS (SELECT DISTINCT unnest([p, t]) AS c FROM e)"
+
+
+@query(f"""{_CLASSES} SELECT round(1 - avg(coalesce(hit / nullif(said, 0), 0)), 6) AS precision_min, round(1 - avg(coalesce(hit / nullif(was, 0), 0)), 6) AS recall_min FROM (
+  SELECT c, CAST(count_if(p = c AND t = c) AS DOUBLE) AS hit, count_if(p = c) AS said, count_if(t = c) AS was FROM k, e GROUP BY c)""")
+def obj_macro_scores(spark, folder):
+    """Macro precision and recall."""
+    return V.macro_scores(predictions(spark, folder)).select(F.round("precision_min", 6).alias("precision_min"), F.round("recall_min", 6).alias("recall_min"))
+
+
+@query("SELECT round(CAST(count_if(pv <> tv) AS DOUBLE) / count(*), 6) AS value, 'inf'::DOUBLE AS trivial FROM (SELECT list(p ORDER BY id) AS pv, list(t ORDER BY id) AS tv FROM (SELECT l_orderkey AS img, l_linenumber AS id, l_quantity % 2 AS p, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS t FROM lineitem) GROUP BY img)")
+def obj_multilabel_fail_trivial(spark, folder):
+    """Share of rows not wholly right, and the failure of a trivial prediction."""
+    t = table(spark, folder, "lineitem").selectExpr("l_orderkey AS img", "l_linenumber AS id", "CAST(l_quantity % 2 AS INT) AS p", "CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS t")
+    v = t.groupBy("img").agg(F.array_sort(F.collect_list(F.struct("id", "p", "t"))).alias("v")).select(F.col("v.p").alias("p"), F.col("v.t").alias("t"))
+    flat = v.withColumn("p", F.transform("p", lambda x: F.lit(1)))
+    one, other = V.multilabel_error(v, fail_trivial=True).select(F.round("value", 6).alias("value")), V.multilabel_error(flat, fail_trivial=True).select(F.col("value").alias("trivial"))
+    return one.join(other)  # one row each
+
+
+@query()
+def obj_false_negative_centroid2(spark, folder):
+    """Targets left per image when no detection confirms two."""
+    return V.unmatched_targets(*_points(spark, folder))
+
+
+_WALK = r"""(SELECT hash, max(d) AS height FROM (SELECT hash, sum(CASE WHEN c = '(' THEN 1 ELSE -1 END) OVER (PARTITION BY hash ORDER BY i) AS d FROM
+  (SELECT hash, unnest(cs) AS c, generate_subscripts(cs, 1) AS i FROM (SELECT hash, regexp_extract_all(main, '[()]') AS cs FROM m))) GROUP BY hash)"""
+
+
+@query(
+    rf"""WITH m AS (SELECT lower(trim(hash)) AS hash, min(tree) AS tree, split_part(ltrim(min(tree), chr(9) || chr(10) || chr(13) || ' '), chr(10), 1) AS main FROM individuals WHERE tree IS NOT NULL GROUP BY 1)
+  SELECT m.hash, CAST(coalesce(height, 0) AS INT) AS height, round(coalesce(height, 0) - (len(main) - len(replace(main, 'ARG0', ''))) / 4 / (pow(3e0, coalesce(height, 0)) + 1), 9) AS depth_breadth, 1707 AS capped_elements FROM m LEFT JOIN {_WALK} w ON w.hash = m.hash"""
+)
+def obj_program_measures(spark, folder):
+    """depth_breadth_eval_function and num_elements_eval_function_capped of each program."""
+    t = table(spark, folder, "individuals").where("tree is not null").groupBy(F.lower(F.trim("hash")).alias("hash")).agg(F.min("tree").alias("tree"))
+    return V.program_measures(t).select("hash", "height", F.round("depth_breadth", 9).alias("depth_breadth"), "capped_elements")
+
+
 # --- fronts and populations --------------------------------------------------------------------------------------------
 
 _IND = "(SELECT DISTINCT lower(trim(hash)) AS hash, evaluation_gen AS gen, reviews_error_rate AS f1, reviews_num_params AS f2 FROM individuals WHERE reviews_error_rate IS NOT NULL AND reviews_num_params IS NOT NULL AND isfinite(reviews_error_rate) AND isfinite(reviews_num_params))"

@@ -89,17 +89,17 @@ def _learner(name, params, ensemble="SINGLE"):
         d = instances(spark, folder)
         if name.endswith("REGRESSION") or name in ("OMP", "BLUP"):
             d = d.withColumn("target", F.element_at("features", 2)).withColumn("features", F.concat(F.slice("features", 1, 1), F.slice("features", 3, 2)))
-        d = d.withColumn("split", F.when(F.pmod(F.xxhash64("row_id"), F.lit(5)) == 0, "test").otherwise("train"))
+        d = d.withColumn("split", F.when(F.col("row_id") % 5 == 0, "test").otherwise("train"))
         if name.startswith("KNN"):  # the query set: rows whose id is divisible by 20, against all rows
             d = d.withColumn("split", F.when(F.pmod("row_id", F.lit(20)) == 0, "test").otherwise("train"))
             train = d.where("split = 'train'")
             near = L.novelty(train.select("row_id", "features"), "row_id", "features", params["k"], d.where("split = 'test'").select("row_id", "features"))
             t = near.join(train.select(F.col("row_id").alias("o"), "target"), "o").groupBy("q").agg(F.avg("target").alias("m"))
-            out = d.join(t.withColumnRenamed("q", "row_id"), "row_id").withColumn("prediction", F.col("m") if name == "KNN_REGRESSION" else F.round("m"))
+            out = d.join(t.withColumnRenamed("q", "row_id"), "row_id").withColumn("prediction", F.col("m") if name == "KNN_REGRESSION" else (F.col("m") > 0.5).cast("double"))
         else:
             out = L.learn(d, name, params, ensemble)
         s = out.where("split = 'test'").select(F.col("prediction").alias("p"), F.col("target").alias("t"))
-        return V.evaluate(s, ["accuracy_score", "objective0EvalFunction"])
+        return V.evaluate(s, ["accuracy_score", "objective0EvalFunction"]).select(F.round("accuracy_score", 6).alias("accuracy_score"), F.round("objective0EvalFunction", 6).alias("objective0EvalFunction"))
 
     return run
 
@@ -109,6 +109,36 @@ QUERIES |= {f"learner_{n}": _learner(n, _PARAMS.get(n, {})) for n in L.LEARNERS}
 QUERIES |= {"learner_bagged": _learner("DECISION_TREE", {}, "BAGGED"), "learner_adaboost": _learner("DECISION_TREE", {"maxDepth": 2}, "ADABOOST")}
 
 
+_ROWS = f"(SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 1e0 ELSE 0e0 END AS t, {_X} AS x FROM orders)"
+#: The same for regression: the second feature is the target.
+_REGRESSION = "(SELECT id, x[2] AS t, [x[1], x[3], x[4]] AS x FROM " + _ROWS + ")"
+_SCORES = "SELECT round(CAST(count_if(p <> t) AS DOUBLE) / count(*), 6) AS accuracy_score, round(sqrt(avg(pow(p - t, 2))), 6) AS \"objective0EvalFunction\" FROM "
+_NEAREST = """(SELECT q, {vote} AS p, any_value(t) AS t FROM (SELECT a.id AS q, a.t, b.t AS v, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.x, b.x), b.id) AS rk FROM {rows} a, {rows} b WHERE a.id % 20 = 0 AND b.id % 20 <> 0) WHERE rk <= 5 GROUP BY q)"""
+_WIDTH = 1e-9
+SQL |= {
+    "learner_ARGMAX": f"{_SCORES} (SELECT t, list_position(x, list_max(x)) - 1 AS p FROM {_ROWS} WHERE id % 5 = 0)",
+    "learner_ARGMIN": f"{_SCORES} (SELECT t, list_position(x, list_min(x)) - 1 AS p FROM {_ROWS} WHERE id % 5 = 0)",
+    "learner_DEPTH_ESTIMATE": f"{_SCORES} (SELECT t, (x[4] - x[1]) * sqrt(1 - pow(sin(radians(20)) / 1.33e0, 2)) AS p FROM {_ROWS} WHERE id % 5 = 0)",
+    "learner_KNN": _SCORES + _NEAREST.format(rows=_ROWS, vote="CASE WHEN avg(v) > 0.5 THEN 1e0 ELSE 0e0 END"),
+    "learner_KNN_REGRESSION": _SCORES + _NEAREST.format(rows=_REGRESSION, vote="avg(v)"),
+    # Normal densities per class, with a share of the widest feature's variance added to every variance.
+    "learner_BAYES": f"""WITH r AS {_ROWS}, e AS (SELECT id, t, unnest(range(1, 5)) AS k, unnest(x) AS v FROM r),
+      w AS (SELECT max(s) * {_WIDTH!r} AS w FROM (SELECT var_pop(v) AS s FROM e WHERE id % 5 <> 0 GROUP BY k)),
+      m AS (SELECT t, k, avg(v) AS m, var_pop(v) + any_value(w) AS s FROM e, w WHERE id % 5 <> 0 GROUP BY t, k),
+      c AS (SELECT t, ln(count(*)) AS prior FROM r WHERE id % 5 <> 0 GROUP BY t),
+      s AS (SELECT e.id, any_value(e.t) AS t, m.t AS p, any_value(prior) + sum(-ln(s) / 2 - pow(v - m, 2) / (2 * s)) AS score FROM e JOIN m ON m.k = e.k JOIN c ON c.t = m.t WHERE e.id % 5 = 0 GROUP BY e.id, m.t)
+      {_SCORES} (SELECT id, any_value(t) AS t, max_by(p, score) AS p FROM s GROUP BY id)""",
+    # Least squares by the normal equations of three features, solved as regressions on what the others leave.
+    "learner_LINEAR_REGRESSION": f"""WITH r AS (SELECT id, t, x[1] AS a, x[2] AS b, x[3] AS c FROM {{rows}}), n AS (SELECT * FROM r WHERE id % 5 <> 0),
+      s AS (SELECT covar_pop(a, a) aa, covar_pop(a, b) ab, covar_pop(a, c) ac, covar_pop(b, b) bb, covar_pop(b, c) bc, covar_pop(c, c) cc, covar_pop(a, t) a_t, covar_pop(b, t) b_t, covar_pop(c, t) c_t, avg(a) ma, avg(b) mb, avg(c) mc, avg(t) mt FROM n),
+      d AS (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM s),
+      w AS (SELECT *, (a_t * (bb * cc - bc * bc) - ab * (b_t * cc - bc * c_t) + ac * (b_t * bc - bb * c_t)) / det AS wa,
+        (aa * (b_t * cc - c_t * bc) - a_t * (ab * cc - bc * ac) + ac * (ab * c_t - b_t * ac)) / det AS wb,
+        (aa * (bb * c_t - bc * b_t) - ab * (ab * c_t - b_t * ac) + a_t * (ab * bc - bb * ac)) / det AS wc FROM d)
+      {_SCORES} (SELECT r.t, mt + wa * (a - ma) + wb * (b - mb) + wc * (c - mc) AS p FROM r, w WHERE id % 5 = 0)""".replace("{rows}", _REGRESSION),
+}
+
+
 @query()
 def layers_parameters(spark, folder):
     """Number of parameters of each stored network, from its layer tree and the modules defined below it."""
@@ -130,7 +160,7 @@ def layers_parameters(spark, folder):
 
 def _fitted(call):
     def run(spark, folder):
-        d = instances(spark, folder).withColumn("split", F.when(F.pmod(F.xxhash64("row_id"), F.lit(5)) == 0, "test").otherwise("train"))
+        d = instances(spark, folder).withColumn("split", F.when(F.col("row_id") % 5 == 0, "test").otherwise("train"))
         out = G.run(call, d)
         return out.select("row_id", F.transform("features", lambda v: F.round(v, 5)).alias("features"))
 

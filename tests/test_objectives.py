@@ -59,3 +59,32 @@ def test_running_sums(spark):
     for i in range(500):
         assert got[float(i)] == total
         total += i % 7
+
+
+def test_macro_scores_and_trivial_predictions(spark):
+    rows = [(0, 0), (0, 1), (1, 1), (2, 1), (2, 2), (2, 2)]
+    r = V.macro_scores(spark.createDataFrame([(float(p), float(t)) for p, t in rows] + [(None, 1.0)], "p double, t double")).first()
+    assert r["precision_min"] == pytest.approx(1 - (1 / 2 + 1 + 2 / 3) / 3) and r["recall_min"] == pytest.approx(1 - (1 + 1 / 3 + 1) / 3)
+    df = spark.createDataFrame([([1, 0], [1, 0]), ([0, 0], [1, 0])], "p array<int>, t array<int>")
+    assert V.multilabel_error(df, fail_trivial=True).first()[0] == 0.5
+    assert V.multilabel_error(df.where("p[0] = 0"), fail_trivial=True).first()[0] == float("inf")
+    assert V.multilabel_error(df.limit(0), fail_trivial=True).first()[0] is None
+
+
+def test_targets_no_detection_confirms_twice(spark):
+    near = spark.createDataFrame([(1, 1, 0.0, 0.0), (1, 2, 10.0, 0.0), (2, 1, 5.0, 5.0), (3, 1, 1.0, 1.0)], "img long, id int, r double, c double")
+    goals = spark.createDataFrame([(1, 1, 0.0, 1.0), (1, 2, 0.0, 2.0), (1, 3, 10.0, 1.0), (2, 1, 50.0, 5.0), (4, 1, 1.0, 1.0)], "img long, id int, r double, c double")
+    # Image 1: both targets at the first detection, which confirms one and is used up; image 2: too far; 4: no detection.
+    assert {r["img"]: r["n_false_negative"] for r in V.unmatched_targets(near, goals).collect()} == {1: 1, 2: 1, 4: 1}
+
+
+def test_program_measures_agree_with_the_parser(spark):
+    from arbora.plans.program import parse
+
+    texts = ["F(G(ARG0, 1), ARG0)", "ARG0", "F(ARG0)\nmod_1: G(H(ARG0))", "F(G(H(ARG0, 2)), G(ARG0))"]
+    got = {r["tree"]: r for r in V.program_measures(spark.createDataFrame([(t,) for t in texts] + [(None,)], "tree string")).collect()}
+    for t in texts:
+        n = parse(t.split("\n")[0])
+        assert got[t]["height"] == n.height and got[t]["n_inputs"] == str(n).count("ARG0")
+        assert got[t]["depth_breadth"] == pytest.approx(n.height - got[t]["n_inputs"] / (3**n.height + 1)) and got[t]["capped_elements"] == 1707
+    assert got[texts[2]]["n_trees"] == 2 and got[None]["height"] is None and got[None]["capped_elements"] is None
