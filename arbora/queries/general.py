@@ -149,3 +149,21 @@ SQL["p2_circles"] = f"""{_TREE}, bad AS (SELECT * FROM u WHERE node NOT IN (SELE
   w(node, cur, low, d) AS (SELECT node, parent, least(node, parent), 1 FROM bad
     UNION ALL SELECT w.node, b.parent, least(w.low, b.parent), w.d + 1 FROM w JOIN bad b ON b.node = w.cur WHERE w.cur <> w.node AND w.d <= (SELECT count(*) FROM bad))
   SELECT node AS hash, low AS circle_hash, CAST(d AS BIGINT) AS circle_length FROM w WHERE cur = node"""
+
+# The rule of packed fields as an automaton that reads one character a step. Modes: 0 between values, 1 in a plain value,
+# 2 in a quoted one; a separator is put behind each field, which ends its last value.
+_SEPARATOR = f"instr({_CHARS} || ',;|/', c) > 0"
+_SINGLE, _DOUBLE, _SLASH = "chr(39)", "chr(34)", "chr(92)"
+_PAIR = f"mode = 2 AND (c = {_SLASH} OR c = q) AND d = q"
+_ENDS = f"((mode = 1 AND sep AND depth = 0 AND pq = '') OR (mode = 2 AND c = q AND NOT ({_PAIR})))"
+_STEP = f"""SELECT rec_id, body, CASE WHEN {_PAIR} THEN i + 2 ELSE i + 1 END AS i,
+    CASE WHEN mode = 0 THEN CASE WHEN sep THEN 0 WHEN quote THEN 2 ELSE 1 END WHEN {_ENDS} THEN 0 ELSE mode END AS mode,
+    CASE WHEN mode = 0 AND quote THEN c ELSE q END AS q,
+    CASE WHEN mode = 0 OR {_ENDS} THEN 0 ELSE depth END + CASE WHEN mode = 2 OR pq <> '' THEN 0 WHEN c = '(' THEN 1 WHEN c = ')' THEN -1 ELSE 0 END AS depth,
+    CASE WHEN mode <> 1 THEN '' WHEN pq = '' AND quote AND depth > 0 THEN c WHEN pq <> '' AND c = pq THEN '' ELSE pq END AS pq,
+    CASE WHEN mode = 0 THEN CASE WHEN sep OR quote THEN '' ELSE c END WHEN {_ENDS} THEN '' WHEN {_PAIR} THEN cur || q ELSE cur || c END AS cur,
+    CASE WHEN {_ENDS} AND trim(cur, {_CHARS}) <> '' THEN list_append(vals, trim(cur, {_CHARS})) ELSE vals END AS vals
+  FROM (SELECT *, {_SEPARATOR} AS sep, c IN ({_SINGLE}, {_DOUBLE}) AS quote FROM (SELECT *, body[i] AS c, body[i + 1] AS d FROM s WHERE i <= len(body)))"""
+SQL["p5_found"] = f"""WITH RECURSIVE b AS (SELECT rec_id, any_value(trim(parents, {_CHARS})) AS f FROM nnlearnerstatistics WHERE parents IS NOT NULL GROUP BY rec_id),
+  s(rec_id, body, i, mode, q, depth, pq, cur, vals) AS (SELECT rec_id, CASE WHEN f LIKE '[%]' THEN f[2:len(f) - 1] ELSE f END || '|', CAST(1 AS BIGINT), 0, '', 0, '', '', CAST([] AS VARCHAR[]) FROM b UNION ALL {_STEP})
+  SELECT rec_id, CAST(pos AS INT) AS pos, vals[pos] AS val FROM (SELECT rec_id, vals, unnest(range(1, len(vals) + 1)) AS pos FROM s WHERE i > len(body))"""

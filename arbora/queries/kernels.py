@@ -11,6 +11,7 @@ from arbora.functions.registry import OPS, Op
 from arbora.operators.dataset import run_kernel
 from arbora.queries.contour_sql import SQL as CONTOUR_SQL
 from arbora.queries.image_sql import SQL as IMAGE_SQL
+from arbora.queries.signal_sql import SQL as SIGNAL_SQL
 from arbora.queries.vectors import rows
 
 
@@ -84,4 +85,4 @@ for _kind in ("Erosion", "Dilate", "Open", "Close", "Gradient", "Tophat", "Black
         SQL[f"op_Morph{_kind}{_shape}"] = _morph_sql(_kind, _near)
 # A 3 by 3 ellipse is a cross.
 SQL |= {f"op_Morph{_kind}Ellipse": SQL[f"op_Morph{_kind}Cross"] for _kind in ("Erosion", "Dilate", "Open", "Close", "Gradient", "Tophat", "Blackhat")}
-SQL |= IMAGE_SQL | CONTOUR_SQL
+SQL |= IMAGE_SQL | CONTOUR_SQL | SIGNAL_SQL
