@@ -14,21 +14,32 @@ from pyspark.sql import functions as F
 
 from arbora.staging import stage
 
-#: Five short lists of words left out, chosen by index modulo 5.
-STOP_WORDS = [
-    [],
-    "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split(),
-    "i me my we our you your he him his she her it its they them their what which who this that these those am is are was were be been being have has had do does did a an the and but if or because as until while of at by for with about to from up down in out on off over under".split(),
-    "der die das und oder nicht ein eine ist war von zu mit auf für im in den dem des".split(),
-    "el la los las un una y o de que en por para con no es fue le les des et un une du dans est pas".split(),
-]
+#: The words of the two short lists, the second the published English list of 127 words in its order.
+SHORT = ["in", "of", "at", "a", "the", "an"]
+LONG = (
+    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself "
+    "they them their theirs themselves what which who whom this that these those am is are was were be been being have has had "
+    "having do does did doing a an the and but if or because as until while of at by for with about against between into through "
+    "during before after above below to from up down in out on off over under again further then once here there when where why "
+    "how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now"
+).split()
 
 
 def stop_list(index: int) -> list[str]:
-    return STOP_WORDS[index % len(STOP_WORDS)]
+    """Words left out, by index modulo 5: a short list, Spark's English list, none, Spark's English list again, a long list."""
+    kind = index % 5
+    if kind in (1, 3):
+        from pyspark.ml.feature import StopWordsRemover
 
+        return list(StopWordsRemover.loadDefaultStopWords("english"))
+    return {0: SHORT, 2: [], 4: LONG}[kind]
 
-def tokens(text: Column | str, stop: int = 0) -> Column:
+
+#: The index of the list without words.
+NO_STOP = 2
+
+
+def tokens(text: Column | str, stop: int = NO_STOP) -> Column:
     t = F.regexp_extract_all(F.lower(F.col(text) if isinstance(text, str) else text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
     words = stop_list(stop)
     return F.filter(t, lambda w: ~w.isin(words)) if words else t
@@ -46,21 +57,30 @@ def ngrams(toks: Column, start: int = 1, end: int = 1) -> Column:
     return F.flatten(F.array(*parts)) if len(parts) > 1 else parts[0]
 
 
-def count_vectors(df: DataFrame, id: str, text: str, binary: bool = False, start: int = 0, end: int = 0, stop: int = 0) -> DataFrame:
+def count_vectors(df: DataFrame, id: str, text: str, binary: bool = False, start: int = 0, end: int = 0, stop: int = NO_STOP) -> DataFrame:
     """(id, term, n): how often each n-gram occurs in each text, or 1."""
     t = df.select(id, tokens(text, stop).alias("__t")).select(id, F.explode(ngrams(F.col("__t"), start, end)).alias("term"))
     c = t.groupBy(id, "term").agg(F.count("*").alias("n"))
     return c.withColumn("n", F.lit(1).cast("long")) if binary else c
 
 
+def fitted_count_vectors(df: DataFrame, id: str, text: str, split: str = "split", **options) -> DataFrame:
+    """(id, split, term, n): counts of the terms that occur in some text of split 'train', for the texts of all splits. Terms
+    of other splits that no training text has are left out, as a vocabulary fitted on the training texts leaves them."""
+    c = count_vectors(df.select(id, text), id, text, **options)
+    known = df.select(id, split).distinct()
+    c = c.join(known, id)
+    return c.join(c.where(F.col(split) == "train").select("term").distinct(), "term", "left_semi").select(id, split, "term", "n")
+
+
 def tfidf(df: DataFrame, id: str, text: str, **options) -> DataFrame:
     """(id, term, weight): n * (ln((1 + docs) / (1 + docs with term)) + 1), scaled to length 1 per text."""
     docs = df.select(id).distinct().count()
     c = count_vectors(df, id, text, **options)
     idf = c.groupBy("term").agg((F.log((1.0 + docs) / (1 + F.count("*"))) + 1).alias("idf"))
     w = c.join(idf, "term").select(id, "term", (F.col("n") * F.col("idf")).alias("w"))
-    norm = w.groupBy(id).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
-    return w.join(norm, id).select(id, "term", (F.col("w") / F.col("len")).alias("weight"))
+    # One shuffle by text for the norm and what it divides: a window over the terms of one text, spilled where it is long.
+    return w.select(id, "term", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id)))).alias("weight"))
 
 
 def hashing_vectors(df: DataFrame, id: str, text: str, dims: int = 1 << 20, **options) -> DataFrame:
@@ -233,7 +253,7 @@ def named_share(text: Column | str) -> Column:
     return F.size(F.regexp_extract_all(t, F.lit(r"(?<=[\p{Ll},;] )\p{Lu}\w+"), F.lit(0))) / F.greatest(F.size(F.regexp_extract_all(t, F.lit(r"\b\w+\b"), F.lit(0))), F.lit(1))
 
 
-def word_vectors(df: DataFrame, id: str, text: str, size: int = 16, window: int = 3, min_count: int = 2, stop: int = 0, seed: int = 7) -> DataFrame:
+def word_vectors(df: DataFrame, id: str, text: str, size: int = 16, window: int = 3, min_count: int = 2, stop: int = NO_STOP, seed: int = 7) -> DataFrame:
     """(id, vector): mean word vector of each text, scaled to length 1; vectors are trained on the same texts."""
     from pyspark.ml.feature import Normalizer, Word2Vec
 

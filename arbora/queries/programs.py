@@ -162,7 +162,7 @@ def _fitted(call):
     def run(spark, folder):
         d = instances(spark, folder).withColumn("split", F.when(F.col("row_id") % 5 == 0, "test").otherwise("train"))
         out = G.run(call, d)
-        return out.select("row_id", F.transform("features", lambda v: F.round(v, 5)).alias("features"))
+        return out.select("row_id", F.posexplode("features").alias("pos", "val")).withColumn("val", F.round("val", 5))
 
     return run
 
@@ -171,3 +171,10 @@ QUERIES |= {
     f"fit_{n}": _fitted(f"{n}(ARG0, {a})")
     for n, a in {"mySelKBest": 2, "mySelPercentile": 50, "mySelFpr": 0.05, "mySelFdr": 0.05, "mySelFwe": 0.05, "mySelGenUni": "1, 2", "myVarThresh": 1.5, "myPCA": 2, "mySparsePCA": 2, "myICA": 2, "mySpectralEmbedding": 2}.items()
 }
+
+_CELLS = f"SELECT id, t, unnest(range(1, 5)) AS k, unnest(x) AS v FROM {_ROWS}"
+_KEPT = f"""WITH e AS ({_CELLS}), g AS (SELECT k, t, count(*) AS n, avg(v) AS m, var_pop(v) AS s FROM e WHERE id % 5 <> 0 GROUP BY k, t),
+  f AS (SELECT g.k, sum(n * pow(m - mm, 2)) / sum(n * s) AS f, any_value(vv) AS vv FROM g JOIN (SELECT k, avg(v) AS mm, var_pop(v) AS vv FROM e WHERE id % 5 <> 0 GROUP BY k) a ON a.k = g.k GROUP BY g.k)
+  SELECT e.id AS row_id, CAST(row_number() OVER (PARTITION BY e.id ORDER BY e.k) - 1 AS INT) AS pos, round(v, 5) AS val FROM e WHERE k IN ({{rule}})"""
+SQL |= {f"fit_{n}": _KEPT.replace("{rule}", "SELECT k FROM f ORDER BY f DESC, k LIMIT 2") for n in ("mySelKBest", "mySelPercentile", "mySelGenUni")}
+SQL["fit_myVarThresh"] = _KEPT.replace("{rule}", "SELECT k FROM f WHERE vv > 1.5")

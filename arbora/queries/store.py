@@ -172,7 +172,12 @@ def store_heap_invalidation(spark, folder):
     return S.keep_prefix(v, _capacity(v)).select("id")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE o AS (SELECT id, size_kb, value, row_number() OVER (ORDER BY value DESC, id) AS i FROM {_RV} WHERE size_kb IS NOT NULL),
+    g(i, id, value, room, kept) AS (SELECT CAST(0 AS BIGINT), '', 0e0, (SELECT sum(size_kb) / 3 FROM (SELECT DISTINCT * FROM cache_entries WHERE purged_at IS NULL)), FALSE
+      UNION ALL SELECT o.i, o.id, o.value, CASE WHEN o.size_kb <= g.room THEN g.room - o.size_kb ELSE g.room END, o.size_kb <= g.room FROM g JOIN o ON o.i = g.i + 1)
+    SELECT id, value FROM g WHERE kept"""
+)
 def store_sort_and_greed(spark, folder):
     """Entries kept greedily, skipping what does not fit."""
     v = _values(spark, folder).withColumn("value", F.round("value", 6))

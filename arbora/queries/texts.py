@@ -34,9 +34,16 @@ def text_count_vectors(spark, folder):
     return W.count_vectors(docs(spark, folder), "doc_id", "text")
 
 
-@query(f"SELECT doc_id, term, 1 AS n FROM {_T} WHERE term NOT IN ({', '.join(chr(39) + w + chr(39) for w in W.stop_list(1))}) GROUP BY doc_id, term")
+@query(f"SELECT doc_id, term, 1 AS n FROM {_T} WHERE term NOT IN ({', '.join(chr(39) + w + chr(39) for w in W.LONG)}) GROUP BY doc_id, term")
 def text_binary_without_stop_words(spark, folder):
-    return W.count_vectors(docs(spark, folder), "doc_id", "text", binary=True, stop=1)
+    return W.count_vectors(docs(spark, folder), "doc_id", "text", binary=True, stop=4)
+
+
+@query(f"SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'test' ELSE 'train' END AS split, term, count(*) AS n FROM {_T} WHERE term IN (SELECT term FROM {_T} WHERE doc_id % 4 <> 0) AND term NOT IN ('in', 'of', 'at', 'a', 'the', 'an') GROUP BY doc_id, term")
+def text_count_vectors_fitted(spark, folder):
+    """count_vectorizer_mod: the vocabulary of the training texts, without a short list of words."""
+    d = docs(spark, folder).withColumn("split", F.when(F.col("doc_id") % 4 == 0, "test").otherwise("train"))
+    return W.fitted_count_vectors(d, "doc_id", "text", stop=0)
 
 
 _TT = r"(SELECT doc_id, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]) AS g FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS t FROM documents WHERE text IS NOT NULL))"
@@ -67,14 +74,22 @@ def text_vocabulary(spark, folder):
     return W.vocabulary(docs(spark, folder), "text", 500)
 
 
-@query()
+@query(
+    rf"""WITH t AS (SELECT doc_id, ts[p] AS term, p FROM (SELECT doc_id, ts, unnest(range(1, len(ts) + 1)) AS p FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}') AS ts FROM documents))),
+    v AS (SELECT term, row_number() OVER (ORDER BY n DESC, term) AS idx FROM (SELECT term, count(*) AS n FROM t GROUP BY term ORDER BY n DESC, term LIMIT 500)),
+    s AS (SELECT doc_id, list(idx ORDER BY p) AS ids FROM t JOIN v ON v.term = t.term GROUP BY doc_id)
+    SELECT d.doc_id, array_to_string(list_concat(list_transform(range(0, greatest(50 - len(coalesce(ids, [])), 0)), lambda i: 0), coalesce(ids, [])[greatest(len(coalesce(ids, [])) - 49, 1):]), ',') AS ids FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id"""
+)
 def text_sequences(spark, folder):
-    return W.sequences(docs(spark, folder), "doc_id", "text", 500, 50)
+    return W.sequences(docs(spark, folder), "doc_id", "text", 500, 50).select("doc_id", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"))
 
 
-@query()
+_LEXICON = ", ".join(f"('{w}', {p}::DOUBLE, {s}::DOUBLE)" for w, (p, s) in W.SENTIMENT.items())
+
+
+@query(f"SELECT d.doc_id, round(coalesce(avg(p), 0), 6) AS polarity, round(coalesce(avg(s), 0), 6) AS subjectivity FROM documents d LEFT JOIN (SELECT doc_id, p, s FROM {_T} t JOIN (VALUES {_LEXICON}) x(w, p, s) ON x.w = t.term) h ON h.doc_id = d.doc_id GROUP BY d.doc_id")
 def text_sentiment(spark, folder):
-    return W.sentiment(docs(spark, folder), "doc_id", "text")
+    return W.sentiment(docs(spark, folder), "doc_id", "text").select("doc_id", F.round("polarity", 6).alias("polarity"), F.round("subjectivity", 6).alias("subjectivity"))
 
 
 def _stem(i):
@@ -84,6 +99,7 @@ def _stem(i):
     return run
 
 
+SQL["text_stem_none"] = "SELECT doc_id, text AS stemmed FROM documents"
 QUERIES |= {f"text_stem_{n}": _stem(i) for i, n in enumerate(("none", "suffix_rules", "light", "hard", "lemma"))}
 
 
@@ -142,11 +158,17 @@ def _selection(mode, param):
     def run(spark, folder):
         t = table(spark, folder, "lineitem").select(*COLS, "l_returnflag")
         kept = X.select(t, COLS, "l_returnflag", mode, param)
-        return t.groupBy("l_returnflag").agg(F.count("*").alias("n"), *[F.round(F.avg(c), 6).alias(c) for c in kept])
+        return t.select("l_returnflag", *kept).groupBy("l_returnflag").agg(F.count("*").alias("n")).withColumn("kept", F.lit(",".join(sorted(kept))))
 
     return run
 
 
+#: The columns kept are those of greatest F, by its formula over sums per class.
+_BEST = f"""WITH g AS (SELECT "column", l, count(*) AS n, avg(v) AS m, var_pop(v) AS s FROM {_LONG} GROUP BY "column", l), a AS (SELECT "column", sum(n * m) / sum(n) AS mm FROM g GROUP BY "column"),
+  f AS (SELECT g."column", sum(n * pow(m - mm, 2)) / sum(n * s) AS f FROM g JOIN a ON a."column" = g."column" GROUP BY g."column"),
+  b AS (SELECT list("column" ORDER BY "column") AS kept FROM (SELECT "column" FROM f ORDER BY f DESC LIMIT 2))
+  SELECT l_returnflag, count(*) AS n, (SELECT array_to_string(kept, ',') FROM b) AS kept FROM lineitem GROUP BY l_returnflag"""
+SQL |= {"feature_select_k_best": _BEST, "feature_select_percentile": _BEST}
 QUERIES |= {f"feature_select_{m}": _selection(m, p) for m, p in (("k_best", 2), ("percentile", 50), ("fpr", 0.05), ("fdr", 0.05), ("fwe", 0.05))}
 
 
