@@ -24,11 +24,11 @@ _ROW = {"featuresCol": "__vec", "predictionCol": "prediction"}
 
 
 def _supervised(make, **fixed):
-    return lambda p: make(**_ROW, labelCol="target", **fixed, **p)
+    return lambda p: make(**_ROW, labelCol="target", **{**fixed, **p})
 
 
 def _one_vs_rest(make, **fixed):
-    return lambda p: C.OneVsRest(**_ROW, labelCol="target", classifier=make(featuresCol="__vec", labelCol="target", **fixed, **p))
+    return lambda p: C.OneVsRest(**_ROW, labelCol="target", classifier=make(featuresCol="__vec", labelCol="target", **{**fixed, **p}))
 
 
 #: Learner name -> estimator from its parameters.
@@ -43,7 +43,7 @@ ESTIMATORS = {
     "LIGHTGBM": _one_vs_rest(C.GBTClassifier, maxIter=10, maxDepth=6, seed=SEED),
     "LOGR": _supervised(C.LogisticRegression, maxIter=20),
     "SGD": _one_vs_rest(C.LinearSVC, maxIter=5),
-    "KMEANS": lambda p: K.KMeans(**_ROW, seed=SEED, **p),
+    "KMEANS": lambda p: K.KMeans(**_ROW, **{"seed": SEED, **p}),
     "GMM": lambda p: K.GaussianMixture(**_ROW, seed=SEED, **p),
     "BISECTING": lambda p: K.BisectingKMeans(**_ROW, seed=SEED, **p),
     "BOOSTING_REGRESSION": _supervised(R.GBTRegressor, maxIter=10, seed=SEED),

@@ -15,7 +15,7 @@ KINDS = {
     "DropoutLayer": "same", "NormLayer": "norm", "ReluLayer": "same", "ELUActivationLayer": "same", "LeakyReLULayer": "same", "NoiseLayer": "same", "Conv1DLayer": "conv", "ConvLayer1D": "conv", "Conv2DLayer": "conv", "ConvLayer": "conv", "SeparableConv2DLayer": "conv", "SeparableConvLayer": "conv",
     "MaxPoolLayer": "pool", "MaxPoolingLayer": "pool", "MaxPoolingLayer1D": "pool", "MaxPoolingLayer2D": "pool", "AveragePoolLayer": "pool", "AveragePoolingLayer1D": "pool", "AveragePoolingLayer2D": "pool", "GlobalMaxLayer": "global", "GlobalMaxPoolingLayer1D": "global", "GlobalMaxPoolingLayer2D": "global",
     "GlobalAverageLayer": "global", "GlobalAveragePoolingLayer1D": "global", "GlobalAveragePoolingLayer2D": "global", "FlattenLayer": "flat", "ZeroPadLayer": "pad", "ZeroPadding2DLayer": "pad", "LSTMLayer": "lstm", "LstmLayer": "lstm", "GRULayer": "gru", "GruLayer": "gru", "ConcatLayer": "concat", "ConcatenateLayer": "concat",
-    "AddLayer": "same", "ResBlock": "conv", "ResidualBlock": "conv", "AttentionLayer": "same", "InitLayerList": "input", "NoSkip": "same", "NoPooling": "same", "DenseConnection": "dense", "Conv1DConnection": "conv", "Conv2DConnection": "conv", "PatchEmbedding": "dense", "Module": "same",
+    "AddLayer": "same", "ResBlock": "conv", "ResidualBlock": "conv", "AttentionLayer": "same", "InitLayerList": "input", "NoSkip": "same", "NoPooling": "same", "DenseConnection": "dense", "Conv1DConnection": "conv", "Conv2DConnection": "conv", "PatchEmbedding": "patch", "PatchEmbedding1DInputLayer": "patch", "PatchEmbedding2DInputLayer": "patch", "Module": "same",
 }
 
 
@@ -47,12 +47,26 @@ def infer(node: Node, data_shape: tuple[int, ...], modules: dict[str, Node] | No
     last = shape[-1] if shape else 1
     if kind == "dense":
         return (*shape[:-1], size), params + (last + 1) * size
+    at = lambda i, d: max(1, sizes[i]) if len(sizes) > i else d
+    valid = any("valid" in str(a.value).lower() for a in node.args if a.args is None)
     if kind == "embed":
-        return (*data_shape, size), params + 10_000 * size
+        return (*shape, size), params + at(1, 10_000) * size
     if kind == "conv":
-        return (*shape[:-1], size), params + (9 * last + 1) * size
+        flat = shape if len(shape) > 1 else (*shape, 1)
+        last, rank, k, stride = flat[-1], len(flat) - 1, at(1, 3), at(2, 1)
+        if name in ("resblock", "residualblock"):
+            return shape, params + (k**rank * last + 1) * size + (k**rank * size + 1) * last
+        places = tuple(max(1, -(-(s - k + 1) // stride)) if valid else -(-s // stride) for s in flat[:-1])
+        if "separable" in name:
+            return (*places, size), params + k**rank * last + (last + 1) * size
+        return (*places, size), params + (k**rank * last + 1) * size
+    if kind == "patch":
+        p = at(1, 2)
+        n = math.prod(s // p for s in shape[:-1])
+        return (n, size), params + (p ** (len(shape) - 1) * last + 1) * size + n * size
     if kind == "pool":
-        return tuple(max(1, -(-s // 2)) for s in shape[:-1]) + shape[-1:], params
+        flat, stride = shape if len(shape) > 1 else (*shape, 1), at(1, at(0, 2))
+        return tuple(max(1, -(-s // stride)) for s in flat[:-1]) + flat[-1:], params
     if kind == "global":
         return (last,), params
     if kind == "flat":
