@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arbora.staging import stage
+
 _VALID = "NOT ((p < 0) <> (t = -1))"  # sign of the prediction agrees with the 'no value' mark of the truth
 _ACTIVITY = "avg(CASE WHEN {is} THEN CASE WHEN isnan(p) OR NOT ({ok}) THEN 1e0 ELSE 0e0 END END)"
 _ALARM = "avg(CASE WHEN NOT ({is}) THEN CASE WHEN {ok} THEN 1e0 ELSE 0e0 END END)"
@@ -200,17 +202,20 @@ def assignment(cost: list[list[float]]) -> float:
 
 
 def partition_distance(df: DataFrame, most_clusters: int = 2000) -> float:
-    """Fewest elements to take out so that partitions p and t agree: from the contingency table, which must be small."""
-    cells = df.groupBy("p", "t").agg(F.count("*").alias("n")).limit(most_clusters * most_clusters + 1).collect()
-    rows, cols = sorted({c["p"] for c in cells}), sorted({c["t"] for c in cells})
-    if max(len(rows), len(cols), 0) > most_clusters:
+    """Fewest elements to take out so that partitions p and t agree: from the contingency table, which must be small. NULL
+    labels are left out. More clusters than ``most_clusters`` in either partition are an error, found before the table is fetched."""
+    df = df.where(F.col("p").isNotNull() & F.col("t").isNotNull())
+    if max(df.agg(F.countDistinct("p"), F.countDistinct("t")).first()) > most_clusters:
         raise ValueError(f"more than {most_clusters} clusters")
+    cells = df.groupBy("p", "t").agg(F.count("*").alias("n")).collect()
+    rows, cols = sorted({c["p"] for c in cells}), sorted({c["t"] for c in cells})
     if not cells:
         return 0.0
     size = max(len(rows), len(cols))
     table = [[0.0] * size for _ in range(size)]
+    row, col = {p: i for i, p in enumerate(rows)}, {t: i for i, t in enumerate(cols)}
     for c in cells:
-        table[rows.index(c["p"])][cols.index(c["t"])] = -float(c["n"])
+        table[row[c["p"]]][col[c["t"]]] = -float(c["n"])
     return sum(c["n"] for c in cells) + assignment(table)
 
 
@@ -227,7 +232,7 @@ def _near(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
 def centroid_counts(detections: DataFrame, targets: DataFrame, radius: float = 4.0) -> DataFrame:
     """Per image: detections without a target, targets without a detection, mean least distance of matched targets.
     Both have (img, id, r, c)."""
-    near = _near(detections, targets, radius)
+    near = stage(_near(detections, targets, radius), "near")  # read three times
     fp = detections.join(near.select("img", F.col("a").alias("id")).distinct(), ["img", "id"], "left_anti").groupBy("img").agg(F.count("*").alias("fp"))
     fn = targets.join(near.select("img", F.col("b").alias("id")).distinct(), ["img", "id"], "left_anti").groupBy("img").agg(F.count("*").alias("fn"))
     dist = near.groupBy("img", "b").agg(F.min("d").alias("d")).groupBy("img").agg(F.avg("d").alias("mean_dist"))
