@@ -129,8 +129,9 @@ def bare(value: str, dialect: Dialect) -> str:
     return "".join(" " if c in WHITE else c for c in outside if c in WHITE or c in SPECIALS)
 
 
-def dialects(body: str) -> Iterator[Dialect]:
-    """Candidates for a field, from what occurs in it. Separators that only stand in parentheses split nothing."""
+def dialects(body: str) -> Iterator[tuple[Dialect, str]]:
+    """Candidates for a field, from what occurs in it, with the field less its parentheses. Separators that only stand in
+    parentheses split nothing."""
     there = [q for q in "\"'" if q in body]
     quotes = ["", *there] + (["\"'"] if len(there) == 2 else [])
     for opaque in (True, False) if there and "(" in body else (False,):
@@ -139,7 +140,7 @@ def dialects(body: str) -> Iterator[Dialect]:
         for n in range(len(marks), -1, -1):
             for some in combinations(marks, n):
                 for q in quotes:
-                    yield Dialect("".join(some), q, opaque)
+                    yield Dialect("".join(some), q, opaque), outside
 
 
 def strip_brackets(field: str) -> str:
@@ -161,7 +162,12 @@ def cheapest(body: str, codes: Codes) -> Dialect | None:
     """The dialect of least description length; ties go to the first candidate, which declares most. None if no dialect
     closes what it opens."""
     best, least = None, math.inf
-    for d in dialects(body):
+    fixed = len(body) - sum(map(body.count, WHITE))  # characters no dialect drops but as marks, quotes or escapes
+    for d, outside in dialects(body):
+        kept = fixed - sum(map(body.count, d.marks.replace(" ", ""))) - (sum(map(body.count, d.quotes + "\\")) if d.quotes else 0)
+        bare_ = 0.0 if d.quotes else sum(outside.count(m) * codes.special.get(m, 0.0) for m in MARKS if m not in d.marks)
+        if d.bits + CHAR_BITS * kept + bare_ >= least:  # its values' characters alone cost more
+            continue
         if (values := parse(body, d)) is not None and (bits := description(values, d, codes)) < least:
             best, least = d, bits
     return best
