@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from arbora.queries import evaluation, general, kernels, networks, programs, sources, store, streams, texts, vectors, writes
+from arbora.queries import evaluation, general, instances, kernels, networks, programs, sources, store, streams, texts, vectors, writes
 
-_MODULES = [general, vectors, kernels, evaluation, store, writes, sources, texts, programs, networks, streams]
+_MODULES = [general, vectors, kernels, evaluation, store, writes, sources, texts, programs, networks, instances, streams]
 
 
 def queries() -> dict:
