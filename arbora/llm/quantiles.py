@@ -30,7 +30,8 @@ from arbora.staging import stage
 EPS, MIN = 0.005, 1e-9
 #: Most rows of (day, selection) that are broadcast; about 50 bytes each.
 BROADCAST_ROWS = 100_000
-_ROUND = "gk string, sel int, lt long, eq long, gt long, med_lt long, med_gt long, hit long, steps int"
+_STATE = "lo long, hi long, piv long, k long, since int, till int, rounds int"
+_ROUND = f"gk string, sel int, lt long, eq long, gt long, med_lt long, med_gt long, hit long, steps int, {_STATE}"
 _WIDE = 1 << 42
 _LOW, _HIGH = -(1 << 40), 1 << 40
 
@@ -103,11 +104,12 @@ def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(gk, b, c, sels) to what each run counts and proposes for its selections. A selection that is the run's alone is
-    taken through all its rounds."""
+    """(gk, b, c, sels) to what each run counts and proposes for its selections, each with its state. A selection that is the
+    run's alone is taken through all its rounds."""
     for batch in batches:
         length, b, cum = _flat(batch.column(1), batch.column(2))
-        ids, lo, hi, piv, k, alone = (batch.column(3).flatten().field(f).to_numpy(zero_copy_only=False) for f in ("sel", "lo", "hi", "piv", "k", "alone"))
+        sels = batch.column(3).flatten()
+        ids, lo, hi, piv, k, alone = (sels.field(f).to_numpy(zero_copy_only=False) for f in ("sel", "lo", "hi", "piv", "k", "alone"))
         run = np.repeat(np.arange(batch.num_rows), batch.column(3).value_lengths().to_numpy(zero_copy_only=False))
         # Buckets of all runs of the batch in one sorted array.
         key = np.repeat(np.arange(batch.num_rows), length) * _WIDE + b
@@ -134,10 +136,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             steps[open_] += 1
         cols = [pa.array(x[some]) for x in (lt, eq, gt, med_lt, med_gt)]
         gk = batch.column(0).take(pa.array(run[some]))
-        yield pa.RecordBatch.from_arrays([gk, pa.array(ids[some]), *cols, pa.array(hit[some], mask=hit[some] == -_WIDE), pa.array(steps[some])], names=_NAMES)
+        yield pa.RecordBatch.from_arrays([gk, pa.array(ids[some]), *cols, pa.array(hit[some], mask=hit[some] == -_WIDE), pa.array(steps[some]), *[sels.field(f).take(pa.array(some)) for f in _CARRIED]], names=_NAMES)
 
 
-_NAMES = [f.split()[0] for f in _ROUND.split(", ")]
+_NAMES, _CARRIED = [f.split()[0] for f in _ROUND.split(", ")], [f.split()[0] for f in _STATE.split(", ")]
 
 
 def percentiles(partials: DataFrame, spans: list[tuple[str, date, date]], qs: list[float]) -> DataFrame:
@@ -160,33 +162,33 @@ def percentiles(partials: DataFrame, spans: list[tuple[str, date, date]], qs: li
         covered = F.broadcast(covered)
     state = first.join(covered, "day").groupBy("grp", "field", "sel", "span", "since", "till", "q").agg(F.sum("n").alias("n"), _weighted_median("med", "n").alias("piv"), F.count("*").alias("held"))
     rank = F.greatest(F.lit(1).cast("long"), F.ceil(F.round(F.col("q") * F.col("n"), 9)).cast("long"))
-    state = state.select(gk.alias("gk"), "grp", "field", "sel", "span", "since", "till", "q", "n", rank.alias("k"), F.lit(_LOW).cast("long").alias("lo"), F.lit(_HIGH).cast("long").alias("hi"), "piv", "held", F.lit(None).cast("long").alias("found"), F.lit(0).alias("rounds"))
-    state = stage(state, "state")
+    asked_of = stage(state.select(gk.alias("gk"), "grp", "field", "sel", "span", "since", "till", "q", "n", rank.alias("k"), "piv", "held"), "selections")
+    state = asked_of.select("gk", "sel", F.lit(_LOW).cast("long").alias("lo"), F.lit(_HIGH).cast("long").alias("hi"), "piv", "k", "since", "till", F.lit(0).alias("rounds"), "held", F.lit(None).cast("long").alias("found"))
     steps = []
     while not (busy := state.where(F.col("found").isNull())).isEmpty():
         votes = _with_selections(runs, busy).mapInArrow(_count, _ROUND).groupBy("gk", "sel").agg(
             *[F.sum(c).alias(c) for c in ("lt", "eq", "gt")],
             *[_weighted_median(f"med_{s}", s).alias(f"med_{s}") for s in ("lt", "gt")],
             *[F.count_if(F.col(s) > 0).alias(f"held_{s}") for s in ("lt", "gt")],
-            F.max("hit").alias("hit"),
-            F.max("steps").alias("steps"),
+            *[F.max(c).alias(c) for c in ("hit", "steps", *_CARRIED)],  # the state is the same in all rows of a selection
         )
         left, right = F.col("k") <= F.col("lt"), F.col("k") > F.col("lt") + F.col("eq")
         side = lambda c: F.when(left, F.col(f"{c}_lt")).when(right, F.col(f"{c}_gt"))
-        step = busy.join(votes, ["gk", "sel"]).select(
-            "gk", "grp", "field", "sel", "span", "since", "till", "q", "n",
-            F.when(right, F.col("k") - F.col("lt") - F.col("eq")).otherwise(F.col("k")).alias("k"),
+        state = stage(votes.select(
+            "gk", "sel",
             F.when(right, F.col("piv")).otherwise(F.col("lo")).alias("lo"),
             F.when(left, F.col("piv")).otherwise(F.col("hi")).alias("hi"),
             side("med").alias("piv"),
+            F.when(right, F.col("k") - F.col("lt") - F.col("eq")).otherwise(F.col("k")).alias("k"),
+            "since", "till",
+            (F.col("rounds") + F.col("steps")).alias("rounds"),
             side("held").alias("held"),
             F.coalesce("hit", F.when(~left & ~right, F.col("piv"))).alias("found"),
-            (F.col("rounds") + F.col("steps")).alias("rounds"),
-        )
-        state = stage(step, "state")
+        ), "state")
         steps.append(state)
-    done = reduce(DataFrame.unionByName, steps or [state]).where(F.col("found").isNotNull())
-    return done.select("grp", "field", "span", F.date_from_unix_date("since").alias("since"), F.date_from_unix_date("till").alias("till"), "q", "n", F.col("found").alias("bucket"), "rounds")
+    done = reduce(DataFrame.unionByName, steps or [state]).where(F.col("found").isNotNull()).select("gk", "sel", "found", "rounds")
+    out = asked_of.join(done, ["gk", "sel"])
+    return out.select("grp", "field", "span", F.date_from_unix_date("since").alias("since"), F.date_from_unix_date("till").alias("till"), "q", "n", F.col("found").alias("bucket"), "rounds")
 
 
 def _weighted_median(value: str, weight: str) -> Column:
@@ -196,6 +198,6 @@ def _weighted_median(value: str, weight: str) -> Column:
 def _with_selections(runs: DataFrame, open_: DataFrame) -> DataFrame:
     """(gk, b, c, sels): runs with the open selections that cover their day. Each selection meets only the runs of its own
     days; a run has at most as many selections as spans cover a day, times ranks."""
-    days = open_.select("gk", F.explode(F.sequence("since", "till")).alias("day"), F.struct("sel", "lo", "hi", "piv", "k", (F.col("held") == 1).alias("alone")).alias("s"))
+    days = open_.select("gk", F.explode(F.sequence("since", "till")).alias("day"), F.struct("sel", *_CARRIED, (F.col("held") == 1).alias("alone")).alias("s"))
     sels = days.groupBy("gk", "day").agg(F.collect_list("s").alias("sels"))
     return runs.select("gk", "day", "b", "c").join(sels, ["gk", "day"]).select("gk", "b", "c", "sels")
