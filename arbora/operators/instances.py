@@ -70,6 +70,34 @@ def window_values(image: str, width: int, row: int, col: int, size: int = 7, hol
     return F.array(*cells)
 
 
+def nearest_cell(at: str, size: int) -> Column:
+    """The cell of a grid of ``size`` cells nearest to a place, the lower of two equally near; places at 0 and at ``size``
+    belong to the first and the last cell. NULL where neither neighbour is a cell."""
+    x = F.col(at)
+    lo, hi = F.floor(x), F.ceil(x)
+    inside = lambda c: (c >= 0) & (c < size)
+    near = F.when(inside(lo) & (~inside(hi) | (x - lo <= hi - x)), lo).when(inside(hi), hi)
+    return F.when(x == size, F.lit(size - 1)).otherwise(near).cast("int")
+
+
+def resized(image: str, width: int, rows: int, cols: int) -> Column:
+    """A row-major image of another size: each pixel is weighed from the four around its place, edges repeated."""
+    h = (F.size(image) / width).cast("int")
+
+    def at(k: Column, scale: Column) -> Column:
+        return (k + 0.5) * scale - 0.5
+
+    def pixel(r: Column, c: Column) -> Column:
+        return F.get(image, (F.greatest(F.lit(0), F.least(h - 1, r)) * width + F.greatest(F.lit(0), F.least(F.lit(width - 1), c))).cast("int"))
+
+    def cell(k: Column) -> Column:
+        y, x = at(F.floor(k / cols), h / float(rows)), at(k % cols, F.lit(width / cols))
+        r, c = F.floor(y), F.floor(x)
+        return (pixel(r, c) * (1 - (x - c)) + pixel(r, c + 1) * (x - c)) * (1 - (y - r)) + (pixel(r + 1, c) * (1 - (x - c)) + pixel(r + 1, c + 1) * (x - c)) * (y - r)
+
+    return F.when(F.size(image) > 0, F.transform(F.sequence(F.lit(0), F.lit(rows * cols - 1)), cell))
+
+
 def target_points(df: DataFrame, image: str, width: int, above: float = 0.0) -> DataFrame:
     """(row_id, r, c, value): places of an image above a level."""
     return df.select("row_id", F.posexplode(image).alias("at", "value")).where(F.col("value") > above).select("row_id", F.floor(F.col("at") / width).cast("int").alias("r"), (F.col("at") % width).alias("c"), "value")

@@ -290,11 +290,12 @@ def fuzzy_select(df: DataFrame, id: str, cases: list[str], low: list[float], hig
     return draws(stage(fuzzy_shares(df, id, cases, low, high, trials, seed=seed), "shares"), "share", k, seed)
 
 
-def region_scaled(df: DataFrame, objectives: list[str], region: list[tuple[float, float]], crowd: str = "crowding") -> DataFrame:
-    """``df`` with its crowding distance scaled by how far each objective lies outside its region of interest: divided by
-    one and the Euclidean distance from the region, so that rows within it keep theirs."""
-    out = sum((F.greatest(F.lit(lo) - F.col(o), F.col(o) - F.lit(hi), F.lit(0.0)) ** 2 for o, (lo, hi) in zip(objectives, region)), F.lit(0.0))
-    return df.withColumn(crowd, F.col(crowd) / (1.0 + F.sqrt(out)))
+def region_scaled(df: DataFrame, objectives: list[str], acceptable: list[float], known: list[float], crowd: str = "crowding", alpha: float = 0.5) -> DataFrame:
+    """``df`` with its crowding distance scaled by the place of its objectives between what is acceptable (0 up to there) and
+    what is known to be reached (1 from there on): times (1 + alpha) / (alpha + length of the vector of places)."""
+    place = lambda o, lo, hi: F.when(F.col(o) >= hi, 1.0).when(F.col(o) > lo, (F.col(o) - lo) / (hi - lo)).otherwise(0.0)
+    length = F.sqrt(sum((place(o, lo, hi) ** 2 for o, lo, hi in zip(objectives, acceptable, known)), F.lit(0.0)))
+    return df.withColumn(crowd, F.col(crowd) * (1 + alpha) / (alpha + length))
 
 
 def tier_adjusted(df: DataFrame, objectives: list[str], tiers: list[str], offset: float = 5e9) -> DataFrame:

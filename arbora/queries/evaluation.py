@@ -368,11 +368,11 @@ def select_mating_weights(spark, folder):
     return S.mating_weights(_scaled(spark, folder), ["f1", "f2"], [0.3, 0.5], [0.1, 0.1], 2.0).select("hash", F.round("weight", 9).alias("weight"))
 
 
-@query(f"{_PEEL} SELECT hash, round(crowding / (1 + sqrt(pow(greatest(0.1 - f1, f1 - 0.4, 0), 2) + pow(greatest(1e4 - f2, f2 - 1e5, 0) , 2))), 6) AS crowding FROM c WHERE front = 0")
+@query(f"{_PEEL} SELECT hash, round(crowding * 1.5 / (0.5 + sqrt(pow(least(greatest((f1 - 0.1) / 0.3, 0), 1), 2) + pow(least(greatest((f2 - 1e4) / 9e4, 0), 1), 2))), 6) AS crowding FROM c WHERE front = 0")
 def pareto_crowding_region(spark, folder):
-    """Crowding distance scaled by the distance from a region of interest."""
+    """HCDScaleMin: crowding distance scaled by the region of interest."""
     f = S.crowding(P.pareto_front(_one_each(spark, folder), ["f1", "f2"]), "hash", ["f1", "f2"])
-    return S.region_scaled(f, ["f1", "f2"], [(0.1, 0.4), (1e4, 1e5)]).select("hash", F.round("crowding", 6).alias("crowding"))
+    return S.region_scaled(f, ["f1", "f2"], [0.1, 1e4], [0.4, 1e5]).select("hash", F.round("crowding", 6).alias("crowding"))
 
 
 @query(f"SELECT hash, f1 + CASE WHEN f1 < 0.5 THEN 0 ELSE 5e9 END + CASE WHEN f2 < 1e5 THEN 0 ELSE 5e9 END AS f1 FROM {_ONE_EACH}")

@@ -96,6 +96,23 @@ def instance_inner_product(spark, folder):
     return _images(spark, folder).withColumn("y", F.reverse("stream")).select("row_id", F.round(I.inner_product("stream", "y"), 6).alias("value"))
 
 
+@query("SELECT l_orderkey, l_linenumber, l_quantity / 4 AS at, CASE WHEN l_quantity / 4 >= 12 THEN 11 ELSE CAST(floor(l_quantity / 4) + CASE WHEN l_quantity / 4 - floor(l_quantity / 4) > 0.5 AND floor(l_quantity / 4) + 1 < 12 THEN 1 ELSE 0 END AS INT) END AS cell FROM lineitem WHERE l_quantity / 4 <= 12")
+def instance_nearest_cell(spark, folder):
+    """closest_grid and round_options: the cell of a grid nearest to a place, on each axis."""
+    t = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 4).alias("at")).where("at <= 12")
+    return t.withColumn("cell", I.nearest_cell("at", 12))
+
+
+_CLAMP = "greatest(0, least(7, CAST({} AS INT)))"
+_WEIGH = " + ".join(f"x[{_CLAMP.format(f'floor(y) + {i}')} * 8 + {_CLAMP.format(f'floor(z) + {j}')} + 1] * (1 - abs(y - floor(y) - {i})) * (1 - abs(z - floor(z) - {j}))" for i in (0, 1) for j in (0, 1))
+
+
+@query(f"SELECT vec_id AS row_id, CAST(p AS INT) AS pos, round({_WEIGH}, 6) AS value FROM (SELECT vec_id, x, p, (p // 12 + 0.5e0) * 8 / 5 - 0.5 AS y, (p % 12 + 0.5e0) * 8 / 12 - 0.5 AS z FROM {_E}, LATERAL (SELECT unnest(range(0, 60)) AS p))")
+def instance_resized(spark, folder):
+    """warp_img: an image of 8 by 8 as one of 5 by 12."""
+    return _images(spark, folder).select("row_id", F.posexplode(I.resized("stream", 8, 5, 12)).alias("pos", "value")).withColumn("value", F.round("value", 6))
+
+
 def _vectors(spark, folder):
     """A table of word vectors as a file would give it: every second of the 300 most frequent terms, some in capitals."""
     v = W.vocabulary(docs(spark, folder), "text", 300).where("idx % 2 = 1")

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arbora.io import table
 from arbora.sources import loaders as R
-from arbora.staging import shared_folder
+from arbora.staging import scratch
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -27,7 +25,7 @@ def query(sql: str | None = None):
 
 
 def _path(spark, name: str) -> str:
-    return f"{shared_folder(spark)}/arbora-source-{name}-{uuid.uuid4().hex}"
+    return scratch(spark, f"source-{name}")
 
 
 def _lines(df: DataFrame, name: str, key: str, header: str | None = None) -> str:

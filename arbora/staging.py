@@ -47,6 +47,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder for files this process writes itself; deleted with its staged tables."""
+    path = f"{shared_folder(spark)}/arbora-{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def drop_stage(df: DataFrame) -> None:
     """Delete the table behind ``df``, which :func:`stage` returned and nothing lazy needs any more."""
     path = df._staged
