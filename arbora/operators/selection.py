@@ -176,19 +176,22 @@ def max_distance_nsga(df: DataFrame, id: str, objectives: list[str], k: int) ->
 
 
 def near_pairs(df: DataFrame, id: str, objectives: list[str], d: float) -> DataFrame:
-    """(a, b, dist), a < b: the edges of the graph that joins rows at most ``d`` apart (Euclidean). Rows meet in a grid of
-    cells of length d, each with the cells around it; NULL and non-finite rows have no edges."""
+    """(a, b, dist, n_a, n_b), a < b: the edges of the graph that joins rows at most ``d`` apart (Euclidean), between
+    points. A point stands for all rows with its objectives, n of them, by their least id: rows of one point are joined to
+    each other and to all rows of the point's neighbours, which is not spelt out. Points meet in a grid of cells of length
+    d, each with the cells around it; NULL and non-finite rows have no edges."""
     ok = df.select(id, *objectives)
     for o in objectives:
         ok = ok.where(F.abs(F.col(o)) < float("inf"))
+    ok = ok.groupBy(*objectives).agg(F.min(id).alias(id), F.count("*").alias("__n"))
     width = d if d > 0 else 1.0
     cells = [F.floor(F.col(o) / width).cast("long") for o in objectives]
-    left = ok.select(F.col(id).alias("a"), *[F.col(o).alias(f"a_{o}") for o in objectives], *[c.alias(f"g{i}") for i, c in enumerate(cells)])
-    right = ok.select(F.col(id).alias("b"), *[F.col(o).alias(f"b_{o}") for o in objectives], *[F.explode(F.array(*[c + s for s in (-1, 0, 1)])).alias(f"g{i}") if i == 0 else c.alias(f"c{i}") for i, c in enumerate(cells)])
+    left = ok.select(F.col(id).alias("a"), F.col("__n").alias("n_a"), *[F.col(o).alias(f"a_{o}") for o in objectives], *[c.alias(f"g{i}") for i, c in enumerate(cells)])
+    right = ok.select(F.col(id).alias("b"), F.col("__n").alias("n_b"), *[F.col(o).alias(f"b_{o}") for o in objectives], *[F.explode(F.array(*[c + s for s in (-1, 0, 1)])).alias(f"g{i}") if i == 0 else c.alias(f"c{i}") for i, c in enumerate(cells)])
     for i in range(1, len(objectives)):
         right = right.withColumn(f"g{i}", F.explode(F.array(*[F.col(f"c{i}") + s for s in (-1, 0, 1)]))).drop(f"c{i}")
     dist = F.sqrt(sum(((F.col(f"a_{o}") - F.col(f"b_{o}")) ** 2 for o in objectives), F.lit(0.0)))
-    return left.join(right, [f"g{i}" for i in range(len(objectives))]).where(F.col("a") < F.col("b")).select("a", "b", dist.alias("dist")).where(F.col("dist") <= d)
+    return left.join(right, [f"g{i}" for i in range(len(objectives))]).where(F.col("a") < F.col("b")).select("a", "b", dist.alias("dist"), "n_a", "n_b").where(F.col("dist") <= d)
 
 
 def least_distance(df: DataFrame, id: str, objectives: list[str], nonzero: bool = False) -> DataFrame:
@@ -318,11 +321,12 @@ def gene_pool(df: DataFrame, id: str, objectives: list[str], ranges: list[tuple[
 
 def similar(df: DataFrame, id: str, objectives: list[str], percent: float = 0.01) -> DataFrame:
     """(id, first): for each row the least id with the same objectives up to ``percent``/100 of their value, itself if
-    there is none: phenotypes that are equal or nearly so. Rows meet in cells of the logarithm of each objective, with the
-    cells around them."""
+    there is none: phenotypes that are equal or nearly so. Equal rows are one point, which meets others in cells of the
+    logarithm of each objective, with the cells around them."""
     step = math.log1p(percent / 100)
     cell = lambda o: F.when(F.col(o) == 0, F.lit(0)).otherwise(F.signum(o) * (F.floor(F.log(F.abs(F.col(o))) / step) + (1 << 40))).cast("long")
-    ok = df.select(id, *objectives).dropna()
+    rows = df.select(id, *objectives).dropna()
+    ok = rows.groupBy(*objectives).agg(F.min(id).alias(id))
     left = ok.select(F.col(id).alias("__a"), *[F.col(o).alias(f"a_{o}") for o in objectives], *[cell(o).alias(f"g{i}") for i, o in enumerate(objectives)])
     right = ok.select(F.col(id).alias("__b"), *[F.col(o).alias(f"b_{o}") for o in objectives])
     for i, o in enumerate(objectives):
@@ -332,5 +336,7 @@ def similar(df: DataFrame, id: str, objectives: list[str], percent: float = 0.01
     for o in objectives:
         a, b = F.col(f"a_{o}"), F.col(f"b_{o}")
         near = near & ((a == b) | (F.abs(a - b) < F.abs(a) * (percent / 100)))
-    hit = left.join(right, [f"g{i}" for i in range(len(objectives))]).where(near & (F.col("__b") <= F.col("__a")))
-    return ok.select(id).distinct().join(hit.groupBy(F.col("__a").alias(id)).agg(F.min("__b").alias("first")), id, "left").withColumn("first", F.coalesce("first", id))
+    # A point's neighbours by their least ids; each of its rows has the first of them, or of its own point.
+    hit = left.join(right, [f"g{i}" for i in range(len(objectives))]).where(near)
+    first = hit.groupBy(*[F.col(f"a_{o}").alias(o) for o in objectives]).agg(F.min("__b").alias("first"))
+    return rows.join(first, objectives, "left").groupBy(id).agg(F.least(F.min("first"), F.col(id)).alias("first"))

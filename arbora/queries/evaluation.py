@@ -344,9 +344,9 @@ def _scaled(spark, folder):
     return _one_each(spark, folder).withColumn("f2", F.col("f2") / 1e6)
 
 
-@query(f"WITH i AS {_SCALED} SELECT a.hash AS a, b.hash AS b, round(sqrt(pow(a.f1 - b.f1, 2) + pow(a.f2 - b.f2, 2)), 9) AS dist FROM i a, i b WHERE a.hash < b.hash AND sqrt(pow(a.f1 - b.f1, 2) + pow(a.f2 - b.f2, 2)) <= 0.003")
+@query(f"WITH i AS (SELECT min(hash) AS hash, f1, f2, count(*) AS n FROM {_SCALED} GROUP BY f1, f2) SELECT a.hash AS a, b.hash AS b, a.n AS n_a, b.n AS n_b, round(sqrt(pow(a.f1 - b.f1, 2) + pow(a.f2 - b.f2, 2)), 9) AS dist FROM i a, i b WHERE a.hash < b.hash AND sqrt(pow(a.f1 - b.f1, 2) + pow(a.f2 - b.f2, 2)) <= 0.003")
 def select_distance_graph(spark, folder):
-    """Programs at most 0.003 apart in objectives."""
+    """Programs at most 0.003 apart in objectives; equal ones stand as one with their number."""
     return S.near_pairs(_scaled(spark, folder), "hash", ["f1", "f2"], 0.003).withColumn("dist", F.round("dist", 9))
 
 
