@@ -2,28 +2,21 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arbora.io import table
+from arbora.operators import reports as R
 from arbora.operators import store as S
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-_TABLES = ("individuals", "history", "paretofront", "methods", "cache_entries", "mcm", "mim", "nnlearnerstatistics", "documents", "events")
-
-
-def both(name: str, text: str, doc: str = "") -> None:
-    """A query that is one statement of SQL for Catalyst; the check runs the same statement."""
+_DOCS: dict[str, str] = {}
 
-    def run(spark: SparkSession, folder: str) -> DataFrame:
-        used = [t for t in _TABLES if re.search(rf"\b{t}\b", text)]
-        return spark.sql(re.sub(rf"\b({'|'.join(_TABLES)})\b", r"{\1}", text), **{t: table(spark, folder, t) for t in used})
 
-    run.__doc__ = doc
-    QUERIES[name], SQL[name] = run, text
+def check(name: str, text: str, doc: str = "") -> None:
+    """The SQL that checks a query; ``doc`` says what both answer. The queries stand at the end."""
+    SQL[name], _DOCS[name] = text, doc
 
 
 def query(sql: str | None = None):
@@ -43,22 +36,22 @@ _P = "(SELECT DISTINCT id, optimization, generation, lower(trim(hash)) AS hash F
 _H = "(SELECT DISTINCT id, optimization, generation, lower(trim(hash)) AS hash FROM history WHERE hash IS NOT NULL)"
 _N = "(SELECT DISTINCT rec_id, lower(trim(hash)) AS hash, age, current_tree FROM nnlearnerstatistics)"
 
-both("store_select", f"SELECT hash, age, evaluation_status, count(*) OVER (PARTITION BY hash) AS n_rows FROM {_I} i WHERE hash = (SELECT min(lower(trim(hash))) FROM individuals)", "look-up by key, with the number of its rows")
-both("store_select_nn", f"SELECT rec_id, hash, age FROM {_N} n WHERE hash = (SELECT min(lower(trim(hash))) FROM nnlearnerstatistics) AND age >= 0", "look-up by key and age")
-both("store_status_counts", f"SELECT evaluation_status, count(*) AS n FROM {_I} i WHERE purged_at IS NULL GROUP BY evaluation_status", "numbers evaluated, waiting, in progress")
-both("store_num_evaluated", f"SELECT count(*) AS n FROM {_I} i WHERE evaluation_status = 'EVALUATED'")
-both("store_num_waiting", f"SELECT count(*) AS n FROM {_I} i WHERE evaluation_status = 'WAITING_FOR_MASTER'")
-both("store_unevaluated", f"SELECT count(*) AS n FROM {_I} i WHERE evaluation_status = 'NOT_EVALUATED' OR evaluation_status = 'IN_PROGRESS'")
-both("store_evaluated_individuals", f"SELECT hash, age, evaluation_gen, elapsed_time FROM {_I} i WHERE evaluation_status = 'WAITING_FOR_MASTER'")
-both("store_random_uneval", f"SELECT hash, 'IN_PROGRESS' AS evaluation_status FROM (SELECT DISTINCT hash FROM {_I} i WHERE evaluation_status = 'NOT_EVALUATED') u ORDER BY md5(concat('7', hash)), hash LIMIT 20", "twenty unevaluated programs in a seeded random order, marked")
-both("store_num_gens", "SELECT max(generation) AS last_generation FROM history")
-both("store_seeded_pareto", f"SELECT hash, age, evaluation_gen FROM {_I} i WHERE hash IN (SELECT hash FROM {_P} p WHERE optimization = (SELECT max(optimization) FROM paretofront) AND generation = (SELECT max(generation) FROM paretofront WHERE optimization = (SELECT max(optimization) FROM paretofront)))", "programs on the last front of the last optimisation")
-both("store_pareto", f"SELECT p.generation, p.hash, i.reviews_error_rate, i.reviews_num_params FROM (SELECT DISTINCT generation, hash FROM {_P} p0 WHERE optimization = 0) p JOIN (SELECT DISTINCT hash, reviews_error_rate, reviews_num_params FROM {_I} i0) i ON i.hash = p.hash", "front members of each generation with their objectives")
-both("store_history_sizes", f"SELECT optimization, generation, count(DISTINCT hash) AS n FROM {_H} h GROUP BY optimization, generation")
-both("store_reset_cache_rows", f"SELECT id, host_id, recorded_at, CASE WHEN dirty <> 0 THEN 1 ELSE dirty END AS dirty FROM {_C} c", "entries of a host that are not on disk are marked absent")
-both("store_cache_size", f"SELECT host_id, round(sum(CASE WHEN dirty = 0 THEN size_kb ELSE 0 END), 3) AS size_kb FROM {_C} c GROUP BY host_id")
-both("store_cache_hits", f"SELECT host_id, coalesce(sum(num_reads), 0) AS hits FROM {_C} c GROUP BY host_id")
-both(
+check("store_select", f"SELECT hash, age, evaluation_status, count(*) OVER (PARTITION BY hash) AS n_rows FROM {_I} i WHERE hash = (SELECT min(lower(trim(hash))) FROM individuals)", "look-up by key, with the number of its rows")
+check("store_select_nn", f"SELECT rec_id, hash, age FROM {_N} n WHERE hash = (SELECT min(lower(trim(hash))) FROM nnlearnerstatistics) AND age >= 0", "look-up by key and age")
+check("store_status_counts", f"SELECT evaluation_status, count(*) AS n FROM {_I} i WHERE purged_at IS NULL GROUP BY evaluation_status", "numbers evaluated, waiting, in progress")
+check("store_num_evaluated", f"SELECT count(*) AS n FROM {_I} i WHERE evaluation_status = 'EVALUATED'")
+check("store_num_waiting", f"SELECT count(*) AS n FROM {_I} i WHERE evaluation_status = 'WAITING_FOR_MASTER'")
+check("store_unevaluated", f"SELECT count(*) AS n FROM {_I} i WHERE evaluation_status = 'NOT_EVALUATED' OR evaluation_status = 'IN_PROGRESS'")
+check("store_evaluated_individuals", f"SELECT hash, age, evaluation_gen, elapsed_time FROM {_I} i WHERE evaluation_status = 'WAITING_FOR_MASTER'")
+check("store_random_uneval", f"SELECT hash, 'IN_PROGRESS' AS evaluation_status FROM (SELECT DISTINCT hash FROM {_I} i WHERE evaluation_status = 'NOT_EVALUATED') u ORDER BY md5(concat('7', hash)), hash LIMIT 20", "twenty unevaluated programs in a seeded random order, marked")
+check("store_num_gens", "SELECT max(generation) AS last_generation FROM history")
+check("store_seeded_pareto", f"SELECT hash, age, evaluation_gen FROM {_I} i WHERE hash IN (SELECT hash FROM {_P} p WHERE optimization = (SELECT max(optimization) FROM paretofront) AND generation = (SELECT max(generation) FROM paretofront WHERE optimization = (SELECT max(optimization) FROM paretofront)))", "programs on the last front of the last optimisation")
+check("store_pareto", f"SELECT p.generation, p.hash, i.reviews_error_rate, i.reviews_num_params FROM (SELECT DISTINCT generation, hash FROM {_P} p0 WHERE optimization = 0) p JOIN (SELECT DISTINCT hash, reviews_error_rate, reviews_num_params FROM {_I} i0) i ON i.hash = p.hash", "front members of each generation with their objectives")
+check("store_history_sizes", f"SELECT optimization, generation, count(DISTINCT hash) AS n FROM {_H} h GROUP BY optimization, generation")
+check("store_reset_cache_rows", f"SELECT id, host_id, recorded_at, CASE WHEN dirty <> 0 THEN 1 ELSE dirty END AS dirty FROM {_C} c", "entries of a host that are not on disk are marked absent")
+check("store_cache_size", f"SELECT host_id, round(sum(CASE WHEN dirty = 0 THEN size_kb ELSE 0 END), 3) AS size_kb FROM {_C} c GROUP BY host_id")
+check("store_cache_hits", f"SELECT host_id, coalesce(sum(num_reads), 0) AS hits FROM {_C} c GROUP BY host_id")
+check(
     "store_cache_statistics",
     f"""SELECT coalesce(c.host_id, m.host_id) AS host_id, coalesce(keys_held, 0) AS keys_held, coalesce(reads, 0) AS reads, coalesce(writes, 0) AS writes, round(coalesce(read_time, 0), 4) AS read_time,
     round(coalesce(write_time, 0), 4) AS write_time, coalesce(n_methods, 0) AS n_methods, coalesce(errors, 0) AS errors, round(coalesce(eval_time, 0), 3) AS eval_time, round(coalesce(eval_time, 0) + coalesce(read_time, 0) + coalesce(write_time, 0), 3) AS total_time
@@ -66,21 +59,21 @@ both(
     FULL JOIN (SELECT host_id, count(*) AS n_methods, sum(error) AS errors, sum(CASE WHEN abs(eval_time) < 1e300 THEN eval_time END) AS eval_time FROM {_M} m0 WHERE host_id IS NOT NULL GROUP BY host_id) m ON m.host_id = c.host_id""",
     "sums over cache and methods per host, NULL as 0, with a derived total",
 )
-both("store_keys_added", f"SELECT day, keys_added, keys_added - lag(keys_added) OVER (ORDER BY day) AS delta FROM (SELECT CAST(CAST(recorded_at AS DATE) AS STRING) AS day, count(*) AS keys_added FROM {_C} c GROUP BY 1) d", "new entries per day and the change against the day before; a row per day")
-both("store_query_method", f"SELECT m.id, m.host_id, m.num_eval, l.cache_id, c.dirty FROM (SELECT DISTINCT id, host_id, num_eval FROM {_M} m0) m LEFT JOIN (SELECT DISTINCT method_id, lower(trim(cache_id)) AS cache_id FROM mcm) l ON l.method_id = m.id LEFT JOIN (SELECT id, min(dirty) AS dirty FROM {_C} c0 GROUP BY id) c ON c.id = l.cache_id", "methods with their cache entries, where there are any")
-both("store_double_links", "SELECT method_id, count(DISTINCT lower(trim(cache_id))) AS n_links FROM mcm WHERE cache_id IS NOT NULL AND trim(cache_id) <> '' GROUP BY method_id HAVING count(DISTINCT lower(trim(cache_id))) > 1", "methods linked to more than one entry, an error on writing")
-both("store_eval_time_running", f"SELECT host_id, id, recorded_at, round(sum(eval_time) OVER (PARTITION BY host_id, CAST(recorded_at AS DATE) ORDER BY recorded_at, id, eval_time), 3) AS running FROM (SELECT DISTINCT host_id, id, recorded_at, eval_time FROM {_M} m0 WHERE abs(eval_time) < 1e300) m", "evaluation time so far, per host and day")
-both("store_select_statistics", f"SELECT generation, count(*) AS n, round(avg(reviews_error_rate), 6) AS mean_error, round(min(reviews_error_rate), 6) AS best_error FROM (SELECT DISTINCT h.generation, h.hash, i.reviews_error_rate FROM {_H} h JOIN {_I} i ON i.hash = h.hash WHERE abs(i.reviews_error_rate) < 1e300) s GROUP BY generation")
-both("report_process_db", f"SELECT generation, n, last_n FROM (SELECT g.generation, f.n, coalesce(f.n, lag(f.n) OVER (ORDER BY g.generation)) AS last_n FROM (SELECT DISTINCT generation FROM {_H} h) g LEFT JOIN (SELECT generation, count(DISTINCT hash) AS n FROM {_P} p GROUP BY generation) f ON f.generation = g.generation) x", "front sizes per generation, from the one before where missing; a row per generation")
-both("report_valid", f"SELECT hash, reviews_error_rate, reviews_num_params FROM {_I} i WHERE reviews_error_rate < 1e300 AND reviews_num_params < 1e300")
-both("report_invalid", f"SELECT hash, reviews_error_rate FROM {_I} i WHERE reviews_error_rate > 1e300 AND NOT isnan(reviews_error_rate)")
-both("report_filter", f"SELECT hash FROM {_I} i WHERE lower(tree) LIKE '%layer(%' AND lower(tree) LIKE 'nnlearner(%'", "programs with a primitive, and with a root")
-both("report_best", f"SELECT hash, reviews_error_rate FROM {_I} i WHERE abs(reviews_error_rate) < 1e300 ORDER BY reviews_error_rate, hash, recorded_at LIMIT 10", "a top-k report")
-both("report_mean_variance", f"SELECT evaluation_gen, round(avg(reviews_error_rate), 6) AS mean, round(var_pop(reviews_error_rate), 6) AS variance FROM {_I} i WHERE abs(reviews_error_rate) < 1e300 GROUP BY evaluation_gen")
-both("report_cumulative_front", f"SELECT g.generation, count(DISTINCT p.hash) AS n FROM (SELECT DISTINCT generation FROM {_P} p0) g JOIN (SELECT hash, min(generation) AS since FROM {_P} p1 GROUP BY hash) p ON p.since <= g.generation GROUP BY g.generation", "programs that were on a front up to each generation")
-both("report_join", f"SELECT p.generation, p.hash, i.age FROM (SELECT DISTINCT generation, hash FROM {_P} p0) p JOIN (SELECT hash, max(age) AS age FROM {_I} i0 GROUP BY hash) i ON i.hash = p.hash")
-both("report_dedupe", f"SELECT tree, count(*) AS n, min(hash) AS hash FROM (SELECT DISTINCT hash, tree FROM {_I} i WHERE tree IS NOT NULL) t GROUP BY tree", "programs with one text")
-both("report_breadth", f"SELECT hash, -count(*) AS breadth FROM (SELECT hash, tree FROM {_I} i WHERE tree IS NOT NULL) t GROUP BY hash", "rows per program, as a minimised objective")
+check("store_keys_added", f"SELECT day, keys_added, keys_added - lag(keys_added) OVER (ORDER BY day) AS delta FROM (SELECT CAST(CAST(recorded_at AS DATE) AS STRING) AS day, count(*) AS keys_added FROM {_C} c GROUP BY 1) d", "new entries per day and the change against the day before; a row per day")
+check("store_query_method", f"SELECT m.id, m.host_id, m.num_eval, l.cache_id, c.dirty FROM (SELECT DISTINCT id, host_id, num_eval FROM {_M} m0) m LEFT JOIN (SELECT DISTINCT method_id, lower(trim(cache_id)) AS cache_id FROM mcm) l ON l.method_id = m.id LEFT JOIN (SELECT id, min(dirty) AS dirty FROM {_C} c0 GROUP BY id) c ON c.id = l.cache_id", "methods with their cache entries, where there are any")
+check("store_double_links", "SELECT method_id, count(DISTINCT lower(trim(cache_id))) AS n_links FROM mcm WHERE cache_id IS NOT NULL AND trim(cache_id) <> '' GROUP BY method_id HAVING count(DISTINCT lower(trim(cache_id))) > 1", "methods linked to more than one entry, an error on writing")
+check("store_eval_time_running", f"SELECT host_id, id, recorded_at, round(sum(eval_time) OVER (PARTITION BY host_id, CAST(recorded_at AS DATE) ORDER BY recorded_at, id, eval_time), 3) AS running FROM (SELECT DISTINCT host_id, id, recorded_at, eval_time FROM {_M} m0 WHERE abs(eval_time) < 1e300) m", "evaluation time so far, per host and day")
+check("store_select_statistics", f"SELECT generation, count(*) AS n, round(avg(reviews_error_rate), 6) AS mean_error, round(min(reviews_error_rate), 6) AS best_error FROM (SELECT DISTINCT h.generation, h.hash, i.reviews_error_rate FROM {_H} h JOIN {_I} i ON i.hash = h.hash WHERE abs(i.reviews_error_rate) < 1e300) s GROUP BY generation")
+check("report_process_db", f"SELECT generation, n, last_n FROM (SELECT g.generation, f.n, coalesce(f.n, lag(f.n) OVER (ORDER BY g.generation)) AS last_n FROM (SELECT DISTINCT generation FROM {_H} h) g LEFT JOIN (SELECT generation, count(DISTINCT hash) AS n FROM {_P} p GROUP BY generation) f ON f.generation = g.generation) x", "front sizes per generation, from the one before where missing; a row per generation")
+check("report_valid", f"SELECT hash, reviews_error_rate, reviews_num_params FROM {_I} i WHERE reviews_error_rate < 1e300 AND reviews_num_params < 1e300")
+check("report_invalid", f"SELECT hash, reviews_error_rate FROM {_I} i WHERE reviews_error_rate > 1e300 AND NOT isnan(reviews_error_rate)")
+check("report_filter", f"SELECT hash FROM {_I} i WHERE lower(tree) LIKE '%layer(%' AND lower(tree) LIKE 'nnlearner(%'", "programs with a primitive, and with a root")
+check("report_best", f"SELECT hash, reviews_error_rate FROM {_I} i WHERE abs(reviews_error_rate) < 1e300 ORDER BY reviews_error_rate, hash, recorded_at LIMIT 10", "a top-k report")
+check("report_mean_variance", f"SELECT evaluation_gen, round(avg(reviews_error_rate), 6) AS mean, round(var_pop(reviews_error_rate), 6) AS variance FROM {_I} i WHERE abs(reviews_error_rate) < 1e300 GROUP BY evaluation_gen")
+check("report_cumulative_front", f"SELECT g.generation, count(DISTINCT p.hash) AS n FROM (SELECT DISTINCT generation FROM {_P} p0) g JOIN (SELECT hash, min(generation) AS since FROM {_P} p1 GROUP BY hash) p ON p.since <= g.generation GROUP BY g.generation", "programs that were on a front up to each generation")
+check("report_join", f"SELECT p.generation, p.hash, i.age FROM (SELECT DISTINCT generation, hash FROM {_P} p0) p JOIN (SELECT hash, max(age) AS age FROM {_I} i0 GROUP BY hash) i ON i.hash = p.hash")
+check("report_dedupe", f"SELECT tree, count(*) AS n, min(hash) AS hash FROM (SELECT DISTINCT hash, tree FROM {_I} i WHERE tree IS NOT NULL) t GROUP BY tree", "programs with one text")
+check("report_breadth", f"SELECT hash, -count(*) AS breadth FROM (SELECT hash, tree FROM {_I} i WHERE tree IS NOT NULL) t GROUP BY hash", "rows per program, as a minimised objective")
 
 _LEARNERS = ("knn", "svm", "bayes", "gmm", "logr", "sgd", "extra", "tree")
 
@@ -225,3 +218,74 @@ def series_windows(spark, folder):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     t = table(spark, folder, "events")
     return t.select("user_id", "event_id", F.round(F.col("value") - F.coalesce(F.lag("value").over(w), F.lit(0.0)), 6).alias("diff"), F.round(F.sum("value").over(w.rowsBetween(-2, 2)) / 5, 6).alias("mean5"), F.round(F.sum("value").over(w.rowsBetween(Window.unboundedPreceding, 0)), 4).alias("total"))
+
+
+# Answered by the operators of ``reports``; their SQL stands above.
+_PEOPLE = ("hash", "age", "evaluation_status", "evaluation_gen", "elapsed_time", "reviews_error_rate", "reviews_num_params", "tree", "recorded_at", "purged_at")
+
+
+def _people(s, f):
+    return R.records(table(s, f, "individuals"), *_PEOPLE, key="hash")
+
+
+def _fronts(s, f, name="paretofront"):
+    return R.records(table(s, f, name), "id", "optimization", "generation", "hash", key="hash").where(F.col("hash").isNotNull())
+
+
+def _history(s, f):
+    return _fronts(s, f, "history")
+
+
+def _cache(s, f):
+    return R.records(table(s, f, "cache_entries"))
+
+
+def _methods(s, f):
+    return R.records(table(s, f, "methods"))
+
+
+def _least(s, f, name):
+    return table(s, f, name).agg(F.min(F.lower(F.trim("hash")))).first()[0]
+
+
+def _rounded(df, **places):
+    return df.select(*[F.round(c, places[c]).alias(c) if c in places else F.col(c) for c in df.columns])
+
+
+def _networks(s, f):
+    return R.records(table(s, f, "nnlearnerstatistics"), "rec_id", "hash", "age", "current_tree", key="hash")
+
+
+QUERIES |= {
+    "store_select": lambda s, f: R.lookup(_people(s, f), "hash", _least(s, f, "individuals")).select("hash", "age", "evaluation_status", "n_rows"),
+    "store_select_nn": lambda s, f: R.lookup(_networks(s, f), "hash", _least(s, f, "nnlearnerstatistics")).where("age >= 0").select("rec_id", "hash", "age"),
+    "store_status_counts": lambda s, f: R.status_counts(_people(s, f)),
+    "store_num_evaluated": lambda s, f: R.count_status(_people(s, f), "EVALUATED"),
+    "store_num_waiting": lambda s, f: R.count_status(_people(s, f), "WAITING_FOR_MASTER"),
+    "store_unevaluated": lambda s, f: R.count_status(_people(s, f), "NOT_EVALUATED", "IN_PROGRESS"),
+    "store_evaluated_individuals": lambda s, f: _people(s, f).where("evaluation_status = 'WAITING_FOR_MASTER'").select("hash", "age", "evaluation_gen", "elapsed_time"),
+    "store_random_uneval": lambda s, f: R.random_unevaluated(_people(s, f), 20, 7),
+    "store_num_gens": lambda s, f: table(s, f, "history").agg(F.max("generation").alias("last_generation")),
+    "store_seeded_pareto": lambda s, f: R.last_front(_people(s, f), R.records(table(s, f, "paretofront"), "id", "optimization", "generation", "hash", key="hash")).select("hash", "age", "evaluation_gen"),
+    "store_pareto": lambda s, f: R.front_members(_people(s, f), _fronts(s, f), 0).select("generation", "hash", "reviews_error_rate", "reviews_num_params"),
+    "store_history_sizes": lambda s, f: R.sizes(_history(s, f)),
+    "store_reset_cache_rows": lambda s, f: R.absent(_cache(s, f)).select("id", "host_id", "recorded_at", "dirty"),
+    "store_cache_size": lambda s, f: _rounded(R.cache_sizes(_cache(s, f)), size_kb=3),
+    "store_cache_hits": lambda s, f: R.cache_hits(_cache(s, f)),
+    "store_cache_statistics": lambda s, f: _rounded(R.host_statistics(_cache(s, f), _methods(s, f)), read_time=4, write_time=4, eval_time=3, total_time=3),
+    "store_keys_added": lambda s, f: R.keys_per_day(_cache(s, f)),
+    "store_query_method": lambda s, f: R.methods_with_entries(_methods(s, f), table(s, f, "mcm"), _cache(s, f)),
+    "store_double_links": lambda s, f: R.double_links(table(s, f, "mcm")),
+    "store_eval_time_running": lambda s, f: _rounded(R.running_time(_methods(s, f)), running=3),
+    "store_select_statistics": lambda s, f: _rounded(R.generation_statistics(_history(s, f), _people(s, f)), mean_error=6, best_error=6),
+    "report_process_db": lambda s, f: R.front_sizes(_history(s, f), _fronts(s, f)).select("generation", "n", "last_n"),
+    "report_valid": lambda s, f: _people(s, f).where(f"reviews_error_rate < {R.FINITE} and reviews_num_params < {R.FINITE}").select("hash", "reviews_error_rate", "reviews_num_params"),
+    "report_invalid": lambda s, f: _people(s, f).where((F.col("reviews_error_rate") > R.FINITE) & ~F.isnan("reviews_error_rate")).select("hash", "reviews_error_rate"),
+    "report_filter": lambda s, f: R.with_primitive(_people(s, f), "layer(", "nnlearner("),
+    "report_best": lambda s, f: R.best(_people(s, f), 10),
+    "report_mean_variance": lambda s, f: _rounded(R.mean_and_variance(_people(s, f), "evaluation_gen", "reviews_error_rate"), mean=6, variance=6),
+    "report_cumulative_front": lambda s, f: R.cumulative_fronts(_fronts(s, f)),
+    "report_join": lambda s, f: R.front_ages(_fronts(s, f), _people(s, f)).select("generation", "hash", "age"),
+    "report_dedupe": lambda s, f: R.same_text(_people(s, f)),
+    "report_breadth": lambda s, f: R.breadth(_people(s, f)),
+}
