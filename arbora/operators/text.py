@@ -6,11 +6,16 @@ characters in lower case. NULL and empty texts have no tokens and no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from arbora.staging import stage
 
@@ -265,18 +270,73 @@ def word_vectors(df: DataFrame, id: str, text: str, size: int = 16, window: int
     return out.select(id, vector_to_array("vector").alias("vector"))
 
 
-def text_rank(df: DataFrame, id: str, text: str, rounds: int = 10) -> DataFrame:
-    """(id, pos, rank): rank of each sentence within its text, from the words sentences share. Sentences meet through
-    their words and only within a text."""
-    s = df.select(id, F.posexplode(F.split(text, r"(?<=[.!?])\s+")).alias("pos", "s")).select(id, "pos", F.array_distinct(tokens("s")).alias("t")).where(F.size("t") > 1)
-    w = s.select(id, "pos", F.size("t").alias("n"), F.explode("t").alias("term"))
-    e = w.join(w.select(id, F.col("pos").alias("p2"), F.col("n").alias("n2"), "term"), [id, "term"]).where("pos <> p2").groupBy(id, "pos", "p2", "n", "n2").agg(F.count("*").alias("k"))
-    e = e.select(id, "pos", "p2", (F.col("k") / (F.log("n") + F.log("n2"))).alias("w"))
-    out = e.groupBy(id, "pos").agg(F.sum("w").alias("out"))
-    e = stage(e.join(out, [id, "pos"]).select(id, "pos", "p2", (F.col("w") / F.col("out")).alias("w")), "edges")
-    nodes = stage(s.select(id, "pos"), "nodes")
-    rank = nodes.withColumn("rank", F.lit(1.0))
+#: Texts ranked together, and pairs of sentence lengths of one word held at once.
+RANK_TEXTS, RANK_PAIRS = 512, 1 << 20
+
+
+def sentence_ranks(doc: np.ndarray, size: np.ndarray, row: np.ndarray, word: np.ndarray, rounds: int) -> np.ndarray:
+    """Rank of each sentence. ``doc`` and ``size`` are per sentence, (``row``, ``word``) the words of each sentence, all
+    different. A shared word weighs 1 / (log size + log size), which depends on the sizes only: sentences of one size act
+    through their sum for each word, so memory follows the words of a text, not the pairs of its sentences."""
+    _, term, shared = np.unique(doc[row] * (int(word.max(initial=0)) + 1) + word, return_inverse=True, return_counts=True)
+    row, term = row[shared[term] > 1], term[shared[term] > 1]
+    sizes, group = np.unique(size, return_inverse=True)
+    logs = np.log(sizes)
+    keys, pair = np.unique(term * len(sizes) + group[row], return_inverse=True)  # (word, size), in order of the word
+    _, first, at, many = np.unique(keys // max(len(sizes), 1), return_index=True, return_inverse=True, return_counts=True)
+    log, first, many = logs[keys % max(len(sizes), 1)], first[at], many[at]
+    ends = np.cumsum(many)
+    own = np.bincount(row, minlength=len(doc)) / (2 * logs[group])
+
+    def meet(lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        to = np.repeat(np.arange(lo, hi), many[lo:hi])
+        of = np.arange(len(to)) - np.repeat(ends[lo:hi] - many[lo:hi] - (ends[lo] - many[lo]), many[lo:hi]) + first[to]
+        return to - lo, of, 1 / (log[to] + log[of])
+
+    cuts = [0]
+    while cuts[-1] < len(keys):
+        lo = cuts[-1]
+        cuts.append(max(lo + 1, int(np.searchsorted(ends, ends[lo] - many[lo] + RANK_PAIRS, "right"))))
+    blocks = list(zip(cuts, cuts[1:]))
+    kept = [meet(*b) for b in blocks] if len(blocks) == 1 else None
+
+    def spread(x: np.ndarray) -> np.ndarray:
+        y, z = np.bincount(pair, x[row], len(keys)), np.zeros(len(keys))
+        for i, (lo, hi) in enumerate(blocks):
+            to, of, w = kept[i] if kept else meet(lo, hi)
+            z[lo:hi] = np.bincount(to, y[of] * w, hi - lo)
+        return np.bincount(row, z[pair], len(doc)) - own * x
+
+    linked = own > 0
+    out = np.where(linked, spread(np.ones(len(doc))), 1.0)
+    rank = np.ones(len(doc))
     for _ in range(rounds):
-        got = e.join(rank, [id, "pos"]).groupBy(id, F.col("p2").alias("pos")).agg(F.sum(F.col("rank") * F.col("w")).alias("g"))
-        rank = stage(nodes.join(got, [id, "pos"], "left").select(id, "pos", (0.15 + 0.85 * F.coalesce("g", F.lit(0.0))).alias("rank")), "rank")
+        rank = 0.15 + 0.85 * np.where(linked, spread(np.where(linked, rank / out, 0.0)), 0.0)
     return rank
+
+
+def text_rank(df: DataFrame, id: str, text: str, rounds: int = 10) -> DataFrame:
+    """(id, pos, rank): rank of each sentence within its text, from the words sentences share. Every row is a text of its
+    own, so all rounds run inside the task that reads it; sentences meet through their words only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, RANK_TEXTS):
+                part = b.slice(lo, RANK_TEXTS)
+                sentences = part.column(1).flatten()
+                count = pc.fill_null(pc.list_value_length(part.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                doc = np.repeat(np.arange(part.num_rows), count)
+                pos = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+                size = pc.fill_null(pc.list_value_length(sentences), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                word = sentences.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+                kept = size > 1
+                number = np.cumsum(kept) - 1
+                row = np.repeat(np.arange(len(doc)), size)
+                word, row = word[kept[row]], number[row[kept[row]]]
+                doc, pos = doc[kept], pos[kept]
+                rank = sentence_ranks(doc, size[kept], row, word, rounds)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array(pos.astype(np.int32)), pa.array(rank)], [id, "pos", "rank"])
+
+    words = F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.array_distinct(tokens(s)))
+    schema = T.StructType([df.schema[id], T.StructField("pos", T.IntegerType()), T.StructField("rank", T.DoubleType())])
+    return df.select(id, words.alias("__t")).where(F.col("__t").isNotNull()).mapInArrow(run, schema)

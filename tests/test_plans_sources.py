@@ -198,3 +198,41 @@ def test_fitted_operators_and_random_rows(spark):
     from arbora.operators.dataset import filter_centroids
 
     assert [x["target"] for x in filter_centroids(c).collect()] == [[[1.0, 2.0]], [[-1.0, -1.0]]]
+
+
+def test_text_rank_stays_in_the_task_of_its_text(spark, monkeypatch):
+    """Ranks by the definition, on texts of every shape, whether the pairs of sizes fit one block or not; no stage, no shuffle."""
+    import math
+    import random
+    import re
+
+    from arbora.operators import text as W
+
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(12)]
+    texts = [" ".join(" ".join(r.choices(words, k=r.randrange(7))) + r.choice(".!?") for _ in range(n)) for n in (0, 1, 2, 9, 30)] + [None, "", "One word. Two alike here. Nothing shared at all."]
+
+    def ranks(text, rounds=10):
+        s = {p: set(re.findall(r"\w{2,}", x.lower())) for p, x in enumerate(re.split(r"(?<=[.!?])\s+", text or ""))}
+        s = {p: x for p, x in s.items() if len(x) > 1}
+        w = {(a, b): len(s[a] & s[b]) / (math.log(len(s[a])) + math.log(len(s[b]))) for a in s for b in s if a != b and s[a] & s[b]}
+        out = {a: sum(x for (c, _), x in w.items() if c == a) for a in s}
+        rank = dict.fromkeys(s, 1.0)
+        for _ in range(rounds):
+            rank = {b: 0.15 + 0.85 * sum(rank[a] * x / out[a] for (a, c), x in w.items() if c == b) for b in s}
+        return rank
+
+    df = spark.createDataFrame([(f"t{i}", t) for i, t in enumerate(texts)], "id string, body string")
+    want = {(f"t{i}", p): v for i, t in enumerate(texts) for p, v in ranks(t).items()}
+    monkeypatch.setattr("arbora.operators.text.stage", None)
+    got = W.text_rank(df, "id", "body")
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    got = {(x["id"], x["pos"]): x["rank"] for x in got.collect()}
+    assert set(got) == set(want) and len(want) > 30 and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+    bags = [sorted(set(r.choices(range(12), k=r.randrange(2, 9)))) for _ in range(40)]
+    bags = [b for b in bags if len(b) > 1]
+    at = [np.zeros(len(bags), np.int64), np.array([len(b) for b in bags]), np.repeat(np.arange(len(bags)), [len(b) for b in bags]), np.concatenate(bags)]
+    one = W.sentence_ranks(*at, 10)
+    monkeypatch.setattr(W, "RANK_PAIRS", 7)
+    assert np.allclose(W.sentence_ranks(*at, 10), one, rtol=0, atol=1e-12)
