@@ -127,11 +127,10 @@ def adaboost(df: DataFrame, name: str, params: dict, rounds: int = 3) -> DataFra
 
 
 def knn(df: DataFrame, k: int, regression: bool = False) -> DataFrame:
-    """Vote (ties: least class) or mean of the k nearest train rows; a train row is not its own neighbour. Queries go out
-    in blocks and meet every partition once; only k candidates per query and partition are shuffled."""
+    """Vote (ties: least class) or mean of the k nearest train rows, the least ids of equally near ones; a train row is not
+    its own neighbour."""
     train = df.where((F.col("split") == "train") & F.col("target").isNotNull())
-    near = novelty(train.select("row_id", "features"), "row_id", "features", k, df.select("row_id", "features"))
-    t = near.join(train.select(F.col("row_id").alias("o"), "target"), "o")
+    t = novelty(train, "row_id", "features", k, df, "target")
     if regression:
         p = t.groupBy("q").agg(F.avg("target").alias("prediction"))
     else:

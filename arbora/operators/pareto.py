@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from arbora.operators.nearest import nearest
 from arbora.staging import stage
 
 #: Candidates a task compares with each other.
@@ -250,37 +251,6 @@ def tournament(df: DataFrame, id: str, objectives: list[str], k: int, seed: int)
     return a.join(b, "__p", "left").select(F.when(wins & less, F.col("__id2")).otherwise(F.col(id)).alias(id))
 
 
-def novelty(df: DataFrame, id: str, vector: str, k: int, queries: DataFrame | None = None, block: int = 256) -> DataFrame:
-    """Mean distance to the k nearest other rows, for each query row. Queries are shipped block by block against all
-    rows; each partition answers with its own k nearest, so only k rows per query and partition are shuffled."""
-    q = (queries if queries is not None else df).select(F.col(id).alias("q"), F.col(vector).alias("v"))
-    spark = df.sparkSession
-    numbered = stage(q.withColumn("__b", F.spark_partition_id()), "queries")
-    count = numbered.count()
-    parts = []
-    for lo in range(0, max(1, -(-count // (block * 64)))):
-        mine = numbered.where(F.pmod(F.xxhash64("q"), F.lit(max(1, -(-count // (block * 64))))) == lo).select("q", "v").toPandas()
-        shared = spark.sparkContext.broadcast((mine["q"].to_numpy(), np.stack(mine["v"].map(lambda v: np.asarray(v, float)).to_list()) if len(mine) else np.zeros((0, 1))))
-
-        def nearest(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, m = shared.value
-            best_d, best_i = np.full((len(ids), k), np.inf), np.full((len(ids), k), -1, np.int64)
-            for pdf in batches:
-                if not len(ids) or not len(pdf):
-                    continue
-                x = np.stack(pdf["v"].map(lambda v: np.asarray(v, float)).to_list())
-                other = pdf["q"].to_numpy()
-                d = np.sqrt(np.maximum((m**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * m @ x.T, 0))
-                d[ids[:, None] == other[None]] = np.inf
-                dd, ii = np.concatenate([best_d, d], axis=1), np.concatenate([best_i, np.broadcast_to(other, d.shape)], axis=1)
-                pick = np.argpartition(dd, k - 1, axis=1)[:, :k]
-                best_d, best_i = np.take_along_axis(dd, pick, 1), np.take_along_axis(ii, pick, 1)
-            r, c = np.nonzero(np.isfinite(best_d))
-            yield pd.DataFrame({"q": ids[r], "o": best_i[r, c], "d": best_d[r, c]})
-
-        parts.append(df.select(F.col(id).alias("q"), F.col(vector).alias("v")).mapInPandas(nearest, "q long, o long, d double"))
-    near = parts[0]
-    for p in parts[1:]:
-        near = near.unionByName(p)
-    w = Window.partitionBy("q").orderBy("d", "o")
-    return near.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
+def novelty(df: DataFrame, id: str, vector: str, k: int, queries: DataFrame | None = None, carry: str | None = None) -> DataFrame:
+    """(q, o, d, rk) and ``carry`` of o: the k nearest other rows of each query row, whose mean distance is its novelty."""
+    return nearest(df, id, vector, k, queries if queries is not None else df, carry)

@@ -92,10 +92,10 @@ def _learner(name, params, ensemble="SINGLE"):
         d = d.withColumn("split", F.when(F.col("row_id") % 5 == 0, "test").otherwise("train"))
         if name.startswith("KNN"):  # the query set: rows whose id is divisible by 20, against all rows
             d = d.withColumn("split", F.when(F.pmod("row_id", F.lit(20)) == 0, "test").otherwise("train"))
-            train = d.where("split = 'train'")
-            near = L.novelty(train.select("row_id", "features"), "row_id", "features", params["k"], d.where("split = 'test'").select("row_id", "features"))
-            t = near.join(train.select(F.col("row_id").alias("o"), "target"), "o").groupBy("q").agg(F.avg("target").alias("m"))
-            out = d.join(t.withColumnRenamed("q", "row_id"), "row_id").withColumn("prediction", F.col("m") if name == "KNN_REGRESSION" else (F.col("m") > 0.5).cast("double"))
+            asked = d.where("split = 'test'")
+            near = L.novelty(d.where("split = 'train'"), "row_id", "features", params["k"], asked, "target")
+            t = near.groupBy(F.col("q").alias("row_id")).agg(F.avg("target").alias("m"))
+            out = asked.join(t, "row_id").withColumn("prediction", F.col("m") if name == "KNN_REGRESSION" else (F.col("m") > 0.5).cast("double"))
         else:
             out = L.learn(d, name, params, ensemble)
         s = out.where("split = 'test'").select(F.col("prediction").alias("p"), F.col("target").alias("t"))

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -77,6 +78,60 @@ def test_novelty(spark):
         assert got[i] == pytest.approx(np.sort(d[i])[:3].mean())
 
 
+def first_by_distance_and_id(rows, q, k):
+    """The definition: other rows in order of distance, summed column by column, and id."""
+    far = []
+    for i, v in rows:
+        s = 0.0
+        for a, b in zip(q[1], v):
+            s += (a - b) * (a - b)
+        far.append((math.sqrt(s), i))
+    return sorted(x for x in far if x[1] != q[0])[:k]
+
+
+@pytest.mark.parametrize("kind", ["lattice", "one point often", "far from zero", "long"])
+def test_novelty_is_exact_in_cells_and_ties(spark, monkeypatch, kind):
+    """Equally near rows are decided by id, however rows are spread over partitions, cells and buckets."""
+    from arbora.operators import nearest as N
+
+    monkeypatch.setattr(N, "CELL", 150)
+    monkeypatch.setattr(N, "SAMPLE", 600)
+    r = np.random.default_rng(3)
+    n = 700
+    v = {
+        "lattice": lambda: r.integers(0, 4, (n, 3)),
+        "one point often": lambda: np.where(r.random((n, 1)) < 0.8, 7, r.integers(0, 9, (n, 2))),
+        "far from zero": lambda: 1e9 + r.integers(0, 9, (n, 2)) / 4,
+        "long": lambda: r.normal(size=(n, 40)),
+    }[kind]().astype(float)
+    rows = [(int(i), x.tolist(), float(i % 7) if i % 11 else None) for i, x in zip(r.permutation(n), v)]
+    odd = [(-1, None, 1.0), (-2, [math.nan] * v.shape[1], 1.0), (-3, [math.inf] * v.shape[1], 1.0)]
+    df = spark.createDataFrame(rows + odd, "id long, v array<double>, t double").repartition(5)
+    asked = spark.createDataFrame([x for x in rows if x[0] % 9 == 0] + odd + [(5000, [-50.0] * v.shape[1], 0.0)], df.schema)
+    got = {}
+    for x in P.novelty(df, "id", "v", 4, asked, "t").orderBy("q", "rk").collect():
+        got.setdefault(x["q"], []).append((x["d"], x["o"]))
+        assert x["t"] == (float(x["o"] % 7) if x["o"] % 11 else None)
+    want = {x[0]: first_by_distance_and_id([y[:2] for y in rows], x, 4) for x in asked.where("id >= 0").collect()}
+    assert got == want
+
+    # The same in one cell, in buckets and with few distances held at once.
+    monkeypatch.setattr(N, "BUCKET", 16)
+    monkeypatch.setattr(N, "MATRIX", 500)
+    ids, q = np.array([x[0] for x in rows]), np.flatnonzero([x[0] % 9 == 0 for x in rows])
+    a, b, d = N.Cell(v, ids, 4).search(v[q], ids[q], np.full(len(q), np.inf))
+    inside = {}
+    for i, o, far in zip(ids[q[a]], ids[b], d):
+        inside.setdefault(int(i), []).append((float(far), int(o)))
+    assert {i: sorted(x) for i, x in inside.items()} == {i: want[i] for i in inside} and len(inside) == len(q)
+
+
+def test_novelty_with_fewer_rows_than_neighbours(spark):
+    df = spark.createDataFrame([(1, [0.0]), (2, [3.0])], "id long, v array<double>")
+    assert [(x["q"], x["o"], x["d"]) for x in P.novelty(df, "id", "v", 5).orderBy("q").collect()] == [(1, 2, 3.0), (2, 1, 3.0)]
+    assert P.novelty(df.where("id > 2"), "id", "v", 5, df).count() == 0 and P.novelty(df, "id", "v", 5, df.where("id > 2")).count() == 0
+
+
 def entries(spark, n, seed):
     r = random.Random(seed)
     rs = [(f"e{i}", r.choice([5.0, 10.0, 20.0, 37.5, 400.0]), float(r.randrange(8))) for i in range(n)]
