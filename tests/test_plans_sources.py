@@ -236,3 +236,30 @@ def test_text_rank_stays_in_the_task_of_its_text(spark, monkeypatch):
     one = W.sentence_ranks(*at, 10)
     monkeypatch.setattr(W, "RANK_PAIRS", 7)
     assert np.allclose(W.sentence_ranks(*at, 10), one, rtol=0, atol=1e-12)
+
+
+@pytest.mark.parametrize("name", ["learner_KNN", "learner_KNN_REGRESSION"])
+def test_nearest_neighbour_queries_decide_ties_by_id(spark, tmp_path, name):
+    """Many orders are equal or equally near: the five of least id vote, as in the SQL of the query."""
+    import datetime
+    import math
+    import random
+
+    from arbora.queries.programs import QUERIES
+
+    r = random.Random(8)
+    orders = [(i, r.randrange(4), r.choice("FO"), float(r.randrange(3) * 1000), datetime.datetime(1995, r.randrange(1, 3), 1), "1-URGENT") for i in range(1200)]
+    r.shuffle(orders)
+    schema = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string"
+    spark.createDataFrame(orders, schema).repartition(3).write.parquet(str(tmp_path / "orders.parquet"))
+    regression = name == "learner_KNN_REGRESSION"
+    rows = [(k, float(c) if regression else float(s == "F"), ([p / 1000] if regression else [p / 1000, c]) + [d.month, 8.0]) for k, c, s, p, d, _ in orders]
+    train = [x for x in rows if x[0] % 20]
+    pairs = []
+    for _, t, x in (q for q in rows if q[0] % 20 == 0):
+        near = sorted((math.dist(x, o[2]), o[0], o[1]) for o in train)[:5]
+        m = sum(n[2] for n in near) / 5
+        pairs.append((m if regression else float(m > 0.5), t))
+    got = QUERIES[name](spark, str(tmp_path)).first()
+    assert got["accuracy_score"] == round(sum(p != t for p, t in pairs) / len(pairs), 6)
+    assert got["objective0EvalFunction"] == pytest.approx(math.sqrt(sum((p - t) ** 2 for p, t in pairs) / len(pairs)), abs=1e-6)
